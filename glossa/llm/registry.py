@@ -46,3 +46,21 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {}
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import sketch_join
+
+    return sketch_join.jaccard_join(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+QUERIES["op10_jaccard_join"] = op10_jaccard_join
+
+
+def op9_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import neural_lm
+
+    return neural_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_neural_lm"] = op9_neural_lm
