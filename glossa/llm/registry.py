@@ -64,3 +64,12 @@ def op9_neural_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_neural_lm"] = op9_neural_lm
+
+
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import nn_descent
+
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES["op5_nn_descent"] = op5_nn_descent
