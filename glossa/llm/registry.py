@@ -73,3 +73,16 @@ def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_nn_descent"] = op5_nn_descent
+
+
+#: A document is rejected below this posterior: clean documents come before a few more rejections.
+KEEP_FROM = 0.3
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=KEEP_FROM)
+
+
+QUERIES["op2_quality"] = op2_quality
