@@ -86,3 +86,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_quality"] = op2_quality
+
+
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import posting_lists
+
+    return posting_lists.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+QUERIES["op6_posting_lists"] = op6_posting_lists
