@@ -95,3 +95,17 @@ def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_posting_lists"] = op6_posting_lists
+
+
+#: For reports and tests; a deployment passes its own secret.
+PSEUDONYM_KEY = "glossa-demo-key"
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import pseudonyms as p
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return p.pseudonymise(docs, key=PSEUDONYM_KEY)
+
+
+QUERIES["op4_pseudonyms"] = op4_pseudonyms
