@@ -109,3 +109,12 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_pseudonyms"] = op4_pseudonyms
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import tool_calls
+
+    return tool_calls.link(tool_calls.events_of(table(spark, sf_dir, "conversations")), tool_calls.TURN_SCHEMAS)
+
+
+QUERIES["op8_tool_calls"] = op8_tool_calls
