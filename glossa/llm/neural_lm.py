@@ -162,6 +162,7 @@ def _score(sent, short: int, classes: int):
         lexicon = Lexicon(given["head"], classes)
         unit, end, table = lexicon.units(short), given["end"], given["table"]
         log_count = np.r_[given["log_count"], np.zeros(classes)]
+        known = np.r_[given["known"], np.zeros(classes, bool)]
         beyond = unit >= short
         within = np.where(beyond, log_count - np.r_[np.zeros(short), given["log_mass"]][unit], 0.0)  # less the count, for words past the head
         uid = TaskContext.get().partitionId() << 33
@@ -174,7 +175,7 @@ def _score(sent, short: int, classes: int):
                 u = unit[at]
                 past = np.flatnonzero(at >= lexicon.size)
                 lm = table[np.r_[end, u[:-1]], u].sum() + within[at].sum()
-                rows.append((uid, b" %d" % uid, key, held_out(key), len(words), len(words) - len(past), float(log_count[at].sum()), float(lm)))
+                rows.append((uid, b" %d" % uid, key, held_out(key), len(words), int(known[at].sum()), float(log_count[at].sum()), float(lm)))
                 tail_uid += [uid] * len(past)
                 tail += [words[i] for i in past.tolist()]
                 uid += 1
@@ -235,7 +236,7 @@ def score_documents(
     model = LogBilinear(size, width).train(pairs.reshape(size, size), noise, steps)
     table = model.log_probabilities() / np.log(10)
 
-    given = spark.sparkContext.broadcast({"head": words, "end": end, "table": table, "log_count": np.log10(top_counts + ADD), "log_mass": log_mass})
+    given = spark.sparkContext.broadcast({"head": words, "end": end, "table": table, "log_count": np.log10(top_counts + ADD), "known": top_counts > 0, "log_mass": log_mass})
     parts = common.arrow_pass(rows, _score(given, named, classes), f"uid long, word binary, id {id_type}, held_out boolean, n long, known long, base double, lm double")
     rest = counts.select("word", "c").where(F.col("c") <= int(top_counts[-1]))  # the head's own words meet no row
     log_c = F.when(F.col("n").isNull(), F.log10(F.coalesce(F.col("c"), F.lit(0)) + ADD)).otherwise(0.0)
