@@ -12,6 +12,11 @@ FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def fold(text: Column) -> Column:
+    """Case and accents folded, character by character."""
+    return F.translate(F.lower(text), ACCENTED, FOLDED)
+
+
 def normalise(text: Column) -> Column:
     """Case and accents folded, white space collapsed and trimmed."""
     return F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, FOLDED), r"\s+", " "))
