@@ -118,3 +118,37 @@ def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_tool_calls"] = op8_tool_calls
+
+
+#: SQL that compares all pairs or follows links: for small tables, as oracles are run.
+ORACLES["op5_nn_descent"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES["op8_tool_calls"] = """
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN role = 'assistant' AND turn >= 1 THEN 'result' WHEN role = 'assistant' THEN 'message' ELSE 'call' END AS kind FROM conversations),
+e AS (SELECT *, CASE kind WHEN 'result' THEN 't' || (turn - 1) WHEN 'call' THEN 't' || turn END AS call_id FROM m),
+i AS (SELECT conv_id, call_id, count_if(kind = 'call') AS calls, count_if(kind = 'result') AS results, min(CASE WHEN kind = 'call' THEN turn END) AS call_turn, min(CASE WHEN kind = 'result' THEN turn END) AS result_turn FROM e GROUP BY 1, 2)
+SELECT conv_id, turn, kind, call_id, turn AS place, '' AS errors,
+  CASE kind WHEN 'call' THEN CASE WHEN calls > 1 THEN 'duplicate' WHEN results = 0 THEN 'unanswered' ELSE 'ok' END WHEN 'result' THEN CASE WHEN calls = 0 THEN 'orphan' WHEN results > 1 THEN 'duplicate' ELSE 'ok' END ELSE 'ok' END AS status,
+  CASE kind
+    WHEN 'call' THEN '{"arguments":{"role":' || to_json(role) || ',"text":' || to_json(text) || ',"turn":' || turn || '},' || CASE WHEN turn >= 2 THEN '"depends_on":"t' || (turn - 2) || '",' ELSE '' END
+      || '"id":"' || call_id || '","name":"respond",' || coalesce('"result_turn":' || result_turn || ',', '') || '"turn":' || turn || ',"type":"call"}'
+    WHEN 'result' THEN '{' || coalesce('"call_turn":' || call_turn || ',', '') || '"content":' || to_json(text) || ',"id":"' || call_id || '","turn":' || turn || ',"type":"result"}'
+    ELSE '{"content":' || to_json(text) || ',"turn":' || turn || ',"type":"message"}' END AS json
+FROM e LEFT JOIN i USING (conv_id, call_id)
+"""
+
+ORACLES["op10_jaccard_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS x FROM w, unnest(range(1, greatest(len(ws) - 3, 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
