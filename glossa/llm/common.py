@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of `rows` narrow rows for what runs within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Memo(dict):
     """A dict that computes what it lacks and holds at most about 2 * `most` entries.
 
@@ -91,16 +104,44 @@ def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
+#: Up to so many distinct edges (8 MB), one task finds their components.
+ONE_TASK_EDGES = 500_000
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root.setdefault(u, u)
+            root.setdefault(v, v)
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """Connected components of `edges`(a, b), as (node, root) with the smallest node as root.
 
-    Alternating large-star and small-star steps: each is a min per node and a join back,
+    Up to `one_task` distinct edges are counted and joined in one task; beyond, by
+    alternating large-star and small-star steps: each is a min per node and a join back,
     so no neighbourhood is ever gathered in one row. State is cut to the shared folder
     after each step. Only nodes with an edge are returned. Nulls and loops are ignored.
     """
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, step, last = scratch.cut(now, f"{name}0"), 0, None
+    if now.count() <= one_task:
+        return arrow_pass(now.coalesce(1), _union_find, "node long, root long")
     while True:
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

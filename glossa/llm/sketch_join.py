@@ -12,8 +12,8 @@ largest set has elements) and, where a larger partner may be in the next band, t
 
 Any order gives whole results; lanes that many documents share go last, so passages that
 stand in many documents seldom become keys. Within a key, pairs of close sizes are
-candidates; a second sketch, of 1024 single bits, prunes them by its Hamming distance,
-and the rest is verified on whole sets. A key's group of more than a few documents is first
+candidates; sketches of single bits (1024, for large sets 4 to 8 an element) prune them by
+their Hamming distance, and the rest is verified on whole sets. A key's group of more than a few documents is first
 linked by its neighbours in size and its first member; only where that leaves it in more than one component are
 its pairs across components tested, with widening windows until all are done. So no group's
 pairs are all listed, and yet no link between components is lost.
@@ -42,9 +42,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 64
 SKETCH_BITS = 1024
 #: Lane values that occur so often among `WINDOW` lanes of one task count as common.
-COMMON, WINDOW = 4, 4_000_000
+COMMON, WINDOW = 2, 4_000_000
 #: At most so many common lane values, the most frequent, are sent out to be ordered last. They change the order alone.
-COMMON_LIST = 200_000
+COMMON_LIST = 1_000_000
 #: Rows next to each other in a key's group that the first round compares.
 NEAR = 3
 BROADCAST_IDS = 500_000
@@ -58,23 +58,76 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes."""
+    """Texts to sorted arrays of distinct shingle hashes, whole batches at a time.
+
+    Words are hashed as polynomials over their bytes, read off running sums over the batch,
+    so no word becomes an object. A shingle mixes its words' hashes in order.
+    """
+
+    BASE = 0x9FB21C651E98DF25
+    #: Bytes hashed at a time; a longer text is hashed by itself.
+    CHUNK = 1 << 20
 
     def __init__(self, words: int):
         self.words = words
-        self.memo = common.Memo(xxhash.xxh3_64_intdigest, 400_000)
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()  # bytes: A-Z alone, and cut at ASCII white space alone
-        if not words:
-            return np.empty(0, np.uint64)
-        w = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        k = min(self.words, len(w))
-        with np.errstate(over="ignore"):
-            h = np.full(len(w) - k + 1, k, np.uint64)
-            for i in range(k):
-                h = h * MULTIPLIER + w[i : len(w) - k + 1 + i]
-            return np.unique(mix(h))
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.value = np.arange(1, 257, dtype=np.uint64)
+        self.value[65:91] += np.uint64(32)  # A-Z as a-z
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, 2 * self.CHUNK)
+            step = np.full(n, self.BASE, np.uint64)
+            step[0] = 1
+            self.power = np.cumprod(step)
+            step[1:] = pow(self.BASE, -1, 1 << 64)
+            self.inverse = np.cumprod(step)
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        some, size = [], 0
+        for text in texts:
+            data = text.encode()
+            if some and size + len(data) > self.CHUNK:
+                yield from self._hash(some)
+                some, size = [], 0
+            some.append(data)
+            size += len(data) + 1
+        if some:
+            yield from self._hash(some)
+
+    def _hash(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        self._reach(len(raw) + 1)
+        space = self.space[raw]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.value[raw] * self.power[: len(raw)], out=sums[1:])
+        edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        word = mix((sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        at = np.searchsorted(begin, bounds)  # words before each text's end
+        k = self.words
+        runs = max(0, len(word) - k + 1)
+        whole = np.full(runs, k, np.uint64)
+        for i in range(k):
+            whole = whole * MULTIPLIER + word[i : i + runs]
+        whole = mix(whole)
+        first = 0
+        for last in at.tolist():
+            n = last - first
+            if n >= k:
+                found = np.sort(whole[first : last - k + 1])
+                yield found[np.r_[True, found[1:] != found[:-1]]]
+            elif n:
+                h = np.full(1, n, np.uint64)
+                for i in range(first, last):
+                    h = h * MULTIPLIER + word[i]
+                yield mix(h)
+            else:
+                yield np.empty(0, np.uint64)
+            first = last
 
 
 def as_long(x: np.ndarray) -> np.ndarray:
@@ -85,12 +138,18 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh3_64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """The 1024-bit parity sketch as 16 longs."""
-    odd = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def parity_bits(shingles: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    """The parity sketch of `size` bits (a power of two) as longs. Its halves XORed are the sketch of half the size."""
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def long_bits(shingles: np.ndarray) -> np.ndarray | None:
+    """A sketch of 4 to 8 bits an element, where SKETCH_BITS are fewer than that."""
+    size = 4 << max(0, len(shingles) - 1).bit_length()
+    return parity_bits(shingles, size) if size > SKETCH_BITS else None
+
+
 def most_apart(a, b, percent: int):
     """The largest symmetric difference of sets of a and b elements whose Jaccard is percent / 100 or more."""
     return (a + b) * (100 - percent) // (100 + percent)
@@ -124,7 +183,7 @@ def sketches(shingles: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, i
 
 
 def _facts(words: int, percent: int):
-    """Documents to (kind 0: id, size, set hash, bit sketch) and (kind 1: common lane values, their counts)."""
+    """Documents to (kind 0: id, size, set hash, both bit sketches) and (kind 1: common lane values, their counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = common.keep(f"shingler {words}", lambda: Shingler(words))
@@ -142,12 +201,12 @@ def _facts(words: int, percent: int):
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            n, h, bits = [], [], []
-            for text in common.texts(batch.column(1)):
-                s = shingle(text)
+            n, h, bits, more = [], [], [], []
+            for s in shingle(common.texts(batch.column(1))):
                 n.append(len(s))
                 h.append(set_hash(s) if len(s) else None)
                 bits.append(parity_bits(s))
+                more.append(long_bits(s))
                 if len(s):
                     for values, _ in sketches(s, percent):
                         pending.append(values)
@@ -157,7 +216,7 @@ def _facts(words: int, percent: int):
                     pending, size = [], 0
             count = len(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * count, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, longs), pa.array([None] * count, longs)], names
+                [pa.array([0] * count, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, longs), pa.array(more, longs)], names
             )
         yield from common_lanes()
 
@@ -173,8 +232,7 @@ def _keys(words: int, percent: int, common_values):
         seen: set[int] = set()
         for batch in batches:
             keys, hashes, sizes = [], [], []
-            for text in common.texts(batch.column(0)):
-                s = shingle(text)
+            for s in shingle(common.texts(batch.column(0))):
                 if not len(s) or (h := set_hash(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -218,8 +276,7 @@ def _pairs(percent: int, near: int, first: bool):
             keep = keep & (h1 != h2) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
             h1, n1, h2, n2 = h1[keep], n1[keep], h2[keep], n2[keep]
             swap = h1 > h2
-            rows = np.stack([np.where(swap, h2, h1), np.where(swap, h1, h2), np.where(swap, n2, n1), np.where(swap, n1, n2)], 1)
-            return np.unique(rows, axis=0)
+            return np.stack([np.where(swap, h2, h1), np.where(swap, h1, h2), np.where(swap, n2, n1), np.where(swap, n1, n2)], 1)
 
         for batch in batches:
             key, h, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
@@ -270,23 +327,50 @@ def _pairs(percent: int, near: int, first: bool):
 PAIRS = "kind int, a long, b long, na long, nb long"
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets_of, scratch: Scratch, percent: int, name: str) -> DataFrame:
-    """The pairs whose Jaccard is high enough, as (a, b)."""
-    bits = classes.select("h", "bits")
-    a, b = bits.select(F.col("h").alias("a"), F.col("bits").alias("bits_a")), bits.select(F.col("h").alias("b"), F.col("bits").alias("bits_b"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("na") + F.col("nb")
-    likely = scratch.cut(pairs.join(a, "a").join(b, "b").where(apart <= F.floor(total * (100 - percent) / (100 + percent))).select("a", "b", "na", "nb"), f"likely{name}")
+def _apart_bits(a, b):
+    """Hamming distance of two sketches; the longer is folded to the shorter's size."""
+
+    def half(x):
+        n = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda u, v: u.bitwiseXOR(v))
+
+    x, y = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bit sketches don't rule out: the short ones first, then the long ones of large sets."""
+    most = F.floor((F.col("na") + F.col("nb")) * (100 - percent) / (100 + percent))
+
+    def kept(some: DataFrame, column: str) -> DataFrame:
+        bits = classes.where(F.col(column).isNotNull()).select("h", F.col(column).alias("x"))
+        a, b = bits.select(F.col("h").alias("a"), F.col("x").alias("xa")), bits.select(F.col("h").alias("b"), F.col("x").alias("xb"))
+        # sets of which one has no long sketch are not ruled out
+        met = some.join(a, "a", "left").join(b, "b", "left")
+        return met.where(F.coalesce(_apart_bits(F.col("xa"), F.col("xb")) <= most, F.lit(True))).drop("xa", "xb")
+
+    return kept(kept(pairs, "bits"), "more")
+
+
+def _verify(likely: DataFrame, sets_of, scratch: Scratch, percent: int, name: str) -> DataFrame:
+    """The pairs whose Jaccard is high enough, as (a, b); whole sets travel for these pairs alone."""
     wanted = likely.select(F.col("a").alias("h")).union(likely.select(F.col("b").alias("h"))).distinct()
     sets = scratch.cut(sets_of(wanted), f"sets{name}")
     left, right = sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), sets.select(F.col("h").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    links = likely.join(left, "a").join(right, "b").where(100 * both >= percent * (total - both)).select("a", "b")
+    links = likely.select("a", "b", "na", "nb").join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
     links = scratch.cut(links, f"links{name}")
     scratch.drop(f"sets{name}")
+    scratch.settle()
     return links
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).drop("ra", "rb")
+
+
 def jaccard_join(
     docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, widths: tuple[int, ...] = (32, 128, 512)
 ) -> DataFrame:
@@ -299,8 +383,8 @@ def jaccard_join(
 
     # pass 1: sizes, classes of equal sets, common lane values
     facts = scratch.cut(common.arrow_pass(rows, _facts(words, percent), f"kind int, doc_id {id_type}, n long, h long, values array<long>, counts array<long>"), "facts")
-    meta = facts.where("kind = 0").select("doc_id", "n", "h", F.col("values").alias("bits"))
-    classes = meta.where("doc_id is not null and n > 0").groupBy("h").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    meta = facts.where("kind = 0").select("doc_id", "n", "h", F.col("values").alias("bits"), F.col("counts").alias("more"))
+    classes = meta.where("doc_id is not null and n > 0").groupBy("h").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"))
     classes = scratch.cut(classes, "classes")
     often = facts.where("kind = 1").select(F.explode(F.arrays_zip("values", "counts")).alias("x")).groupBy("x.values").agg(F.sum("x.counts").alias("c"))
     often = common.most_frequent(scratch.cut(often, "often"), "c", COMMON_LIST).toPandas()["values"].to_numpy(dtype=np.int64)
@@ -309,8 +393,11 @@ def jaccard_join(
     # pass 2: keys, dealt by key and sorted, to candidates
     keys = common.arrow_pass(rows.where("doc_id is not null").select("t"), _keys(words, percent, sent), "key long, h long, n int")
     dealt = keys.repartition(F.col("key")).sortWithinPartitions("key", "n", "h")
-    found = scratch.cut(common.arrow_pass(dealt, _pairs(percent, near, True), PAIRS), "found")
-    pairs = found.where("kind = 0").select("a", "b", "na", "nb").distinct()
+    with common.batch_rows(spark, 50_000):
+        found = scratch.cut(common.arrow_pass(dealt, _pairs(percent, near, True), PAIRS), "found")
+    del keys, dealt
+    scratch.settle()
+    pairs = found.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     larger = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("h"), F.col("na").cast("int").alias("n"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
@@ -319,13 +406,23 @@ def jaccard_join(
 
         def run(batches):
             shingle = common.keep(f"shingler {words}", lambda: Shingler(words))
+            seen: set[int] = set()
             for batch in batches:
-                sets = [shingle(t) for t in common.texts(batch.column(0))]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([as_long(s) for s in sets], pa.list_(pa.int64()))], ["h", "s"])
-
-        return common.arrow_pass(some, run, "h long, s array<long>").dropDuplicates(["h"])
-
-    links = _verify(pairs, classes, sets_of, scratch, percent, "0")
+                sets = {set_hash(s): as_long(s) for s in shingle(common.texts(batch.column(0)))}
+                for h in seen & sets.keys():  # rows that repeat an id
+                    del sets[h]
+                seen |= sets.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], ["h", "s"])
+
+        return common.arrow_pass(some, run, "h long, s array<long>")
+
+    # first each class with the one it shares most keys with, then what that left apart
+    likely = scratch.cut(_likely(pairs, classes, percent), "likely")
+    best = likely.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("shared", "a")).alias("x")).select("x.a", "b", "x.na", "x.nb")
+    links = _verify(scratch.cut(best, "best"), sets_of, scratch, percent, "first")
+    roots = scratch.cut(common.components(links, scratch, "first_cc"), "first_roots")
+    rest = _apart(likely.join(best, ["a", "b"], "left_anti"), roots)
+    links = links.union(_verify(scratch.cut(rest, "second"), sets_of, scratch, percent, "second"))
     versions = meta.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
     links = links.union(meta.where("n > 0").select("doc_id", "h").join(versions, "doc_id").where("a <> h").select("a", F.col("h").alias("b")))
     tested, step = pairs.select("a", "b"), 0
@@ -350,9 +447,11 @@ def jaccard_join(
             close = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2")) & (F.col("h") < F.col("h2"))
             more = rest.join(other, "key").where(close).select(F.col("h").alias("a"), F.col("h2").alias("b"), F.col("n").cast("long").alias("na"), F.col("n2").cast("long").alias("nb"))
             step = len(widths) + 1
-        more = scratch.cut(more.distinct().join(tested, ["a", "b"], "left_anti"), f"more{step}")
+        with common.batch_rows(spark, 50_000):
+            more = scratch.cut(more.distinct().join(tested, ["a", "b"], "left_anti"), f"more{step}")
         tested = tested.union(more.select("a", "b"))
-        links = links.union(_verify(more, classes, sets_of, scratch, percent, str(step)))
+        likely = scratch.cut(_likely(more, classes, percent), f"likely{step}")
+        links = links.union(_verify(likely, sets_of, scratch, percent, str(step)))
     scratch.drop("found")
 
     # the smallest document of each component, for its classes
