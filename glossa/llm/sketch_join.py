@@ -261,12 +261,15 @@ def _pairs(percent: int, near: int, first: bool):
     """Rows sorted by key, size and hash to candidate pairs (kind 0) and members of larger groups (kind 1).
 
     Pairs are of rows at most `near` apart and, in the first round, of each row with its
-    group's first. Later rounds have a component per row and pair across components only.
+    group's first. Later rounds have a component and a short sketch per row; they pair across
+    components only, and pairs that the sketches rule out don't leave the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "a", "b", "na", "nb"]
         carry = [np.empty(0, np.int64)] * (4 if first else 5)  # key, h, n, place in the group, component
+        words = SKETCH_BITS // 64
+        old_bits = np.empty((0, words), np.int64)
         head: dict[str, int] = {}
 
         def give(kind, a, b, na, nb):
@@ -281,6 +284,7 @@ def _pairs(percent: int, near: int, first: bool):
         for batch in batches:
             key, h, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
             comp = None if first else batch.column(3).to_numpy()
+            bits = old_bits if first else np.concatenate([old_bits, batch.column(4).flatten().to_numpy().reshape(-1, words)])
             if not len(key):
                 continue
             begins = np.r_[True, key[1:] != key[:-1]]
@@ -299,7 +303,10 @@ def _pairs(percent: int, near: int, first: bool):
                 new = np.arange(max(old, back), len(k_all))
                 keep = k_all[new] == k_all[new - back]
                 if not first:
-                    keep &= c_all[new] != c_all[new - back]
+                    keep &= (c_all[new] != c_all[new - back]) & (100 * np.minimum(n_all[new], n_all[new - back]) >= percent * np.maximum(n_all[new], n_all[new - back]))
+                    some = np.flatnonzero(keep)
+                    apart = np.bitwise_count((bits[new[some]] ^ bits[new[some] - back]).view(np.uint64)).sum(1)
+                    keep[some] = apart <= most_apart(n_all[new[some]], n_all[new[some] - back], percent)
                 if keep.any():
                     found.append(pair(h_all[new - back], n_all[new - back], h_all[new], n_all[new], keep))
             for rows in found:
@@ -319,6 +326,7 @@ def _pairs(percent: int, near: int, first: bool):
             carry = [k_all[tail:], h_all[tail:], n_all[tail:], np.empty(0, np.int64) if not first else p_all[tail:]]
             if not first:
                 carry.append(c_all[tail:])
+                old_bits = bits[tail:]
             head = {"key": int(key[-1]), "count": int(place[-1]) + 1, "h": int(first_h[-1]), "n": int(first_n[-1])}
 
     return run
@@ -439,7 +447,7 @@ def jaccard_join(
         width = next((w for w in widths[step:] if w >= most), widths[step] if step < len(widths) else None)
         rest = scratch.cut(placed.join(open_keys, "key", "left_semi"), f"rest{step}")
         if width is not None:
-            again = rest.repartition(F.col("key")).sortWithinPartitions("key", "n", "h")
+            again = rest.join(classes.select("h", "bits"), "h").select("key", "h", "n", "comp", "bits").repartition(F.col("key")).sortWithinPartitions("key", "n", "h")
             more = common.arrow_pass(again, _pairs(percent, width, False), PAIRS).select("a", "b", "na", "nb")
             step = step + 1 if width < most else len(widths) + 1
         else:  # the last: whatever is left, whole
