@@ -1,7 +1,8 @@
 """Operator 6: nearest neighbours by inner product over balanced posting lists.
 
-Centroids are fitted by balanced k-means on a bounded sample (`sample` vectors, the parameter); every
-vector is indexed. A vector goes to its nearest list and, if it lies near the boundary,
+Centroids, as many as the square root of the vectors' number at most, so that routed queries and
+vectors read grow alike, are fitted by balanced k-means on a bounded sample (`sample` vectors, the
+parameter); every vector is indexed. A vector goes to its nearest list and, if it lies near the boundary,
 also to other lists (at most `replicas`). Centroids are searched by a graph in memory:
 best-first over each centroid's nearest ones, in batches. A query reads the lists
 whose centroid is no farther than `ratio` times the nearest one's; the ratio is chosen on a bounded
@@ -21,6 +22,7 @@ asked once for each distinct vector and id, and never finds its own id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,7 +152,7 @@ def nearest(
     rate = min(1.0, sample / n)
     fitted = good.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + (rate == 1.0)).select("x").limit(sample).toPandas()
     train = lengthened(np.stack([np.frombuffer(v, np.float64) for v in fitted["x"]]), most) if len(fitted) else np.zeros((1, length + 1), np.float32)
-    graph = CentroidGraph(balanced_centroids(train, int(np.clip(n // list_size, 1, min(most_lists, len(train))))))
+    graph = CentroidGraph(balanced_centroids(train, int(np.clip(min(n // list_size, math.isqrt(n)), 1, min(most_lists, len(train))))))
     lists = len(graph.c)
     sent = spark.sparkContext.broadcast(graph)
 
