@@ -8,8 +8,10 @@ split at random into parts of about `part` members, so no group grows with the d
 
 Listed pairs at or over the threshold, confirmed in double precision, join nodes to
 components. A list whose every entry is over the threshold is saturated: it can't hold all
-links. Lists of nodes with links are therefore enlarged to their whole component, compared
-in blocks of which only counts leave. An audit compares a bounded, documented sample
+links, and those it lacks may lead to other components. Nodes of saturated lists therefore
+descend again among themselves, by lists that hold no node of their own component, until
+no link joins two components any more. Links within a component are then counted by comparing
+its nodes in blocks, of which only counts leave. An audit compares a bounded, documented sample
 of nodes with all others; while pairs over the threshold are found apart, the descent
 goes on from new buckets, up to `most_rounds` times.
 
@@ -37,7 +39,7 @@ SLACK = 0.01
 
 
 def _local_join(k: int, length: int):
-    """Groups of (g, node, x, floor, fresh) to improvements (u, v, s)."""
+    """Groups of (g, node, x, floor, fresh, apart) to improvements (u, v, s) between nodes that differ in `apart`."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for group in vectors.groups(batches):
@@ -46,11 +48,11 @@ def _local_join(k: int, length: int):
                 continue
             node = group.column("node").to_numpy()
             x = vectors.matrix(group.column("x"), np.float16, length).astype(np.float32)
-            fresh = group.column("fresh").to_numpy()
+            fresh, apart = group.column("fresh").to_numpy(), group.column("apart").to_numpy()
             s = x @ x.T
             s[~(fresh[:, None] | fresh[None, :])] = -2
             s[s <= group.column("floor").to_numpy()[:, None]] = -2
-            s[node[:, None] == node[None, :]] = -2
+            s[apart[:, None] == apart[None, :]] = -2
             if size - 1 > k:
                 least = np.partition(s, size - k, axis=1)[:, size - k]
                 s[s < least[:, None]] = -2
@@ -139,17 +141,17 @@ def near_duplicates(
     light = nodes.select("node", "x")
 
     def meet(members: DataFrame, lists: DataFrame | None, step: int) -> DataFrame:
-        """(c, node, fresh) to improvements of the members' lists."""
-        sizes = members.groupBy("c").agg(F.count("*").alias("m"), F.max("fresh").alias("any")).where("any and m > 1")
+        """(c, node, fresh, apart) to improvements of the members' lists."""
+        sizes = members.groupBy("c").agg(F.count("*").alias("m"), F.max("fresh").alias("any"), (F.min("apart") < F.max("apart")).alias("mixed")).where("any and mixed")
         parts = F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("m") / part))
-        split = members.join(sizes, "c").select(F.xxhash64("c", parts, F.lit(step)).alias("g"), "node", "fresh")
+        split = members.join(sizes, "c").select(F.xxhash64("c", parts, F.lit(step)).alias("g"), "node", "fresh", "apart")
         if lists is None:
             split = split.withColumn("floor", F.lit(-1.0).cast("float"))
         else:
             floors = lists.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("have"))
             floors = floors.select(F.col("u").alias("node"), F.when(F.col("have") >= k, F.col("low")).otherwise(-1.0).cast("float").alias("floor"))
             split = split.join(floors, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0).cast("float")))
-        dealt = split.join(light, "node").select("g", "node", "x", "floor", "fresh").repartition("g").sortWithinPartitions("g")
+        dealt = split.join(light, "node").select("g", "node", "x", "floor", "fresh", "apart").repartition("g").sortWithinPartitions("g")
         return common.arrow_pass(dealt, _local_join(k, length), "u long, v long, s float")
 
     def merge(lists: DataFrame | None, found: DataFrame) -> DataFrame:
@@ -160,6 +162,11 @@ def near_duplicates(
         place = F.row_number().over(W.partitionBy("u").orderBy(F.desc("s"), "v"))
         return best.withColumn("at", place).where(F.col("at") <= k).select("u", "v", "s", "fresh")
 
+    def around(lists: DataFrame) -> DataFrame:
+        """Every node's neighbours, forward and reverse, as (c, node, fresh)."""
+        ways = lists.select(F.col("u").alias("c"), F.col("v").alias("node"), "fresh").union(lists.select(F.col("v").alias("c"), F.col("u").alias("node"), "fresh"))
+        return ways.groupBy("c", "node").agg(F.max("fresh").alias("fresh"))
+
     def confirmed(lists: DataFrame) -> DataFrame:
         """Pairs at or over the threshold in double precision."""
         close = lists.where(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
@@ -174,6 +181,40 @@ def near_duplicates(
 
         return common.arrow_pass(both.select("a", "b", "xa", "xb"), check, "a long, b long, cosine double").where(F.col("cosine") >= threshold).select("a", "b")
 
+    def across(lists: DataFrame, edges: DataFrame, roots: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
+        """Edges and roots with the links between components that saturated lists had no place for.
+
+        A link that is in neither end's list has two saturated ends, so only these take part.
+        They meet by the lists they have, and fill new ones with nodes of other components only.
+        """
+        ends = lists.groupBy("u").agg(F.min("s").alias("low"), F.count("*").alias("have"))
+        full = ends.where((F.col("have") >= k) & (F.col("low") >= threshold - SLACK)).select(F.col("u").alias("node"))
+        full = scratch.cut(full, f"full{round_}")
+        m = full.count()
+        few = max(1, int(np.log2(max(2, m / (part / 2)))))
+        known = lists.join(full.select(F.col("node").alias("u")), "u").join(full.select(F.col("node").alias("v")), "v").select("u", "v")
+        known = scratch.cut(known, f"known{round_}")
+        turn = 0
+        while True:
+            name = f"{round_}_{turn}"
+            homes = scratch.cut(full.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("apart")), f"homes{name}")
+            if homes.select("apart").distinct().limit(2).count() < 2:
+                return edges, roots
+            hashed = common.arrow_pass(light.join(homes, "node").select("node", "x"), _buckets(tables, few, length, most_rounds * (turn + 1) + round_), "c long, node long")
+            other = scratch.cut(merge(None, meet(hashed.withColumn("fresh", F.lit(True)).join(homes, "node"), None, turn)), f"other{name}_0")
+            for sweep in range(1, sweeps + 1):
+                ways = around(other.select("u", "v", "fresh").union(known.withColumn("fresh", F.lit(sweep == 1))))
+                other = scratch.cut(merge(other, meet(ways.join(homes, "node"), other, turn + sweep)), f"other{name}_{sweep}")
+                scratch.drop(f"other{name}_{sweep - 1}")
+                if other.where("fresh").count() <= 0.01 * k * m:
+                    break
+            found = scratch.cut(confirmed(other), f"found{name}")
+            if not found.count():
+                return edges, roots
+            edges = scratch.cut(found.union(edges).distinct(), f"wider{name}")
+            roots = scratch.cut(common.components(edges, scratch, f"ww{name}_"), f"wider_roots{name}")
+            turn += 1
+
     def audited(roots: DataFrame, round_: int) -> DataFrame:
         """Pairs over the threshold of the sample's nodes with any other, that are in different components."""
         rate = max(1, n // audit)
@@ -201,12 +242,11 @@ def near_duplicates(
     bits = max(1, int(np.log2(max(2, n / (part / 2)))))
     lists, edges, step = None, None, 0
     for round_ in range(most_rounds):
-        hashed = common.arrow_pass(light, _buckets(tables, bits, length, round_), "c long, node long").withColumn("fresh", F.lit(True))
+        hashed = common.arrow_pass(light, _buckets(tables, bits, length, round_), "c long, node long").withColumn("fresh", F.lit(True)).withColumn("apart", F.col("node"))
         lists = scratch.cut(merge(lists, meet(hashed, lists, step)), f"lists{step}")
         for _ in range(sweeps):
             step += 1
-            ways = lists.select(F.col("u").alias("c"), F.col("v").alias("node"), "fresh").union(lists.select(F.col("v").alias("c"), F.col("u").alias("node"), "fresh"))
-            members = ways.groupBy("c", "node").agg(F.max("fresh").alias("fresh"))
+            members = around(lists).withColumn("apart", F.col("node"))
             lists = scratch.cut(merge(lists, meet(members, lists, step)), f"lists{step}")
             scratch.drop(f"lists{step - 1}")
             if lists.where("fresh").count() <= 0.01 * k * n:
@@ -215,13 +255,14 @@ def near_duplicates(
         found = confirmed(lists)
         edges = scratch.cut(found if edges is None else found.union(edges).distinct(), f"edges{round_}")
         roots = scratch.cut(common.components(edges, scratch, f"cc{round_}_"), f"roots{round_}")
+        edges, roots = across(lists, edges, roots, round_)
         missed = scratch.cut(audited(roots, round_), f"missed{round_}")
         if not missed.count():
             break
         edges = edges.union(missed)
         roots = scratch.cut(common.components(edges, scratch, f"dd{round_}_"), f"all_roots{round_}")
 
-    # enlarged lists: whole components, in blocks of nodes compared pair by pair
+    # counts of links: whole components, in blocks of nodes compared pair by pair
     placed = roots.join(nodes.select("node", "copies", "full"), "node")
     sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
     blocks = F.ceil(F.col("m") / block)

@@ -44,6 +44,42 @@ def test_links_and_components_are_brute_force(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out)
 
 
+def brute_force(x, ids, threshold):
+    """Rows of (id, n_links, component_id)."""
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = unit @ unit.T >= threshold
+    root = np.arange(len(x))
+    while True:
+        new = np.array([root[near[i]].min() for i in range(len(x))])
+        if (new == root).all():
+            break
+        root = new
+    least = {r: min(ids[root == r]) for r in set(root.tolist())}
+    return sorted((int(i), int(near[k].sum()) - 1, int(least[root[k]])) for k, i in enumerate(ids))
+
+
+def clump_chains(chains, clumps, size, seed=0, dim=64):
+    """Chains of clumps whose members, about 0.98 alike, fill each other's lists; neighbouring clumps are about 0.92 alike."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(chains):
+        a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for c in range(clumps):
+            middle = np.cos(0.35 * c) * a + np.sin(0.35 * c) * b
+            rows.append(middle + 0.14 / np.sqrt(dim) * rng.normal(size=(size, dim)))
+    x = np.concatenate([*rows, rng.normal(size=(500, dim))])
+    return x[rng.permutation(len(x))].astype(np.float32).astype(float)
+
+
+def test_clumps_that_fill_their_lists_are_linked(spark):
+    x = clump_chains(chains=20, clumps=3, size=14)
+    ids = np.arange(len(x)) * 7 % 10007
+    want = brute_force(x, ids, 0.9)
+    assert max(sum(w[2] == c for w in want) for c in {w[2] for w in want}) == 3 * 14
+    out = nn_descent.near_duplicates(table(spark, x, ids), threshold=0.9, audit=1).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == want
+
+
 def test_empty_vectors(spark):
     none = table(spark, np.zeros((0, 8)))
     assert nn_descent.near_duplicates(none).count() == 0 and posting_lists.nearest(none).count() == 0
