@@ -11,9 +11,11 @@ components. A list whose every entry is over the threshold is saturated: it can'
 links, and those it lacks may lead to other components. Nodes of saturated lists therefore
 descend again among themselves, by lists that hold no node of their own component, until
 no link joins two components any more. Links within a component are then counted by comparing
-its nodes in blocks, of which only counts leave. An audit compares a bounded, documented sample
-of nodes with all others; while pairs over the threshold are found apart, the descent
-goes on from new buckets, up to `most_rounds` times.
+its nodes in blocks, of which only counts leave. An audit compares a bounded sample of about `audit`
+nodes, another one each round, with all others. It judges what the descent found by itself:
+while pairs over the threshold that any audit has met are apart, the descent goes on from new
+buckets, up to `most_rounds` times. If pairs are apart even then, a warning gives the recall
+of the last audit, and those pairs, known to be links, are joined.
 
 Vectors that are null, zero, or hold null or non-finite components, and those whose
 length differs from the most frequent one, link with nothing and keep themselves. An
@@ -23,6 +25,7 @@ are not read.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,8 +119,13 @@ def near_duplicates(
     most_rounds: int = 4,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
+    report: dict | None = None,
 ) -> DataFrame:
-    """One row per vector: id, n_links, component_id (the smallest id reachable), kept."""
+    """One row per vector: id, n_links, component_id (the smallest id reachable), kept.
+
+    `report` is given the rounds and the recall: the share of the last audit's links that
+    the descent had joined.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "nn")
     given = rows.select(rows[id_col].alias("id"), rows[vector_col].alias("e"))
@@ -215,12 +223,12 @@ def near_duplicates(
             roots = scratch.cut(common.components(edges, scratch, f"ww{name}_"), f"wider_roots{name}")
             turn += 1
 
-    def audited(roots: DataFrame, round_: int) -> DataFrame:
-        """Pairs over the threshold of the sample's nodes with any other, that are in different components."""
+    def audited(round_: int) -> DataFrame:
+        """Pairs over the threshold of the sample's nodes with any other."""
         rate = max(1, n // audit)
         some = nodes.where(F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(rate)) == 0).select("node", "full").limit(2 * audit).toPandas()
         if not len(some):
-            return roots.where("false").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            return nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
         x = np.stack([np.frombuffer(v, np.float64) for v in some["full"]])
         sent = spark.sparkContext.broadcast((some["node"].to_numpy(), x / np.sqrt((x * x).sum(1, keepdims=True))))
 
@@ -234,13 +242,16 @@ def near_duplicates(
                 i, j = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(ids[j])], ["a", "b"])
 
-        true = common.arrow_pass(nodes.select("node", "full"), compare, "a long, b long")
+        return common.arrow_pass(nodes.select("node", "full"), compare, "a long, b long")
+
+    def apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+        """Links between different components."""
         place = roots.select("node", "root")
-        at = true.join(place.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(place.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        at = links.join(place.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(place.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
         return at.where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select("a", "b")
 
     bits = max(1, int(np.log2(max(2, n / (part / 2)))))
-    lists, edges, step = None, None, 0
+    lists, edges, missed, step = None, None, None, 0
     for round_ in range(most_rounds):
         hashed = common.arrow_pass(light, _buckets(tables, bits, length, round_), "c long, node long").withColumn("fresh", F.lit(True)).withColumn("apart", F.col("node"))
         lists = scratch.cut(merge(lists, meet(hashed, lists, step)), f"lists{step}")
@@ -256,11 +267,18 @@ def near_duplicates(
         edges = scratch.cut(found if edges is None else found.union(edges).distinct(), f"edges{round_}")
         roots = scratch.cut(common.components(edges, scratch, f"cc{round_}_"), f"roots{round_}")
         edges, roots = across(lists, edges, roots, round_)
-        missed = scratch.cut(audited(roots, round_), f"missed{round_}")
-        if not missed.count():
+        links = scratch.cut(audited(round_), f"audit{round_}")
+        total, lost = links.count(), apart(links, roots).count()
+        # what earlier audits met counts until the descent has joined it too
+        missed = scratch.cut(apart(links if missed is None else links.union(missed), roots), f"missed{round_}")
+        left = missed.count()
+        if report is not None:
+            report.update(rounds=round_ + 1, recall=1 - lost / total if total else 1.0)
+        if not left:
             break
-        edges = edges.union(missed)
-        roots = scratch.cut(common.components(edges, scratch, f"dd{round_}_"), f"all_roots{round_}")
+    else:
+        warnings.warn(f"after {most_rounds} rounds {left} audited links join components that the descent left apart; it had joined {total - lost} of the last audit's {total}", stacklevel=2)
+        roots = scratch.cut(common.components(edges.union(missed), scratch, "dd"), "all_roots")
 
     # counts of links: whole components, in blocks of nodes compared pair by pair
     placed = roots.join(nodes.select("node", "copies", "full"), "node")

@@ -80,6 +80,25 @@ def test_clumps_that_fill_their_lists_are_linked(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == want
 
 
+def test_audit_far_below_all_nodes(spark):
+    x = clusters(n=1500)
+    ids = np.arange(len(x))
+    told = {}
+    out = nn_descent.near_duplicates(table(spark, x, ids), threshold=0.9, audit=16, report=told).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == brute_force(x, ids, 0.9)
+    assert told["recall"] == 1
+
+
+def test_audit_judges_the_descent_alone(spark):
+    x = clusters()
+    ids = np.arange(len(x))
+    told = {}
+    with pytest.warns(UserWarning, match="after 2 rounds"):  # the audit covers all, and its own pairs don't count as found
+        out = nn_descent.near_duplicates(table(spark, x, ids), threshold=0.9, tables=1, part=4, sweeps=0, most_rounds=2, report=told).collect()
+    assert told["rounds"] == 2 and told["recall"] < 1
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == brute_force(x, ids, 0.9)
+
+
 def test_empty_vectors(spark):
     none = table(spark, np.zeros((0, 8)))
     assert nn_descent.near_duplicates(none).count() == 0 and posting_lists.nearest(none).count() == 0
