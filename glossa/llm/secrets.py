@@ -34,18 +34,25 @@ class Rule:
     base: bool = False
 
 
+#: What follows a private key's first line: all to its END line if that comes before another
+#: BEGIN or END, else header fields and lines (or long runs) of base64 alone. Line breaks may be escaped.
+_BREAK = r"(?:[^\S\n]|\\r)*+(?:\n|\\n)(?:[^\S\n]|\\r)*+"
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+-----END\x20[A-Z ]*PRIVATE\x20KEY-----"
+_FIELDS = rf"(?:{_BREAK}(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_BREAK}(?={_BREAK}))*+"
+_LINES = rf"(?:\s++[A-Za-z0-9+/]{{40,}}+=*+|{_BREAK}[A-Za-z0-9+/]++=*+(?=[^\S\n]*+(?:\n|\\[rn]|\Z)))*+"
+
 #: The first three kinds and their patterns are given by the contract.
 RULES = (
     Rule("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, True),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}{_LINES})"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:[^\s/@]{1,80}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/@]++@"),
 )
 #: A change of RULES must change this: the ledger then scans every blob again.
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 
 #: Findings are broadcast up to so many blobs, joined by shuffle beyond.
 BROADCAST_ROWS = 100_000

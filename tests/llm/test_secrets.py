@@ -57,3 +57,31 @@ def test_redaction_masks_the_union_of_spans(spark):
     found = s.join_back(docs, scratch.cut(s.update_ledger(docs), "l"), scratch)
     out = {r.doc_id: r.t for r in found.select("doc_id", s.redact(s.F.col("text"), s.F.col("findings")).alias("t")).collect()}
     assert out[1] == "é\U0001f600 [secret] [secret]' end" and out[2] == "clean" and out[3] is None
+
+
+def test_private_keys_are_masked_to_their_end():
+    scanner = s.Scanner(s.RULES)
+
+    def spans(text, kind):
+        return [text[x["start"] : x["end"]] for x in scanner.scan(text) if x["kind"] == kind]
+
+    body = "\n".join(["MIIEpAIBAAKCAQEA+/" + "aB3" * 15] * 4 + ["c2hvcnQ="])
+    for kind in ("RSA ", ""):
+        begin, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        for fields in ("\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"):
+            for form in (str, lambda x: x.replace("\n", "\r\n"), lambda x: x.replace("\n", "\\n")):
+                whole, cut = form(begin + fields + body + "\n" + end), form(begin + fields + body)
+                assert spans(f"a {whole} b", "private_key") == [whole]
+                assert spans(f"a {cut}", "private_key") == [cut]
+                assert spans(f"a {cut}" + form("\n\nThe next paragraph.\n"), "private_key") == [cut]
+                assert spans(f"{whole}\n{cut}\n{whole}", "private_key") == [whole, cut, whole]
+        flat = begin + " " + body.split("\n")[0]
+        assert spans(flat + " and so on", "private_key") == [flat]
+        assert spans(f"a {begin} in a sentence", "private_key") == [begin]
+    many = begin + "\n" + "-" * 50_000 + begin * 2000
+    assert len(spans(many, "private_key")) == 2001
+
+
+def test_url_logins_of_any_length():
+    login = f"https://{'u' * 200}:{'p' * 300}@"
+    assert [x["kind"] for x in s.Scanner(s.RULES).scan(f"at {login}host/x") if x["end"] - x["start"] == len(login)] == ["url_login"]
