@@ -7,21 +7,25 @@ sketches' Hamming distance, lane by lane) is a lower bound of the symmetric diff
 Jaccard >= t bounds the symmetric difference of sets of a and b elements by
 (a + b) * (1 - t) / (1 + t) = D. Hence, by the pigeonhole principle, in any one order of all
 lane values, the first D + 1 filled lanes of two similar documents share one. These are the
-join keys. Documents are sketched per size band (a factor of 4, lanes as many as the band's
-largest set has elements) and, where a larger partner may be in the next band, there too.
+join keys. Documents are sketched per size band (a factor of 4, with LOAD lanes for each element
+of the band's largest set) and, where a larger partner may be in the next band, there too.
 
 Any order gives whole results; lanes that many documents share go last, so passages that
-stand in many documents seldom become keys. Within a key, pairs of close sizes are
-candidates; sketches of single bits (1024, for large sets 4 to 8 an element) prune them by
-their Hamming distance, and the rest is verified on whole sets. A key's group of more than a few documents is first
-linked by its neighbours in size and its first member; only where that leaves it in more than one component are
-its pairs across components tested, with widening windows until all are done. So no group's
-pairs are all listed, and yet no link between components is lost.
-
-Equal sets are one class, found by a hash of the set (64 bits, with its size). Documents
-without words, or with a null id, link with nothing; null texts count as empty. Rows that
-repeat a document id are versions of one document and share its component. Other columns are not
-read by the join. An empty table gives an empty result.
+stand in many documents seldom become keys. A key carries its place: how many lanes of a single
+element stand before it. At the first lane that two documents share, all those lanes differ, and
+each is an element of its own, so the two places together are D at most. Within a key, pairs of
+close sizes and places are candidates; sketches of single bits (1024, for large sets 4 to 8 an
+element) prune them by their Hamming distance, and the rest is verified on whole sets. A key's
+group of more than a few documents is first linked by its neighbours and its first member; only
+where that leaves it in more than one component are its pairs across components tested: first in
+a window, of which each document gives its best partner, then all of them, in blocks of bounded
+size. So no group's pairs are all listed, and yet no link between components is lost.
+
+Equal sets are one class, found by a hash of the set (64 bits; where two sets of one such hash
+differ in another 64 bits, those name them). Documents without words, or with a null id, link
+with nothing; null texts count as empty. Rows that repeat a document id are versions of one
+document and share its component. Other columns are not read by the join. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -40,13 +44,19 @@ from glossa.session import Scratch, broadcast_if_small
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Below this size every shingle has its own lane; above, bands grow by 4.
 SMALL = 64
+#: Lanes of a band for each element of its largest set (a power of two).
+LOAD = 8
 SKETCH_BITS = 1024
-#: Lane values that occur so often among `WINDOW` lanes of one task count as common.
+#: Lane values that occur so often among `WINDOW` lanes of one task count as common there.
 COMMON, WINDOW = 2, 4_000_000
-#: At most so many common lane values, the most frequent, are sent out to be ordered last. They change the order alone.
-COMMON_LIST = 1_000_000
-#: Rows next to each other in a key's group that the first round compares.
-NEAR = 3
+#: Common lane values are known by so many bits of theirs (4 MB are sent out); they change the order alone.
+COMMON_BITS = 25
+#: Rows next to each other in a key's group that the first round compares, and the second.
+NEAR, WIDTH = 3, 64
+#: Members of a block of a group, in the last round.
+BLOCK = 256
+#: A key of more rows is dealt to several tasks, for up to so many keys.
+PART, SPLITS = 20_000, 20_000
 BROADCAST_IDS = 500_000
 
 
@@ -60,30 +70,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes, whole batches at a time.
 
-    Words are hashed as polynomials over their bytes, read off running sums over the batch,
-    so no word becomes an object. A shingle mixes its words' hashes in order.
+    Words are hashed eight bytes a step, all words of a chunk at once, so no word becomes
+    an object. A shingle mixes its words' hashes in order.
     """
 
-    BASE = 0x9FB21C651E98DF25
     #: Bytes hashed at a time; a longer text is hashed by itself.
     CHUNK = 1 << 20
+    #: Words of more bytes are hashed one by one.
+    LONG = 256
 
     def __init__(self, words: int):
         self.words = words
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.value = np.arange(1, 257, dtype=np.uint64)
-        self.value[65:91] += np.uint64(32)  # A-Z as a-z
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self.power) < n:
-            n = max(n, 2 * self.CHUNK)
-            step = np.full(n, self.BASE, np.uint64)
-            step[0] = 1
-            self.power = np.cumprod(step)
-            step[1:] = pow(self.BASE, -1, 1 << 64)
-            self.inverse = np.cumprod(step)
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.mask = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         some, size = [], 0
@@ -97,15 +99,29 @@ class Shingler:
         if some:
             yield from self._hash(some)
 
+    def _word_hashes(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """`low`: lower-cased bytes, eight more than the words need."""
+        eights = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))
+        left = end - begin
+        out = mix(left.astype(np.uint64) + MULTIPLIER)
+        for i in np.flatnonzero(left > self.LONG):
+            out[i] ^= np.uint64(xxhash.xxh3_64_intdigest(low[begin[i] : end[i]].tobytes()))
+        word = np.flatnonzero(left <= self.LONG)
+        at, left = begin[word], left[word]
+        while len(word):
+            piece = eights[at]
+            last = np.flatnonzero(left < 8)
+            piece[last] &= self.mask[left[last]]
+            out[word] = mix((out[word] ^ piece) * MULTIPLIER)
+            more = left > 8
+            word, at, left = word[more], at[more] + 8, left[more] - 8
+        return out
+
     def _hash(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-        self._reach(len(raw) + 1)
-        space = self.space[raw]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.value[raw] * self.power[: len(raw)], out=sums[1:])
-        edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
+        low = self.lower[np.frombuffer(b"\n".join([*texts, b"\0" * 8]), np.uint8)]
+        edge = np.diff(self.space[low[:-8]].astype(np.int8), prepend=np.int8(1))
         begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        word = mix((sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
+        word = self._word_hashes(low, begin, end)
         bounds = np.cumsum([len(t) + 1 for t in texts])
         at = np.searchsorted(begin, bounds)  # words before each text's end
         k = self.words
@@ -134,8 +150,19 @@ def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def set_hash(shingles: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh3_64_intdigest(shingles.tobytes())], np.uint64).view(np.int64)[0])
+class Namer:
+    """Names of sets: `both` gives two independent hashes, a call the first, or the second where different sets share the first."""
+
+    def __init__(self, bits: int = 64, shared: frozenset[int] = frozenset()):
+        self.mask, self.shared = (1 << bits) - 1, shared
+
+    def both(self, shingles: np.ndarray) -> tuple[int, int]:
+        x = xxhash.xxh3_128_intdigest(shingles.tobytes())
+        return tuple(np.array([x & self.mask, x >> 64], np.uint64).view(np.int64).tolist())
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        h, g = self.both(shingles)
+        return g if h in self.shared else h
 
 
 def parity_bits(shingles: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
@@ -155,15 +182,16 @@ def most_apart(a, b, percent: int):
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def lanes(shingles: np.ndarray, band: int) -> np.ndarray:
-    """Values of the filled lanes of one band's sketch, each with its lane and band mixed in."""
+def lanes(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """One band's sketch: the values of its filled lanes, each with its lane and band mixed in, and which hold a single element."""
     with np.errstate(over="ignore"):
         salt = mix(np.array([band + 1], np.uint64))
         if not band:
-            return mix(shingles + salt)
-        lane = shingles >> np.uint64(64 - (6 + 2 * band))  # sorted hashes: lanes stand together
+            return mix(shingles + salt), np.ones(len(shingles), bool)
+        lane = shingles >> np.uint64(64 - (6 + 2 * band + LOAD.bit_length() - 1))  # sorted hashes: lanes stand together
         starts = np.flatnonzero(np.r_[True, lane[1:] != lane[:-1]])
-        return mix(np.bitwise_xor.reduceat(shingles, starts) + lane[starts] * MULTIPLIER + salt)
+        single = np.diff(starts, append=len(shingles)) == 1
+        return mix(np.bitwise_xor.reduceat(shingles, starts) + lane[starts] * MULTIPLIER + salt), single
 
 
 def band_of(n: int) -> int:
@@ -171,23 +199,23 @@ def band_of(n: int) -> int:
     return 0 if n < SMALL else (n.bit_length() - 7) // 2 + 1
 
 
-def sketches(shingles: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int]]:
-    """(lane values, keys needed) for each band in which the document may meet a partner."""
+def sketches(shingles: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(lane values, single ones, keys needed, 1 for a guest) for each band in which the document may meet a partner; guests meet only a band's own."""
     n = len(shingles)
     largest = n * 100 // percent
     own = band_of(n)
     top = SMALL * 4**own - 1
-    yield lanes(shingles, own), most_apart(n, min(largest, top), percent) + 1
+    yield *lanes(shingles, own), most_apart(n, min(largest, top), percent) + 1, 0
     if largest > top:
-        yield lanes(shingles, own + 1), most_apart(n, largest, percent) + 1
+        yield *lanes(shingles, own + 1), most_apart(n, largest, percent) + 1, 1
 
 
-def _facts(words: int, percent: int):
-    """Documents to (kind 0: id, size, set hash, both bit sketches) and (kind 1: common lane values, their counts)."""
+def _facts(words: int, percent: int, name: Namer):
+    """Documents to (kind 0: id, size, set hashes, both bit sketches) and (kind 1: low bits of common lane values, their counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = common.keep(f"shingler {words}", lambda: Shingler(words))
-        names = ["kind", "doc_id", "n", "h", "values", "counts"]
+        names = ["kind", "doc_id", "n", "h", "g", "values", "counts"]
         longs = pa.list_(pa.int64())
         pending, size = [], 0
 
@@ -195,144 +223,220 @@ def _facts(words: int, percent: int):
             if pending:
                 values, counts = np.unique(np.concatenate(pending), return_counts=True)
                 often = counts >= COMMON
-                row = [[1], [None], [None], [None], [as_long(values[often])], [counts[often]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), id_type, pa.int64(), pa.int64(), longs, longs])], names)
+                row = [[1], [None], [None], [None], [None], [as_long(values[often] & np.uint64((1 << COMMON_BITS) - 1))], [counts[often]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), id_type, pa.int64(), pa.int64(), pa.int64(), longs, longs])], names)
 
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            n, h, bits, more = [], [], [], []
+            n, names_of, bits, more = [], [], [], []
             for s in shingle(common.texts(batch.column(1))):
                 n.append(len(s))
-                h.append(set_hash(s) if len(s) else None)
+                names_of.append(name.both(s) if len(s) else (None, None))
                 bits.append(parity_bits(s))
                 more.append(long_bits(s))
                 if len(s):
-                    for values, _ in sketches(s, percent):
+                    for values, *_ in sketches(s, percent):
                         pending.append(values)
                         size += len(values)
                 if size > WINDOW:
                     yield from common_lanes()
                     pending, size = [], 0
             count = len(n)
+            h, g = zip(*names_of) if count else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * count, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, longs), pa.array(more, longs)], names
+                [pa.array([0] * count, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(bits, longs), pa.array(more, longs)], names
             )
         yield from common_lanes()
 
     return run
 
 
-def _keys(words: int, percent: int, common_values):
-    """Documents to (key, set hash, size) rows, once for each set that a task meets."""
+def _common_map(counts: DataFrame) -> np.ndarray:
+    """A bit for each low part of a lane value, set for the most frequent ones: an eighth of the bits at most, 4 MB in all."""
+    often = common.most_frequent(counts, "c", 1 << COMMON_BITS - 3)
+    pieces = often.groupBy(F.shiftright("low", 16).alias("piece")).agg(F.collect_list(F.col("low").bitwiseAND(0xFFFF).cast("int")).alias("at"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for at in batch.column(1):
+                x = np.zeros(1 << 16, bool)
+                x[at.values.to_numpy()] = True
+                bits.append(np.packbits(x).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["piece", "bits"])
+
+    out = np.zeros((1 << COMMON_BITS - 16, 1 << 13), np.uint8)
+    for row in common.arrow_pass(pieces, pack, "piece long, bits binary").collect():
+        out[row.piece] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _heavy(counts: DataFrame, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """Low parts of lane values with far more than `members` rows, sorted, and in how many parts their rows are dealt: SPLITS values at most."""
+    found = common.most_frequent(counts.where(F.col("c") > members), "c", SPLITS).collect()
+    low, c = np.array(sorted((r.low, r.c) for r in found), np.int64).reshape(-1, 2).T
+    return low, -(-c // members)
+
+
+def _is_common(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (values & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _keys(words: int, percent: int, name: Namer, order_by):
+    """Documents to (key, part, set, size, place) rows, once for each set that a task meets. Places are doubled, plus 1 for guests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = common.keep(f"shingler {words}", lambda: Shingler(words))
-        often = common_values.value
+        often, heavy, parts = order_by.value
         seen: set[int] = set()
         for batch in batches:
-            keys, hashes, sizes = [], [], []
+            keys, places, hashes, sizes = [], [], [], []
             for s in shingle(common.texts(batch.column(0))):
-                if not len(s) or (h := set_hash(s)) in seen:
+                if not len(s) or (h := name(s)) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(h)
-                for values, need in sketches(s, percent):
-                    if len(often):
-                        at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-                        last = often[at] == values
-                        values = np.concatenate([np.sort(values[~last]), np.sort(values[last])])[:need]
-                    else:
-                        values = np.sort(values)[:need]
-                    keys.append(values)
+                for values, single, need, guest in sketches(s, percent):
+                    order = np.lexsort((values, _is_common(values, often)))[:need]
+                    alone = single[order]
+                    keys.append(values[order])
+                    places.append((np.cumsum(alone) - alone) * 2 + guest)
                     hashes.append(h)
                     sizes.append(len(s))
             if keys:
                 counts = [len(k) for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.concatenate(keys))), pa.array(np.repeat(np.array(hashes, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], ["key", "h", "n"]
-                )
+                keys, hashes = np.concatenate(keys), np.repeat(np.array(hashes, np.int64), counts)
+                part = np.zeros(len(keys), np.int32)
+                if len(heavy):
+                    low = (keys & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)
+                    at = np.minimum(np.searchsorted(heavy, low), len(heavy) - 1)
+                    part = np.where(heavy[at] == low, 1 + hashes % parts[at], 0).astype(np.int32)
+                columns = [as_long(keys), part, hashes, np.repeat(np.array(sizes, np.int32), counts), np.concatenate(places).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "part", "h", "n", "q"])
 
     return run
 
 
-def _pairs(percent: int, near: int, first: bool):
-    """Rows sorted by key, size and hash to candidate pairs (kind 0) and members of larger groups (kind 1).
+def _may_pair(n1, q1, n2, q2, percent: int):
+    """Rows of one key that sizes and places allow to be a pair's first shared lane."""
+    close = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+    return close & ((q1 & q2 & 1) == 0) & ((q1 >> 1) + (q2 >> 1) <= most_apart(n1, n2, percent))
 
-    Pairs are of rows at most `near` apart and, in the first round, of each row with its
-    group's first. Later rounds have a component and a short sketch per row; they pair across
-    components only, and pairs that the sketches rule out don't leave the task.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "na", "nb"]
-        carry = [np.empty(0, np.int64)] * (4 if first else 5)  # key, h, n, place in the group, component
-        words = SKETCH_BITS // 64
-        old_bits = np.empty((0, words), np.int64)
-        head: dict[str, int] = {}
+PAIRS = "kind int, a long, b long, na long, nb long"
+
+
+def _give(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in columns)], ["kind", "a", "b", "na", "nb"])
+
+
+def _ordered(h1, n1, h2, n2) -> tuple[np.ndarray, ...]:
+    swap = h1 > h2
+    return np.where(swap, h2, h1), np.where(swap, h1, h2), np.where(swap, n2, n1), np.where(swap, n1, n2)
+
 
-        def give(kind, a, b, na, nb):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, na, nb))], names)
+def _pairs(percent: int, near: int):
+    """Rows sorted by key, place, size and set to candidate pairs (kind 0) and members of larger groups (kind 1: key, set, size, place).
 
-        def pair(h1, n1, h2, n2, keep):
-            keep = keep & (h1 != h2) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-            h1, n1, h2, n2 = h1[keep], n1[keep], h2[keep], n2[keep]
-            swap = h1 > h2
-            return np.stack([np.where(swap, h2, h1), np.where(swap, h1, h2), np.where(swap, n2, n1), np.where(swap, n1, n2)], 1)
+    Pairs are of rows at most `near` apart and of each row with its group's first. Members that
+    the group's least place rules out for every partner are not told. Of a split key's rows (part
+    over 0) all are, as their partners may be in another part.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key", "part", "h", "n", "q", "rank", "head_h", "head_n", "head_q")
+        carry = {x: np.empty(0, np.int64) for x in names}
         for batch in batches:
-            key, h, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
-            comp = None if first else batch.column(3).to_numpy()
-            bits = old_bits if first else np.concatenate([old_bits, batch.column(4).flatten().to_numpy().reshape(-1, words)])
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            begins = np.r_[True, key[1:] != key[:-1]]
-            if head.get("key") == key[0]:
-                begins[0] = False
-            at = np.arange(len(key))
+            new = {x: batch.column(i).to_numpy().astype(np.int64) for i, x in enumerate(names[:5])}
+            old, count = len(carry["key"]), batch.num_rows
+            begins = np.r_[True, (new["key"][1:] != new["key"][:-1]) | (new["part"][1:] != new["part"][:-1])]
+            begins[0] = not (old and carry["key"][-1] == new["key"][0] and carry["part"][-1] == new["part"][0])
+            at = np.arange(count)
             start = np.maximum.accumulate(np.where(begins, at, -1))
-            place = np.where(start >= 0, at - start, at + head.get("count", 0))
-            first_h = np.where(start >= 0, h[np.maximum(start, 0)], head.get("h", 0))
-            first_n = np.where(start >= 0, n[np.maximum(start, 0)], head.get("n", 0))
-            old = len(carry[0])
-            k_all, h_all, n_all = (np.concatenate([c, x]) for c, x in zip(carry, (key, h, n)))
-            c_all = None if first else np.concatenate([carry[4], comp])
-            found = [pair(first_h, first_n, h, n, place > near)] if first else []
-            for back in range(1, min(near, len(k_all) - 1) + 1):
-                new = np.arange(max(old, back), len(k_all))
-                keep = k_all[new] == k_all[new - back]
-                if not first:
-                    keep &= (c_all[new] != c_all[new - back]) & (100 * np.minimum(n_all[new], n_all[new - back]) >= percent * np.maximum(n_all[new], n_all[new - back]))
-                    some = np.flatnonzero(keep)
-                    apart = np.bitwise_count((bits[new[some]] ^ bits[new[some] - back]).view(np.uint64)).sum(1)
-                    keep[some] = apart <= most_apart(n_all[new[some]], n_all[new[some] - back], percent)
-                if keep.any():
-                    found.append(pair(h_all[new - back], n_all[new - back], h_all[new], n_all[new], keep))
-            for rows in found:
-                if len(rows):
-                    yield give(0, *rows.T)
-            if first:
-                # the group's earlier members are told with the first row past `near`
-                p_all = np.concatenate([carry[3], place])
-                many = np.zeros(len(k_all), bool)
-                many[old:] = place > near
-                for back in range(1, near + 2):
-                    reach = np.flatnonzero((p_all == near + 1) & (np.arange(len(p_all)) >= max(old, back)))
-                    many[reach - back] = True
-                if many.any():
-                    yield give(1, k_all[many], h_all[many], n_all[many], n_all[many])
-            tail = max(0, len(k_all) - max(near, near + 1))
-            carry = [k_all[tail:], h_all[tail:], n_all[tail:], np.empty(0, np.int64) if not first else p_all[tail:]]
-            if not first:
-                carry.append(c_all[tail:])
-                old_bits = bits[tail:]
-            head = {"key": int(key[-1]), "count": int(place[-1]) + 1, "h": int(first_h[-1]), "n": int(first_n[-1])}
+            inside = start >= 0  # the group began in this batch
+            new["rank"] = np.where(inside, at - start, at + (carry["rank"][-1] + 1 if old else 0))
+            for x in ("h", "n", "q"):
+                new[f"head_{x}"] = np.where(inside, new[x][np.maximum(start, 0)], carry[f"head_{x}"][-1] if old else 0)
+            rows = {x: np.concatenate([carry[x], new[x]]) for x in names}
+            key, part, h, n, q, rank, head_h, head_n, head_q = rows.values()
+            fresh = np.arange(len(key)) >= old
+            this = np.flatnonzero(fresh & (rank > near) & (head_h != h) & _may_pair(head_n, head_q, n, q, percent))
+            if len(this):
+                yield _give(0, *_ordered(head_h[this], head_n[this], h[this], n[this]))
+            for back in range(1, min(near, len(key) - 1) + 1):
+                this = np.arange(max(old, back), len(key))
+                this = this[rank[this] >= back]
+                other = this - back
+                keep = (h[this] != h[other]) & _may_pair(n[this], q[this], n[other], q[other], percent)
+                this, other = this[keep], other[keep]
+                if len(this):
+                    yield _give(0, *_ordered(h[other], n[other], h[this], n[this]))
+            # the group's earlier members are told with the first row past `near`
+            split = part > 0
+            many = fresh & (split | (rank > near))
+            late = np.flatnonzero(fresh & ~split & (rank == near + 1))
+            for back in range(1, near + 2):
+                many[late - back] = True
+            many &= split | ((q >> 1) + (head_q >> 1) <= most_apart(n, n * 100 // percent, percent))
+            if many.any():
+                yield _give(1, key[many], h[many], n[many], q[many])
+            carry = {x: rows[x][max(0, len(key) - near - 1) :] for x in names}
 
     return run
 
 
-PAIRS = "kind int, a long, b long, na long, nb long"
+def _across(percent: int, width: int | None):
+    """Rows of groups, sorted by group (g), place, size and set, to candidate pairs across components that their sketches allow.
+
+    With a `width`, rows at most so far apart are compared and each gives its closest partner;
+    without one, all rows of a group that are of different blocks, or of a block that is met by itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = SKETCH_BITS // 64
+        carry, old_bits, old_rank = [np.empty(0, np.int64)] * 6, np.empty((0, words), np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy().astype(np.int64) for i in range(6)]
+            bits = np.concatenate([old_bits, batch.column(6).flatten().to_numpy().view(np.uint64).reshape(-1, words)])
+            old = len(carry[0])
+            g, h, n, q, comp, block = (np.concatenate([c, x]) for c, x in zip(carry, new))
+            begins = np.r_[True, g[1:] != g[:-1]]
+            at = np.arange(len(g))
+            rank = at - np.maximum.accumulate(np.where(begins, at, 0))
+            if old and old_rank[0]:  # the first group began before what is carried
+                rank[: np.argmax(np.r_[begins[1:], True]) + 1] += old_rank[0]
+            rows = at[old:]
+            best, least = np.full(len(g), -1), np.full(len(g), np.inf)
+            for back in range(1, len(g)):
+                rows = rows[rank[rows] >= back]
+                if not len(rows) or (width and back > width):
+                    break
+                this, other = rows[rows >= back], rows[rows >= back] - back
+                keep = (comp[this] != comp[other]) & ((block[this] != block[other]) | (block[this] < 0)) & _may_pair(n[this], q[this], n[other], q[other], percent)
+                this, other = this[keep], other[keep]
+                apart = np.bitwise_count(bits[this] ^ bits[other]).sum(1, dtype=np.int64)
+                keep = apart <= most_apart(n[this], n[other], percent)
+                this, other, apart = this[keep], other[keep], apart[keep]
+                if width:
+                    share = apart / (n[this] + n[other])
+                    closer = share < least[this]
+                    least[this[closer]], best[this[closer]] = share[closer], other[closer]
+                elif len(this):
+                    yield _give(0, *_ordered(h[other], n[other], h[this], n[this]))
+            if width and (this := np.flatnonzero(best >= 0)).size:
+                other = best[this]
+                yield _give(0, *_ordered(h[other], n[other], h[this], n[this]))
+            tail = max(0, len(g) - width) if width else int(np.flatnonzero(begins)[-1])
+            carry, old_bits, old_rank = [x[tail:] for x in (g, h, n, q, comp, block)], bits[tail:], rank[tail:]
+
+    return run
 
 
 def _apart_bits(a, b):
@@ -379,10 +483,38 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).drop("ra", "rb")
 
 
+def _open_groups(larger: DataFrame, roots: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Members of the keys' groups that are in more than one component, with the group's size and its largest component."""
+    placed = larger.join(roots, larger["h"] == roots["node"], "left").select("key", "h", "n", "q", F.coalesce("root", "h").alias("comp"))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("q").alias("q"))
+    groups = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("members"), F.min("q").alias("least")).where("comps > 1")
+    groups = scratch.cut(groups.select("key", "members", "least", F.col("most.c").alias("major_size"), F.col("most.comp").alias("major")), f"{name}_open")
+    may = f"shiftright(q, 1) + shiftright(least, 1) <= (n + n * 100 div {percent}) * {100 - percent} div {100 + percent}"
+    return scratch.cut(placed.join(groups, "key").where(may), f"{name}_rest")
+
+
+def _windows(rest: DataFrame, members: int) -> DataFrame:
+    """Each group in parts of about so many members."""
+    return rest.withColumns({"g": F.xxhash64("key", F.expr(f"pmod(xxhash64(h), ceil(members / {members}))")), "own": F.lit(-1)})
+
+
+def _blocks(rest: DataFrame, block: int) -> DataFrame:
+    """Each group's pairs of blocks of about `block` members. Blocks of the largest component meet all others, but not each other."""
+    minor, major = (F.ceil(x / block) for x in (F.col("members") - F.col("major_size"), F.col("major_size")))
+    dealt = rest.withColumns({"is_major": F.col("comp") == F.col("major"), "minor": minor, "majors": major})
+    dealt = dealt.withColumn("own", F.expr("case when is_major then minor + pmod(xxhash64(h), majors) else pmod(xxhash64(h), minor) end"))
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0L, case when is_major then minor else minor + majors end - 1)")))
+    met = met.withColumns({"g": F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")), "same": F.col("own") == F.col("other")})
+    return met.withColumn("own", F.when(F.col("same"), F.lit(-1)).otherwise(F.col("own")))
+
+
 def jaccard_join(
-    docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, widths: tuple[int, ...] = (32, 128, 512)
+    docs: DataFrame, *, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, width: int = WIDTH, block: int = BLOCK, part: int = PART, name_bits: int = 64
 ) -> DataFrame:
-    """One row per document row: id, n_shingles, component_id (the smallest id reachable by links)."""
+    """One row per document row: id, n_shingles, component_id (the smallest id reachable by links).
+
+    `near`, `width`, `block` and `part` share out the work and `name_bits` shortens the sets' first hash; none of them changes the result.
+    """
     spark = docs.sparkSession
     common.bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
@@ -390,23 +522,29 @@ def jaccard_join(
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     # pass 1: sizes, classes of equal sets, common lane values
-    facts = scratch.cut(common.arrow_pass(rows, _facts(words, percent), f"kind int, doc_id {id_type}, n long, h long, values array<long>, counts array<long>"), "facts")
-    meta = facts.where("kind = 0").select("doc_id", "n", "h", F.col("values").alias("bits"), F.col("counts").alias("more"))
+    facts = scratch.cut(common.arrow_pass(rows, _facts(words, percent, Namer(name_bits)), f"kind int, doc_id {id_type}, n long, h long, g long, values array<long>, counts array<long>"), "facts")
+    meta = facts.where("kind = 0").select("doc_id", "n", "h", "g", F.col("values").alias("bits"), F.col("counts").alias("more"))
+    twice = meta.where("n > 0").groupBy("h").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y")
+    shared = frozenset(r.h for r in twice.select("h").collect())  # about n^2 / 2^65 hashes: none below a billion sets
+    name = Namer(name_bits, shared)
+    if shared:
+        meta = meta.withColumn("h", F.when(F.col("h").isin(*shared), F.col("g")).otherwise(F.col("h")))
     classes = meta.where("doc_id is not null and n > 0").groupBy("h").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"))
     classes = scratch.cut(classes, "classes")
-    often = facts.where("kind = 1").select(F.explode(F.arrays_zip("values", "counts")).alias("x")).groupBy("x.values").agg(F.sum("x.counts").alias("c"))
-    often = common.most_frequent(scratch.cut(often, "often"), "c", COMMON_LIST).toPandas()["values"].to_numpy(dtype=np.int64)
-    sent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    counts = facts.where("kind = 1").select(F.explode(F.arrays_zip("values", "counts")).alias("x")).groupBy(F.col("x.values").alias("low")).agg(F.sum("x.counts").alias("c"))
+    counts = scratch.cut(counts, "counts")
+    sent = spark.sparkContext.broadcast((_common_map(counts), *_heavy(counts, part)))
+    scratch.drop("counts")
 
     # pass 2: keys, dealt by key and sorted, to candidates
-    keys = common.arrow_pass(rows.where("doc_id is not null").select("t"), _keys(words, percent, sent), "key long, h long, n int")
-    dealt = keys.repartition(F.col("key")).sortWithinPartitions("key", "n", "h")
+    keys = common.arrow_pass(rows.where("doc_id is not null").select("t"), _keys(words, percent, name, sent), "key long, part int, h long, n int, q int")
+    dealt = keys.repartition("key", "part").sortWithinPartitions("key", "part", "q", "n", "h")
     with common.batch_rows(spark, 50_000):
-        found = scratch.cut(common.arrow_pass(dealt, _pairs(percent, near, True), PAIRS), "found")
+        found = scratch.cut(common.arrow_pass(dealt, _pairs(percent, near), PAIRS), "found")
     del keys, dealt
     scratch.settle()
     pairs = found.where("kind = 0").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    larger = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("h"), F.col("na").cast("int").alias("n"))
+    larger = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("h"), F.col("na").cast("int").alias("n"), F.col("nb").cast("int").alias("q"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = broadcast_if_small(classes.join(wanted, "h", "left_semi").select(F.col("doc").alias("doc_id")), BROADCAST_IDS)
@@ -416,7 +554,7 @@ def jaccard_join(
             shingle = common.keep(f"shingler {words}", lambda: Shingler(words))
             seen: set[int] = set()
             for batch in batches:
-                sets = {set_hash(s): as_long(s) for s in shingle(common.texts(batch.column(0)))}
+                sets = {name(s): as_long(s) for s in shingle(common.texts(batch.column(0)))}
                 for h in seen & sets.keys():  # rows that repeat an id
                     del sets[h]
                 seen |= sets.keys()
@@ -433,34 +571,18 @@ def jaccard_join(
     links = links.union(_verify(scratch.cut(rest, "second"), sets_of, scratch, percent, "second"))
     versions = meta.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
     links = links.union(meta.where("n > 0").select("doc_id", "h").join(versions, "doc_id").where("a <> h").select("a", F.col("h").alias("b")))
-    tested, step = pairs.select("a", "b"), 0
-    while True:
-        roots = scratch.cut(common.components(links, scratch, f"cc{step}_"), f"roots{step}")
-        if step > len(widths):
-            break
-        placed = larger.join(roots, larger["h"] == roots["node"], "left").select("key", "h", "n", F.coalesce("root", "h").alias("comp"))
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where("x <> y")
-        open_keys = scratch.cut(open_keys.select("key", "members"), f"open{step}")
-        most = open_keys.agg(F.max("members")).first()[0]
-        if not most:
-            break
-        width = next((w for w in widths[step:] if w >= most), widths[step] if step < len(widths) else None)
-        rest = scratch.cut(placed.join(open_keys, "key", "left_semi"), f"rest{step}")
-        if width is not None:
-            again = rest.join(classes.select("h", "bits"), "h").select("key", "h", "n", "comp", "bits").repartition(F.col("key")).sortWithinPartitions("key", "n", "h")
-            more = common.arrow_pass(again, _pairs(percent, width, False), PAIRS).select("a", "b", "na", "nb")
-            step = step + 1 if width < most else len(widths) + 1
-        else:  # the last: whatever is left, whole
-            other = rest.select("key", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            close = (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.col("comp") != F.col("comp2")) & (F.col("h") < F.col("h2"))
-            more = rest.join(other, "key").where(close).select(F.col("h").alias("a"), F.col("h2").alias("b"), F.col("n").cast("long").alias("na"), F.col("n2").cast("long").alias("nb"))
-            step = len(widths) + 1
-        with common.batch_rows(spark, 50_000):
-            more = scratch.cut(more.distinct().join(tested, ["a", "b"], "left_anti"), f"more{step}")
-        tested = tested.union(more.select("a", "b"))
-        likely = scratch.cut(_likely(more, classes, percent), f"likely{step}")
-        links = links.union(_verify(likely, sets_of, scratch, percent, str(step)))
-    scratch.drop("found")
+    for step in ("window", "blocks"):
+        roots = scratch.cut(common.components(links, scratch, f"{step}_cc"), f"{step}_roots")
+        rest = _open_groups(larger, roots, percent, scratch, step)
+        grouped = _windows(rest, near * width) if step == "window" else _blocks(rest, block)
+        again = grouped.join(classes.select("h", "bits"), "h").select("g", "h", "n", "q", "comp", "own", "bits").repartition("g").sortWithinPartitions("g", "q", "n", "h")
+        with common.batch_rows(spark, 10_000):
+            more = common.arrow_pass(again, _across(percent, width if step == "window" else None), PAIRS).select("a", "b", "na", "nb").distinct()
+            more = scratch.cut(more.join(likely.select("a", "b"), ["a", "b"], "left_anti"), f"{step}_pairs")
+        now = scratch.cut(_likely(more, classes, percent), f"{step}_likely")
+        links = links.union(_verify(now, sets_of, scratch, percent, step))
+        likely = likely.select("a", "b").union(now.select("a", "b"))
+    roots = scratch.cut(common.components(links, scratch, "cc"), "roots")
 
     # the smallest document of each component, for its classes
     home = classes.join(roots, classes["h"] == roots["node"], "left").select("h", "doc", F.coalesce("root", "h").alias("root"))

@@ -56,11 +56,11 @@ def corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("near, widths", [(3, (32, 128)), (1, (2,))])
-def test_components_are_brute_force(spark, near, widths):
+@pytest.mark.parametrize("shares", [{}, {"near": 1, "width": 2, "block": 7, "part": 10, "name_bits": 5}])
+def test_components_are_brute_force(spark, shares):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, h int, component_id string").repartition(3)
-    out = sj.jaccard_join(docs, near=near, widths=widths).collect()
+    out = sj.jaccard_join(docs, **shares).collect()
     assert sorted((tuple(r) for r in out), key=repr) == brute(rows)
 
 
@@ -82,9 +82,11 @@ def test_lane_values_that_differ_bound_the_difference():
         change = int(rng.integers(0, n // 5 + 1))
         b = np.unique(np.concatenate([a[change:], sj.mix(rng.integers(0, 1 << 62, change).astype(np.uint64))]))
         band = sj.band_of(max(len(a), len(b)))
-        x, y = set(sj.lanes(a, band).tolist()), set(sj.lanes(b, band).tolist())
+        (p, one), (q, two) = sj.lanes(a, band), sj.lanes(b, band)
+        x, y = set(p.tolist()), set(q.tolist())
         apart = len(np.setxor1d(a, b))
         assert len(x - y) <= apart and len(y - x) <= apart
+        assert len(set(p[one].tolist()) - y) + len(set(q[two].tolist()) - x) <= apart
         bits = sum(int(v).bit_count() for v in (sj.parity_bits(a) ^ sj.parity_bits(b)).view(np.uint64))
         assert bits <= apart
 
@@ -97,3 +99,22 @@ def test_shingler_is_the_contracts_set():
     for text, x in zip(texts, got):
         assert seen.setdefault(frozenset(shingles(text)), x.tobytes()) == x.tobytes()
     assert len(set(seen.values())) == len(seen)
+
+
+def test_words_that_repeat_by_a_rule_differ():
+    """Thue-Morse words, for which any polynomial hash modulo 2^64 collides."""
+    a, b = "a", "b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    for n in (128, 1024, 4096):
+        x, y = sj.Shingler(5)([a[:n], b[:n]])
+        assert x.tobytes() != y.tobytes()
+
+
+def test_very_long_texts_and_copies(spark):
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    near = [w if k % 40 else "changed" for k, w in enumerate(long)]
+    rows = [(9, " ".join(long)), (4, " ".join(near)), (2, " ".join(long[:9000])), (7, "y" * 300_000), (8, "y" * 300_000), (5, "y" * 299_999)]
+    got = {r.doc_id: r.component_id for r in sj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {9: 4, 4: 4, 2: 2, 7: 7, 8: 7, 5: 5}
