@@ -48,7 +48,7 @@ SMALL = 64
 LOAD = 8
 SKETCH_BITS = 1024
 #: Lane values that occur so often among `WINDOW` lanes of one task count as common there.
-COMMON, WINDOW = 2, 4_000_000
+COMMON, WINDOW = 2, 2_000_000
 #: Common lane values are known by so many bits of theirs (4 MB are sent out); they change the order alone.
 COMMON_BITS = 25
 #: Rows next to each other in a key's group that the first round compares, and the second.
@@ -220,10 +220,15 @@ def _facts(words: int, percent: int, name: Namer):
         pending, size = [], 0
 
         def common_lanes() -> Iterator[pa.RecordBatch]:
-            if pending:
-                values, counts = np.unique(np.concatenate(pending), return_counts=True)
-                often = counts >= COMMON
-                row = [[1], [None], [None], [None], [None], [as_long(values[often] & np.uint64((1 << COMMON_BITS) - 1))], [counts[often]]]
+            seen = np.concatenate([np.empty(0, np.uint64), *pending])
+            pending.clear()
+            seen.sort()
+            repeats = seen[1:][seen[1:] == seen[:-1]]  # each value once less than it occurs
+            values, counts = np.unique(repeats, return_counts=True)
+            often = counts + 1 >= COMMON
+            values, counts = as_long(values[often] & np.uint64((1 << COMMON_BITS) - 1)), counts[often] + 1
+            for at in range(0, len(values), 20_000):
+                row = [[1], [None], [None], [None], [None], [values[at : at + 20_000]], [counts[at : at + 20_000]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int32(), id_type, pa.int64(), pa.int64(), pa.int64(), longs, longs])], names)
 
         id_type = pa.int64()
@@ -241,7 +246,7 @@ def _facts(words: int, percent: int, name: Namer):
                         size += len(values)
                 if size > WINDOW:
                     yield from common_lanes()
-                    pending, size = [], 0
+                    size = 0
             count = len(n)
             h, g = zip(*names_of) if count else ((), ())
             yield pa.RecordBatch.from_arrays(
