@@ -1,23 +1,29 @@
 """Operator 6: nearest neighbours by inner product over balanced posting lists.
 
-Centroids, as many as the square root of the vectors' number at most, so that routed queries and
-vectors read grow alike, are fitted by balanced k-means on a bounded sample (`sample` vectors, the
-parameter); every vector is indexed. A vector goes to its nearest list and, if it lies near the boundary,
-also to other lists (at most `replicas`). Centroids are searched by a graph in memory:
-best-first over each centroid's nearest ones, in batches. A query reads the lists
-whose centroid is no farther than `ratio` times the nearest one's; the ratio is chosen on a bounded
-sample of queries, compared with all vectors, as the least that finds `aim` of their true
-neighbours. Lists are read until they hold several times the asked number, whatever the ratio.
+Centroids, as many as the square root of the vectors' number at most, are fitted by balanced
+k-means on a bounded sample (`sample` vectors, the parameter, or four for each list where those
+are more); every vector is indexed. A vector goes to its nearest list and, if it lies near the
+boundary, also to other lists (at most `replicas`). Centroids are searched by a graph in memory:
+best-first over each centroid's nearest ones, in batches; a search that asks for a quarter of all
+centroids compares them all. A query reads the lists whose centroid is no farther than `ratio`
+times the nearest one's; the ratio is chosen on a bounded sample of queries, compared with all
+vectors, as the least that finds `aim` of their true neighbours. Lists are read until they hold
+several times the asked number, whatever the ratio.
 
 For inner products, vectors get one more coordinate that makes all norms equal, queries a 0
-there: the nearest by distance are then the largest by inner product. Scores are exact
-inner products of the original vectors in double precision; ties go to the smaller id.
-
-Long lists, and lists that many queries read, are dealt in chunks, so no task holds more than
-a chunk of vectors and one of queries. Vectors that are null, zero, or hold null or
-non-finite components, rows without an id, and vectors whose length is not the most frequent one take no part.
-An empty table gives no rows. Rows that repeat an id are candidates each; a query is
-asked once for each distinct vector and id, and never finds its own id.
+there: the nearest by distance are then the largest by inner product. Scores are inner products
+of the original vectors in double precision, summed in one order wherever they are taken; ties
+go to the smaller id.
+
+All lists are dealt over shelves by a hash of the vector, so a long list fills no task, and
+queries by their nearest list to parts of bounded size. A task streams one shelf's vectors, list
+by list, past one part's queries and gives each query's k best of the shelf: what leaves the
+lists grows with the queries, not with the lists they read.
+
+Vectors that are null, zero, or hold null or non-finite components, rows without an id, and
+vectors whose length is not the most frequent one take no part. An empty table gives no rows.
+Every row is a candidate of its own and, if its id is divisible, a query of its own; a query
+finds every row but itself, also rows that repeat its id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +38,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.llm import common, vectors
-from glossa.session import Scratch
+from glossa.session import Scratch, broadcast_if_small
 
+BROADCAST_ROWS = 200_000
 
-def balanced_centroids(x: np.ndarray, count: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
+
+def _balanced(x: np.ndarray, count: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
     """k-means in which a cluster over its share of the sample repels further members."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), count, replace=False)].copy()
@@ -56,9 +64,22 @@ def balanced_centroids(x: np.ndarray, count: int, rounds: int = 12, seed: int =
     return c
 
 
+def balanced_centroids(x: np.ndarray, count: int, together: int = 512) -> np.ndarray:
+    """Balanced k-means; more than `together` centroids are fitted in two levels."""
+    if count <= together:
+        return _balanced(x, count)
+    coarse = _balanced(x, math.isqrt(count))
+    near = np.concatenate([((coarse * coarse).sum(1) - 2 * part @ coarse.T).argmin(1) for part in np.array_split(x, max(1, len(x) // 4096))])
+    shares = np.bincount(near, minlength=len(coarse)) * (count / len(x))
+    return np.concatenate([balanced_centroids(x[near == k], max(1, round(share)), together) for k, share in enumerate(shares) if share])
+
+
 class CentroidGraph:
     """Centroids linked to their nearest ones; best-first search for batches of points."""
 
+    #: Points searched together, and beam entries that a turn follows.
+    TOGETHER, TURN = 256, 4
+
     def __init__(self, centroids: np.ndarray, degree: int = 16, seed: int = 0):
         self.c = centroids.astype(np.float32)
         self.norm = (self.c * self.c).sum(1)
@@ -75,58 +96,175 @@ class CentroidGraph:
         self.links = links
         self.entries = np.arange(n) if n <= 64 else rng.choice(n, 64, replace=False)
 
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum((x * x).sum(1, keepdims=True) + self.norm - 2 * x @ self.c.T, 0))
+
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The `width` nearest centroids found and their distances, nearest first, for each row."""
+        width = min(width, len(self.c))
+        one = self._all if width * 4 >= len(self.c) else self._walk
+        found = [one(x[at : at + self.TOGETHER], width) for at in range(0, max(1, len(x)), self.TOGETHER)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _all(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        d = self.distances(x)
+        at = np.argpartition(d, width - 1, axis=1)[:, :width]
+        return self._sorted(at, np.take_along_axis(d, at, 1))
+
+    @staticmethod
+    def _sorted(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(d, axis=1, kind="stable")
+        return np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
+
+    def _walk(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         q, n = len(x), len(self.c)
-        width = min(width, n)
-        dist = np.full((q, n), np.inf, np.float32)
-        done = np.zeros((q, n), bool)
-        xx = (x * x).sum(1, keepdims=True)
-        dist[:, self.entries] = np.maximum(xx + self.norm[self.entries] - 2 * x @ self.c[self.entries].T, 0)
-        rows = np.arange(q)[:, None]
+        xx, rows = (x * x).sum(1), np.arange(q)[:, None]
+        seen = np.zeros((q, n + 1), bool)
+        seen[:, self.entries] = seen[:, n] = True  # n: no centroid
+        at = np.tile(self.entries, (q, 1))
+        d = np.maximum(xx[:, None] + self.norm[self.entries] - 2 * x @ self.c[self.entries].T, 0)
+        done = np.zeros(at.shape, bool)
+        beam = max(width, len(self.entries))
         while True:
-            best = np.argpartition(dist, width - 1, axis=1)[:, :width] if width < n else np.broadcast_to(np.arange(n), (q, n))
-            open_ = ~done[rows, best] & np.isfinite(dist[rows, best])
-            r, k = np.nonzero(open_)
-            if not len(r):
+            open_ = np.where(done, np.inf, d)
+            pick = np.argpartition(open_, self.TURN - 1, axis=1)[:, : self.TURN]
+            live = np.isfinite(np.take_along_axis(open_, pick, 1))
+            if not live.any():
                 break
-            at = best[r, k]
-            done[r, at] = True
-            reach = np.zeros((q, n), bool)
-            reach[r[:, None], self.links[at]] = True
-            reach &= np.isinf(dist)
-            r, at = np.nonzero(reach)
-            for s in range(0, len(r), 200_000):
-                i, j = r[s : s + 200_000], at[s : s + 200_000]
-                dist[i, j] = np.maximum(xx[i, 0] + self.norm[j] - 2 * np.einsum("ij,ij->i", x[i], self.c[j]), 0)
-        best = np.argpartition(dist, width - 1, axis=1)[:, :width]
-        d = dist[rows, best]
-        order = np.argsort(d, axis=1, kind="stable")
-        return best[rows, order], np.sqrt(d[rows, order])
+            np.put_along_axis(done, pick, True, 1)
+            reach = self.links[np.take_along_axis(at, pick, 1) % n]
+            reach[~live] = n
+            reach = np.sort(reach.reshape(q, -1), axis=1)
+            fresh = ~seen[rows, reach]
+            fresh[:, 1:] &= reach[:, 1:] != reach[:, :-1]
+            i, k = np.nonzero(fresh)
+            to = reach[i, k]
+            seen[i, to] = True
+            far = np.full(reach.shape, np.inf, d.dtype)
+            far[i, k] = np.maximum(xx[i] + self.norm[to] - 2 * np.einsum("ij,ij->i", x[i], self.c[to]), 0)
+            at, d, done = np.concatenate([at, reach], 1), np.concatenate([d, far], 1), np.concatenate([done, ~fresh], 1)
+            best = np.argpartition(d, beam - 1, axis=1)[:, :beam]
+            at, d, done = (np.take_along_axis(y, best, 1) for y in (at, d, done))
+        at, d = self._sorted(at, d)
+        return at[:, :width], np.sqrt(d[:, :width])
 
 
 def lengthened(x: np.ndarray, most: float) -> np.ndarray:
     return np.c_[x, np.sqrt(np.maximum(most * most - (x * x).sum(1), 0))].astype(np.float32)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, in one order of sums whatever stands around a row."""
+    return (a * b).sum(1)
+
+
+class Best:
+    """Each query's k best candidates so far; a candidate that comes from several lists counts once."""
+
+    def __init__(self, queries: int, k: int, room: int = 200_000):
+        self.k, self.room = k, room
+        self.floor = np.full(queries, -np.inf)
+        self.held, self.count = [], 0
+
+    def add(self, q: np.ndarray, score: np.ndarray, id_: np.ndarray, row: np.ndarray) -> None:
+        self.held.append((q, score, id_, row))
+        self.count += len(q)
+        if self.count > self.room:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return tuple(np.empty(0, t) for t in (np.int64, np.float64, np.int64, np.int64))
+        q, score, id_, row = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((row, id_, -score, q))
+        q, score, id_, row = q[order], score[order], id_[order], row[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | (row[1:] != row[:-1])]  # one row has one score and one id: its copies stand together
+        q, score, id_, row = q[new], score[new], id_[new], row[new]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.floor[q[last]] = score[last]
+        top = place < self.k
+        out = q[top], score[top], id_[top], row[top]
+        self.held, self.count = [out], int(top.sum())
+        self.room = max(self.room, 2 * self.count)
+        return out
+
+
+def _streamed(length: int, dtype, k: int):
+    """Rows sorted by group, kind (0: queries, 1: vectors) and list to (query row, query id, score, id, row)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        group, queries, best = None, [], None
+
+        def out() -> Iterator[tuple]:
+            if best is not None:
+                q, score, id_, row = best.shrink()
+                yield rows[q], ids[q], score, id_, row
+
+        for batch in batches:
+            g, kind, list_ = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((g[1:] != g[:-1]) | (kind[1:] != kind[:-1]) | (list_[1:] != list_[:-1])) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(g)]):
+                if start == end:
+                    continue
+                if g[start] != group:
+                    yield from out()
+                    group, queries, best = g[start], [], None
+                part = batch.slice(start, end - start)
+                if kind[start] == 0:
+                    queries.append(part)
+                    continue
+                if not queries:
+                    continue
+                if best is None:
+                    told = pa.Table.from_batches(queries).combine_chunks()
+                    rows, ids = told["row"].to_numpy(), told["id"].to_numpy()
+                    x = vectors.matrix(told["x"], dtype, length).astype(np.float64)
+                    read = told["lists"].combine_chunks()
+                    who = np.repeat(np.arange(len(rows)), read.value_lengths().to_numpy())
+                    which = read.flatten().to_numpy()
+                    order = np.argsort(which, kind="stable")
+                    who, which = who[order], which[order]
+                    best = Best(len(rows), k)
+                mine = who[slice(*np.searchsorted(which, [list_[start], list_[start] + 1]))]
+                if not len(mine):
+                    continue
+                row, id_ = part.column("row").to_numpy(), part.column("id").to_numpy()
+                v = vectors.matrix(part.column("x"), dtype, length).astype(np.float64)
+                for at in range(0, len(row), 1024):
+                    s = x[mine] @ v[at : at + 1024].T
+                    s[rows[mine][:, None] == row[None, at : at + 1024]] = -np.inf
+                    least = best.floor[mine][:, None]
+                    if s.shape[1] > k:
+                        least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+                    # sums in another order may differ in the last bits, and ties stay
+                    i, j = np.nonzero((s >= least - 1e-9 * np.maximum(1, np.abs(least))) & np.isfinite(s))
+                    best.add(mine[i], products(x[mine[i]], v[at + j]), id_[at + j], row[at + j])
+        yield from out()
+
+    return run
+
+
 def nearest(
     rows: DataFrame,
     *,
     every: int = 20,
     k: int = 20,
     list_size: int = 128,
-    most_lists: int = 4096,
     sample: int = 20_000,
     replicas: int = 3,
     boundary: float = 1.05,
     aim: float = 0.97,
     audit: int = 128,
-    chunk: int = 1024,
+    shelf: int = 1 << 17,
+    part: int = 1024,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     report: dict | None = None,
 ) -> DataFrame:
-    """Each query's k nearest found: query_id, rank, vec_id, score. Queries: ids divisible by `every`.
+    """Each query's k nearest found: query_id, rank, vec_id, score. Queries: rows whose id is divisible by `every`.
+
+    `shelf` and `part` are the vectors and queries of one task; neither changes the result.
 
     `report`, if given, is told the number of lists, the ratio and the recall on the audit's queries.
     """
@@ -136,43 +274,48 @@ def nearest(
     good = given.where(vectors.valid_vectors(given, "e") & F.col("id").isNotNull())
     length = vectors.main_length(good, "e")
 
+    dtype = np.float32 if good.schema["e"].dataType.simpleString() == "array<float>" else np.float64
+
     def pack(batches):
         for batch in batches:
             x = vectors.list_matrix(batch.column(1), length)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(np.sqrt((x * x).sum(1)))], ["id", "x", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x.astype(dtype)], pa.binary()), pa.array(np.sqrt((x * x).sum(1)))], ["id", "x", "norm"])
 
-    good = scratch.cut(common.arrow_pass(good.where(F.size("e") == length), pack, "id long, x binary, norm double"), "vectors")
+    good = common.arrow_pass(good.where(F.size("e") == length), pack, "id long, x binary, norm double")
+    good = scratch.cut(good.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, most = good.agg(F.count("*"), F.max("norm")).first()
-    asked = good.where(F.pmod("id", F.lit(every)) == 0).select("id", "x").distinct()
+    asked = good.where(F.pmod("id", F.lit(every)) == 0)
     result = "query_id long, rank int, vec_id long, score double"
     if n < 2:
         return spark.createDataFrame([], result)
 
-    # fit on a bounded sample, chosen by a hash of the id
-    rate = min(1.0, sample / n)
-    fitted = good.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + (rate == 1.0)).select("x").limit(sample).toPandas()
-    train = lengthened(np.stack([np.frombuffer(v, np.float64) for v in fitted["x"]]), most) if len(fitted) else np.zeros((1, length + 1), np.float32)
-    graph = CentroidGraph(balanced_centroids(train, int(np.clip(min(n // list_size, math.isqrt(n)), 1, min(most_lists, len(train))))))
+    # fit on a bounded sample, chosen by a hash of the row
+    lists = max(1, min(n // list_size, math.isqrt(n)))
+    size = max(sample, 4 * lists)
+    rate = min(1.0, size / n)
+    fitted = good.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < int(rate * 1_000_000) + (rate == 1.0)).select("x").limit(size).toPandas()
+    train = lengthened(np.stack([np.frombuffer(v, dtype) for v in fitted["x"]]).astype(np.float64), most) if len(fitted) else np.zeros((1, length + 1), np.float32)
+    graph = CentroidGraph(balanced_centroids(train, min(lists, len(train))))
     lists = len(graph.c)
     sent = spark.sparkContext.broadcast(graph)
 
     def index(batches):
         g = sent.value
         for batch in batches:
-            x = vectors.matrix(batch.column(1), np.float64, length)
+            x = vectors.matrix(batch.column(2), dtype, length).astype(np.float64)
             at, d = g.search(lengthened(x, most), max(8, 2 * replicas))
             keep = d <= d[:, :1] * boundary + 1e-12
             keep[:, replicas:] = False
             i, j = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], ["list", "id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), *(batch.column(c).take(pa.array(i)) for c in range(3))], ["list", "row", "id", "x"])
 
-    postings = scratch.cut(common.arrow_pass(good.select("id", "x"), index, "list int, id long, x binary"), "postings")
+    postings = scratch.cut(common.arrow_pass(good.select("row", "id", "x"), index, "list int, row long, id long, x binary"), "postings")
     sizes = np.zeros(lists, np.int64)
-    for at, size in postings.groupBy("list").count().collect():  # a row for each list
-        sizes[at] = size
+    for at, count in postings.groupBy("list").count().collect():  # a row for each list
+        sizes[at] = count
 
-    def lists_read(g: CentroidGraph, q: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(lists, distances, read) of lengthened queries: the search widens until its farthest list is beyond the ratio."""
+    def lists_read(g: CentroidGraph, q: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, read) of lengthened queries: the search widens until its farthest list is beyond the ratio."""
         width = 64
         while True:
             at, d = g.search(q, width)
@@ -180,93 +323,71 @@ def nearest(
                 break
             width *= 2
         held = np.cumsum(sizes[at], axis=1)
-        return at, d, (d <= d[:, :1] * ratio) | (held - sizes[at] < 4 * (k + 1))
+        return at, (d <= d[:, :1] * ratio) | (held - sizes[at] < 4 * (k + 1))
 
     # the ratio: how far the lists of the audit's true neighbours are
-    some = good.where(F.pmod("id", F.lit(every)) == 0).select("id", "x").where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // every // audit))) == 0).limit(2 * audit).toPandas()
+    queries = asked.count()
+    some = asked.select("row", "x").where(F.pmod(F.xxhash64("row"), F.lit(max(1, queries // audit))) == 0).limit(2 * audit).toPandas()
     ratio, recall = np.inf, 1.0
     if len(some) and lists > 1:
-        q = np.stack([np.frombuffer(v, np.float64) for v in some["x"]])
-        ids = some["id"].to_numpy()
-        asked_of = spark.sparkContext.broadcast((ids, q))
+        q = np.stack([np.frombuffer(v, dtype) for v in some["x"]]).astype(np.float64)
+        own = some["row"].to_numpy()
+        asked_of = spark.sparkContext.broadcast((own, q))
 
         def compare(batches):
-            ids, q = asked_of.value
+            own, q = asked_of.value
             for batch in batches:
-                node = batch.column(0).to_numpy()
-                s = vectors.matrix(batch.column(1), np.float64, length) @ q.T
-                s[node[:, None] == ids[None, :]] = -np.inf
+                row = batch.column(0).to_numpy()
+                s = vectors.matrix(batch.column(1), dtype, length).astype(np.float64) @ q.T
+                s[row[:, None] == own[None, :]] = -np.inf
                 top = np.argpartition(-s, min(k, len(s) - 1), axis=0)[:k]
-                j = np.broadcast_to(np.arange(len(ids)), top.shape)
+                j = np.broadcast_to(np.arange(len(own)), top.shape)
                 fine = np.isfinite(s[top, j])
-                yield pa.RecordBatch.from_arrays([pa.array(j[fine]), pa.array(node[top][fine]), pa.array(s[top, j][fine])], ["q", "id", "score"])
-
-        true = common.arrow_pass(good.select("id", "x"), compare, "q long, id long, score double").distinct()
-        true = true.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
-        where = true.join(postings.select("id", "list"), "id").select("q", "id", "list").distinct().toPandas()
-        at, d = graph.search(np.c_[q, np.zeros(len(q))].astype(np.float32), lists)
-        place = np.full((len(q), lists), np.inf)
-        np.put_along_axis(place, at, d / np.maximum(d[:, :1], 1e-12), axis=1)
-        where["far"] = place[where["q"].to_numpy(), where["list"].to_numpy()]
-        far = np.sort(where.groupby(["q", "id"])["far"].min().to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(j[fine]), pa.array(row[top][fine]), pa.array(s[top, j][fine])], ["q", "row", "score"])
+
+        true = common.arrow_pass(good.select("row", "x"), compare, "q long, row long, score double")
+        true = true.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "row"))).where(F.col("r") <= k)
+        where = true.join(postings.select("row", "list"), "row").select("q", "row", "list").toPandas()
+        d = graph.distances(np.c_[q, np.zeros(len(q))].astype(np.float32))
+        where["far"] = (d / np.maximum(d.min(1, keepdims=True), 1e-12))[where["q"].to_numpy(), where["list"].to_numpy()]
+        far = np.sort(where.groupby(["q", "row"])["far"].min().to_numpy())
         if len(far):
             ratio = float(far[min(len(far) - 1, int(np.ceil(aim * len(far))) - 1)]) * (1 + 1e-6)
             recall = float((far <= ratio).mean())
     if report is not None:
         report.update(lists=lists, ratio=ratio, recall=recall, mean_size=float(sizes.mean()))
 
+    # queries of one part have near first lists, so a list's vectors meet few parts
+    first = np.argsort((graph.c - graph.c.mean(0)) @ np.linalg.svd(graph.c - graph.c.mean(0), full_matrices=False)[2][0])
+    order = np.empty(lists, np.int64)
+    order[first] = np.arange(lists)
+    parts = max(2, -(-queries // part))
+
     def route(batches):
         g = sent.value
         for batch in batches:
-            x = vectors.matrix(batch.column(1), np.float64, length)
-            at, _, read = lists_read(g, np.c_[x, np.zeros(len(x))].astype(np.float32), ratio)
-            i, j = np.nonzero(read)
-            yield pa.RecordBatch.from_arrays([pa.array(at[i, j].astype(np.int32)), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i))], ["list", "id", "x"])
-
-    routed = scratch.cut(common.arrow_pass(asked, route, "list int, id long, x binary"), "routed")
-    reads = np.zeros(lists, np.int64)
-    for at, size in routed.groupBy("list").count().collect():
-        reads[at] = size
-    parts = spark.sparkContext.broadcast((np.maximum(1, -(-sizes // chunk)), np.maximum(1, -(-reads // chunk)), reads > 0))
-
-    def deal(is_query: int):
-        """Every chunk of a list's vectors meets every chunk of its queries."""
-
-        def run(batches):
-            vector_parts, query_parts, used = parts.value
-            for batch in batches:
-                at, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                spot = (ids * 0x9E3779B1 & 0x7FFFFFFF) >> 7
-                own = spot % (query_parts if is_query else vector_parts)[at]
-                other = (vector_parts if is_query else query_parts)[at] * used[at]
-                i = np.repeat(np.arange(len(at)), other)
-                o = np.arange(len(i)) - np.repeat(np.cumsum(other) - other, other)
-                v, q = (o, own[i]) if is_query else (own[i], o)
-                g = (at[i].astype(np.int64) << 40) + (v << 20) + q
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(i), is_query, np.int32)), batch.column(1).take(pa.array(i)), batch.column(2).take(pa.array(i))], ["g", "is_query", "id", "x"])
-
-        return run
-
-    kinds = "g long, is_query int, id long, x binary"
-    dealt = common.arrow_pass(postings, deal(0), kinds).union(common.arrow_pass(routed, deal(1), kinds)).repartition("g").sortWithinPartitions("g")
-
-    def read(batches) -> Iterator[tuple]:
-        for group in vectors.groups(batches):
-            is_query = group.column("is_query").to_numpy() == 1
-            if is_query.all() or not is_query.any():
-                continue
-            x, ids = vectors.matrix(group.column("x"), np.float64, length), group.column("id").to_numpy()
-            s = x[is_query] @ x[~is_query].T
-            q, v = ids[is_query], ids[~is_query]
-            s[q[:, None] == v[None, :]] = -np.inf
-            if len(v) > k:
-                least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                s[s < least] = -np.inf  # ties with the last stay
-            i, j = np.nonzero(np.isfinite(s))
-            yield q[i], v[j], s[i, j]
-
-    found = common.arrow_pass(dealt, lambda b: vectors.batched(read(b), ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]), "query_id long, vec_id long, score double")
-    # a vector read from several lists counts once; sums in another order may differ in the last bit
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            x = vectors.matrix(batch.column(2), dtype, length).astype(np.float64)
+            at, read = lists_read(g, np.c_[x, np.zeros(len(x))].astype(np.float32), ratio)
+            near = pa.array((order[at[:, 0]] * parts // lists).astype(np.int64))
+            named = [np.sort(a[r]).astype(np.int32) for a, r in zip(at, read)]
+            yield pa.RecordBatch.from_arrays([near, batch.column(0), batch.column(1), batch.column(2), pa.array(named, pa.list_(pa.int32()))], ["near", "row", "id", "x", "lists"])
+
+    routed = common.arrow_pass(asked.select("row", "id", "x"), route, "near long, row long, id long, x binary, lists array<int>")
+    routed = scratch.cut(routed, "routed")
+    # a part that many queries are near to is split again
+    crowds = routed.groupBy("near").agg(F.ceil(F.count("*") / part).alias("splits"))
+    routed = routed.join(broadcast_if_small(crowds, BROADCAST_ROWS), "near").withColumn("p", F.xxhash64("near", F.expr("pmod(xxhash64(row), splits)")))
+    shelves = max(8, n // shelf)
+    reads = scratch.cut(routed.select("p", F.explode("lists").alias("list")).distinct(), "reads")
+    shelved = postings.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(shelves)))
+    met = shelved.join(broadcast_if_small(reads, BROADCAST_ROWS), "list").select(
+        F.xxhash64("p", "s").alias("g"), F.lit(1).alias("kind"), "list", "row", "id", "x", F.lit(None).cast("array<int>").alias("lists")
+    )
+    all_shelves = F.explode(F.sequence(F.lit(0), F.lit(shelves - 1)).cast("array<bigint>"))
+    asking = routed.withColumn("s", all_shelves).select(F.xxhash64("p", "s").alias("g"), F.lit(0).alias("kind"), F.lit(0).alias("list"), "row", "id", "x", "lists")
+    dealt = asking.union(met).repartition("g").sortWithinPartitions("g", "kind", "list")
+    run = _streamed(length, dtype, k)
+    names, types = ["q", "query_id", "score", "vec_id", "row"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    found = common.arrow_pass(dealt, lambda b: vectors.batched(run(b), names, types), "q long, query_id long, score double, vec_id long, row long")
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -105,14 +105,14 @@ def test_empty_vectors(spark):
     assert sorted(r.vec_id for r in nn_descent.near_duplicates(table(spark, np.zeros((0, 8)), None, BAD[:2])).collect()) == [9001, 9002]
 
 
-@pytest.mark.parametrize("n, chunk", [(900, 1024), (900, 60), (8, 1024)])
-def test_nearest_recall_and_form(spark, n, chunk):
+@pytest.mark.parametrize("n, part", [(900, 1024), (900, 5), (8, 1024)])
+def test_nearest_recall_and_form(spark, n, part):
     rng = np.random.default_rng(n)
     x = rng.normal(size=(n, 8)) * rng.uniform(0.5, 2, size=(n, 1))
     x[n // 2 :: 5] = x[0]  # ties
     x = x.astype(np.float32).astype(float)
     told = {}
-    out = posting_lists.nearest(table(spark, x, None, BAD), every=20, k=20, list_size=32, chunk=chunk, report=told).collect()
+    out = posting_lists.nearest(table(spark, x, None, BAD), every=20, k=20, list_size=32, part=part, shelf=100, report=told).collect()
     got = {}
     for r in sorted(out, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -140,3 +140,18 @@ def test_graph_search_finds_nearest_centroids():
     true = np.argsort(((x[:, None] - c[None]) ** 2).sum(2), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(t)) / 10 for a, t in zip(at, true)]) > 0.97
     assert (np.diff(d, axis=1) >= -1e-6).all()
+
+
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    x = np.array([[1.0, 0], [0.9, 0], [0.8, 0], [0.8, 0], [0.5, 0]])
+    out = posting_lists.nearest(table(spark, x, [20, 1, 1, 2, 20]), every=20, k=3).collect()
+    got = sorted((round(r.score, 6), r.rank, r.vec_id) for r in out if r.query_id == 20)
+    first = [(0.8, 2, 1), (0.8, 3, 2), (0.9, 1, 1)]
+    second = [(0.4, 3, 1), (0.45, 2, 1), (0.5, 1, 20)]
+    assert got == sorted(first + second)
+
+
+def test_centroids_in_two_levels():
+    rng = np.random.default_rng(3)
+    c = posting_lists.balanced_centroids(rng.normal(size=(4000, 8)).astype(np.float32), 700, together=64)
+    assert 600 < len(c) < 800 and np.isfinite(c).all()
