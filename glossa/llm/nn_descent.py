@@ -14,8 +14,9 @@ no link joins two components any more. Links within a component are then counted
 its nodes in blocks, of which only counts leave. An audit compares a bounded sample of about `audit`
 nodes, another one each round, with all others. It judges what the descent found by itself:
 while pairs over the threshold that any audit has met are apart, the descent goes on from new
-buckets, up to `most_rounds` times. If pairs are apart even then, a warning gives the recall
-of the last audit, and those pairs, known to be links, are joined.
+buckets, each of which may part a pair that others kept together. Only where a caller sets
+`most_rounds` it may end before: a warning then gives the recall of the last audit, and the pairs
+still apart, known to be links, are joined.
 
 Vectors that are null, zero, or hold null or non-finite components, and those whose
 length differs from the most frequent one, link with nothing and keep themselves. An
@@ -25,6 +26,7 @@ are not read.
 
 from __future__ import annotations
 
+import itertools
 import warnings
 from collections.abc import Iterator
 
@@ -116,7 +118,7 @@ def near_duplicates(
     sweeps: int = 4,
     block: int = 512,
     audit: int = 256,
-    most_rounds: int = 4,
+    most_rounds: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     report: dict | None = None,
@@ -208,7 +210,7 @@ def near_duplicates(
             homes = scratch.cut(full.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("apart")), f"homes{name}")
             if homes.select("apart").distinct().limit(2).count() < 2:
                 return edges, roots
-            hashed = common.arrow_pass(light.join(homes, "node").select("node", "x"), _buckets(tables, few, length, most_rounds * (turn + 1) + round_), "c long, node long")
+            hashed = common.arrow_pass(light.join(homes, "node").select("node", "x"), _buckets(tables, few, length, 1000 * (turn + 1) + round_), "c long, node long")
             other = scratch.cut(merge(None, meet(hashed.withColumn("fresh", F.lit(True)).join(homes, "node"), None, turn)), f"other{name}_0")
             for sweep in range(1, sweeps + 1):
                 ways = around(other.select("u", "v", "fresh").union(known.withColumn("fresh", F.lit(sweep == 1))))
@@ -252,7 +254,7 @@ def near_duplicates(
 
     bits = max(1, int(np.log2(max(2, n / (part / 2)))))
     lists, edges, missed, step = None, None, None, 0
-    for round_ in range(most_rounds):
+    for round_ in itertools.count() if most_rounds is None else range(most_rounds):
         hashed = common.arrow_pass(light, _buckets(tables, bits, length, round_), "c long, node long").withColumn("fresh", F.lit(True)).withColumn("apart", F.col("node"))
         lists = scratch.cut(merge(lists, meet(hashed, lists, step)), f"lists{step}")
         for _ in range(sweeps):
