@@ -112,8 +112,9 @@ class WordIds:
 
     The tokenizers library encodes each distinct word once; a text's ids are its words' ids
     in a row. That equals the ids of the whole text where the normaliser and the split work
-    within words, as here; texts with control characters that Python, but not the
-    library, takes for white space are encoded whole.
+    within words, as here. Encoded whole are texts with control characters that Python, but not
+    the library, takes for white space, and texts that spell a token the vocabulary adds (as
+    <|endoftext|>), which the library finds before it splits.
     """
 
     #: Stands between words that are encoded in one call.
@@ -124,10 +125,16 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(content.decode())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.mark = self._encode([self.MARK])[0]
         self.words, self.old, self.most = {}, {}, most_words
 
+    def _spells_added(self, text: str) -> bool:
+        if "<|" not in text and all(a.startswith("<|") for a in self.added):
+            return False
+        low = text.lower()
+        return any(a in low for a in self.added)
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -147,7 +154,7 @@ class WordIds:
         """Each text's ids."""
         if len(self.words) > self.most:
             self.words, self.old = {}, self.words
-        odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")}
+        odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f") or self._spells_added(t)}
         split = [[] if k in odd else t.split() for k, t in enumerate(texts)]
         lacking = []
         for word in set().union(*split):

@@ -40,7 +40,6 @@ def test_pieces_hold_every_id_once_with_little_padding(spark):
     docs = spark.createDataFrame([(i, t, 0, "z") for i, t in enumerate(texts)], "doc_id long, text string, start int, length string").coalesce(1)
     rows = packing.pack_documents(docs, WORDS, window=512, most_open=8).collect()
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in enumerate(texts)}
     level, at = defaultdict(int), defaultdict(int)
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
@@ -56,3 +55,8 @@ def test_pieces_hold_every_id_once_with_little_padding(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
+
+
+def test_added_tokens_are_the_librarys():
+    words = packing.WordIds(open(WORDS, "rb").read())
+    assert next(words.ids(["<|endoftext|> z"])).tolist() == [49407, 345]
