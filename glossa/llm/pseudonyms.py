@@ -4,7 +4,8 @@ Numbers and dates that pass validation are permuted within their own format by a
 Feistel network: card numbers stay card numbers of the same length with a right check digit, phone numbers
 keep country code and punctuation, addresses stay addresses, dates stay dates. The network
 alternates two halves of mixed size a * b, so it permutes exactly the values of the format
-and equal values stay linked across documents, whatever their spelling. The round function is a
+and equal values stay linked across documents, whatever their spelling; a national phone number is
+linked with the same number after any country code. The round function is a
 keyed SHA-256. Mail addresses, which have no numeric format, get keyed digests as names.
 
 Kinds: email; phone (10 to 15 digits with a country code, or a national number of ten digits
@@ -26,7 +27,7 @@ ROUNDS = 6
 #: What may be personal data, by form; validation follows.
 PATTERN = "|".join(
     (
-        r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+        r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}+)++",  # possessive: the matcher loops and needs no stack
         r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])",
         r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])",
         r"(?<![\w./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w]|-[0-9])",
@@ -38,6 +39,10 @@ PATTERN = "|".join(
 )
 
 
+#: The country codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def digest_number(*parts: Column) -> Column:
     """60 bits of the SHA-256 of the parts."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
@@ -123,7 +128,8 @@ def pseudonym(x: Column, kind: Column, key: str) -> Column:
     check = F.pmod(10 - F.pmod(digit_sum(F.concat(payload, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     card = refill(x, F.concat(payload, check))
 
-    code = F.when(x.startswith("+"), F.length(F.regexp_extract(x, r"^\+([0-9]{1,3})", 1))).otherwise(0)
+    length = F.when(digits.rlike("^[17]"), 1).when(F.substring(digits, 1, 2).isin(TWO_DIGIT_CODES), 2).otherwise(3)
+    code = F.when(x.startswith("+"), length).otherwise(0)
     code = F.when(F.length(digits) - code >= 7, code).otherwise(1)
     phone = refill(x, F.concat(F.substring(digits, F.lit(1), code), permute_digits(F.substring(digits, code + 1, F.length(digits)), key, "phone")))
 

@@ -102,3 +102,19 @@ def test_conversations(spark):
     got = {(r.conv_id, r.turn): (r.kind, r.call_id, r.status) for r in rows}
     assert got[1, 1] == ("call", "t1", "ok") and got[1, 2] == ("result", "t1", "ok") and got[2, 0] == ("call", "i", "ok") and got[2, 1] == ("result", "i", "ok") and got[3, 0][0] == "message"
     assert len(rows) == len(said)
+
+
+def test_very_long_addresses_need_no_stack(spark):
+    long = "x@y" + ".ab" * 100_000
+    text = f"{long} and " + "1 " * 50_000 + "+" + "12-" * 50_000
+    out = p.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), key="k").collect()
+    assert out[0].n_email == 1 and out[0].text.startswith("u") and len(out[0].text) < len(text)
+
+
+def test_phones_stay_linked_whatever_their_spelling(spark):
+    texts = ["+1 415-555-1234", "+14155551234", "(415) 555-1234", "415.555.1234", "+44 20 7946 0958", "+442079460958", "+353 1 234 5678", "+35312345678"]
+    rows = p.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()
+    assert all(r.n_phone == 1 for r in rows)
+    digits = ["".join(c for c in r.text if c.isdigit()) for r in rows]
+    assert digits[0] == digits[1] and digits[0][0] == "1" and digits[0][1:] == digits[2] == digits[3] != "4155551234"
+    assert digits[4] == digits[5] and digits[4][:2] == "44" and digits[6] == digits[7] and digits[6][:3] == "353"
