@@ -92,7 +92,8 @@ def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of the highest counts, as many whole steps of counts as `most` rows hold.
 
     A histogram of counts in steps of a 32nd of a doubling (a few thousand rows at most)
-    gives the least count; no rows are sorted or gathered in one task.
+    gives the least count; no rows are sorted or gathered in one task. If the highest step alone
+    has more rows than `most`, there are none.
     """
     step = F.floor(F.log2(F.col(count)) * 32)
     seen, least = 0, None

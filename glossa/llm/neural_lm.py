@@ -203,16 +203,17 @@ def score_documents(
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = common.most_frequent(counts, "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words, top_counts = [bytes(w) for w in top["word"]], top["c"].to_numpy(dtype=np.float64)
+    least = float(top_counts[-1]) if len(words) else np.inf  # every word of so many counts is in the head
     # short units: the first words, with the end token always among them
     if END not in words[:short]:
-        at = words.index(END) if END in words else None
-        count = top_counts[at] if at is not None else 0.0
-        if at is not None:
+        if END in words:
+            at = words.index(END)
             words.pop(at)
             top_counts = np.delete(top_counts, at)
+        ends = counts.where(F.col("word") == F.lit(END)).select("c").first()
         place = min(short - 1, len(words))
         words.insert(place, END)
-        top_counts = np.insert(top_counts, place, count)
+        top_counts = np.insert(top_counts, place, float(ends.c) if ends else 0.0)
     named = min(short, len(words))
     in_short = set(words[:named])
 
@@ -238,7 +239,7 @@ def score_documents(
 
     given = spark.sparkContext.broadcast({"head": words, "end": end, "table": table, "log_count": np.log10(top_counts + ADD), "known": top_counts > 0, "log_mass": log_mass})
     parts = common.arrow_pass(rows, _score(given, named, classes), f"uid long, word binary, id {id_type}, held_out boolean, n long, known long, base double, lm double")
-    rest = counts.select("word", "c").where(F.col("c") <= int(top_counts[-1]))  # the head's own words meet no row
+    rest = counts.select("word", "c").where(F.col("c") < F.lit(least))
     log_c = F.when(F.col("n").isNull(), F.log10(F.coalesce(F.col("c"), F.lit(0)) + ADD)).otherwise(0.0)
     met = parts.join(rest, "word", "left").withColumn("t", log_c).withColumn("k", F.when(F.col("n").isNull(), F.col("c").isNotNull().cast("long")).otherwise(F.col("known")))
     scored = met.groupBy("uid").agg(

@@ -64,3 +64,13 @@ def test_empty_and_untrained(spark):
     held = next(k for k in range(100) if lm.held_out(k))
     out = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), short=4, classes=4, head=8, steps=2).collect()
     assert (out[0].n_known, out[0].train_tokens, out[0].n_tokens) == (0, 0, 3)
+
+
+def test_head_that_no_step_of_counts_fits(spark):
+    rows = [(1, "a b c d e f g h")]
+    assert not lm.held_out(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = 9 * math.log10(1.1 / (9 + 0.1 * 10))
+    for head in (5, 100):
+        out = lm.score_documents(docs, short=4, classes=4, head=head, steps=2).collect()[0]
+        assert out.n_known == 9 and math.isclose(out.base_score, want)
