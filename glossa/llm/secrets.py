@@ -1,17 +1,19 @@
 """Operator 1: secret scans with an incremental ledger of blobs.
 
-Every version of every path is addressed by the SHA-256 of its text. A ledger holds the
-(blob, rule version) pairs that have been scanned, with their findings; only pairs it lacks
-are scanned, each blob once however many paths share it, and findings are joined back to
-all paths. Spans count code points, the end exclusive.
-
-Null texts count as empty. Repeated rows and equal texts share one blob. An empty table
-gives empty results. Only the named columns are read, so others can't clash.
+Every version of every path is addressed by the SHA-256 of its text. A ledger row tells which
+rules, each with its own version, have scanned a blob in one pass, with what they found; only
+(blob, rule version) pairs it lacks are scanned, each blob once however many paths share it, and
+findings are joined back to all paths. Spans count code points, the end exclusive.
+
+Null texts count as empty. Repeated rows and equal texts share one blob; a ledger may hold a pair
+twice. An empty table gives empty results. Only the text is read, and working columns get names
+that no other has, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,12 @@ class Rule:
     group: int = 0
     least: int = 0
     base: bool = False
+    #: A change of what a rule finds must change this: the ledger then scans every blob for that rule again.
+    version: int = 1
+
+    @property
+    def key(self) -> str:
+        return f"{self.kind}@{self.version}"
 
 
 #: What follows a private key's first line: all to its END line if that comes before another
@@ -46,14 +54,11 @@ RULES = (
     Rule("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, True),
     Rule("access", r"AKIA[A-Z0-9]{12,}", 0, 16, True),
     Rule("hex", r"[0-9a-f]{32,}", 0, 32, True),
-    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}{_LINES})"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_TO_END}|{_FIELDS}{_LINES})", version=2),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/@]++@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/@]++@", version=2),
 )
-#: A change of RULES must change this: the ledger then scans every blob again.
-RULE_VERSION = "1.1"
-
 #: Findings are broadcast up to so many blobs, joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
 
@@ -64,10 +69,12 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern)) for r in rules]
 
-    def scan(self, text: str) -> list[dict]:
-        """Findings by start, ties in the rules' order."""
+    def scan(self, text: str, keys: set[str] | None = None) -> list[dict]:
+        """Findings by start, ties in the rules' order; of the rules named by `keys` alone, if given."""
         found = []
         for order, (rule, pattern) in enumerate(self.rules):
+            if keys is not None and rule.key not in keys:
+                continue
             if rule.kind == "url_login" and "://" not in text:
                 continue
             for m in pattern.finditer(text):
@@ -80,44 +87,57 @@ def blob_id(text) -> F.Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
-def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """(blob_id, text) to ledger rows (blob_id, rule_version, findings)."""
+def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob_id, text, rules: the keys that are due) to ledger rows (blob_id, rules, findings)."""
     common.bounded_batches(blobs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
         for batch in batches:
-            found = [scanner.scan(t) for t in common.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rule_version] * len(found), pa.string()), pa.array(found, kind)], ["blob_id", "rule_version", "findings"])
+            due = batch.column(2).to_pylist()
+            found = [scanner.scan(t, None if len(d) == len(rules) else set(d)) for t, d in zip(common.texts(batch.column(1)), due)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, kind)], ["blob_id", "rules", "findings"])
 
-    return common.arrow_pass(blobs.select("blob_id", F.col("text").cast("string")), run, f"blob_id string, rule_version string, findings {FINDINGS}")
+    return common.arrow_pass(blobs.select("blob_id", F.col("text").cast("string"), "rules"), run, f"blob_id string, rules array<string>, findings {FINDINGS}")
 
 
-def unseen_blobs(versions: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION, *, text_col: str = "text") -> DataFrame:
-    """(blob_id, text) of each distinct blob that the ledger lacks under this rule version."""
+def unseen_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
+    """(blob_id, text, rules) of each distinct blob for which the ledger lacks some rules, and those."""
     blobs = versions.select(F.coalesce(versions[text_col].cast("string"), F.lit("")).alias("text")).select(blob_id(F.col("text")).alias("blob_id"), "text")
-    if ledger is not None:
-        seen = ledger.where(F.col("rule_version") == rule_version).select("blob_id").distinct()
-        blobs = blobs.join(seen, "blob_id", "left_anti")
-    return blobs.dropDuplicates(["blob_id"])
+    all_keys = F.array(*[F.lit(r.key) for r in rules])
+    if ledger is None:
+        return blobs.dropDuplicates(["blob_id"]).withColumn("rules", all_keys)
+    # by kind the ledger has few rows a blob: keys meet first, texts once
+    seen = ledger.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
+    met = blobs.join(seen, "blob_id", "left").withColumn("rules", F.array_except(all_keys, F.coalesce("seen", F.array().cast("array<string>"))))
+    return met.where(F.size("rules") > 0).select("blob_id", "text", "rules").dropDuplicates(["blob_id"])
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION, *, text_col: str = "text") -> DataFrame:
-    """The ledger's new rows: blobs of `versions` that it lacks, scanned."""
-    return scan_blobs(unseen_blobs(versions, ledger, rule_version, text_col=text_col), rules, rule_version)
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
+    """The ledger's new rows: blobs of `versions`, scanned for the rules that it lacks."""
+    return scan_blobs(unseen_blobs(versions, ledger, rules, text_col=text_col), rules)
 
 
-def join_back(versions: DataFrame, ledger: DataFrame, scratch: Scratch, rule_version: str = RULE_VERSION, *, text_col: str = "text") -> DataFrame:
-    """`versions` with a column `findings` (empty where there are none), text still at hand.
+def join_back(versions: DataFrame, ledger: DataFrame, scratch: Scratch, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", into: str = "findings") -> DataFrame:
+    """`versions` with a column `into` of findings (empty where there are none), which replaces one of that name; text still at hand.
 
-    Only blobs with findings travel; they are broadcast while few.
+    Only blobs with findings travel; they are broadcast while few. Findings of a rule's other versions don't count.
     """
-    hits = ledger.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob_id").alias("_blob"), F.col("findings"))
-    hits = broadcast_if_small(scratch.cut(hits, "hits"), BROADCAST_ROWS)
-    taken = versions.withColumn("_id", blob_id(versions[text_col]))
+    order = {r.kind: k for k, r in enumerate(rules)}
+    place = F.create_map(*[F.lit(v) for kind, k in order.items() for v in (kind, k)])
+    hits = ledger.where(F.size("findings") > 0)
+    # a kind counts where the pass that found it ran its present version
+    ran = F.col("rules")
+    current = F.filter("findings", lambda x: F.array_contains(ran, F.element_at(F.create_map(*[F.lit(v) for r in rules for v in (r.kind, r.key)]), x["kind"])))
+    spans = hits.select("blob_id", F.explode(current).alias("x")).distinct()
+    key, blob = f"_id_{uuid.uuid4().hex}", f"_blob_{uuid.uuid4().hex}"
+    sorted_ = F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.start").alias("s"), place[F.col("x.kind")].alias("k"), F.col("x.end").alias("e"), F.col("x").alias("x")))), lambda y: y["x"])
+    hits = scratch.cut(spans.groupBy("blob_id").agg(sorted_.alias("found")), "hits").select(F.col("blob_id").alias(blob), F.col("found").alias(f"{blob}_x"))
+    hits = broadcast_if_small(hits, BROADCAST_ROWS)
+    taken = versions.withColumn(key, blob_id(versions[text_col]))
     empty = F.array().cast(FINDINGS)
-    return taken.join(hits, F.col("_id") == F.col("_blob"), "left").withColumn("findings", F.coalesce("findings", empty)).drop("_id", "_blob")
+    return taken.join(hits, F.col(key) == F.col(blob), "left").withColumn(into, F.coalesce(f"{blob}_x", empty)).drop(key, blob, f"{blob}_x")
 
 
 def span_list(findings, only_base: bool):

@@ -1,5 +1,7 @@
 import re
+from dataclasses import replace
 
+import corpus_pipeline
 from glossa.llm import secrets as s
 from glossa.session import Scratch
 
@@ -46,7 +48,14 @@ def test_each_blob_is_scanned_once_and_joined_to_all_paths(spark):
     # a second run scans what is new, a new rule version all
     more = plain.union(spark.createDataFrame([(99, "token: 0123456789")], "doc_id long, text string"))
     assert s.update_ledger(more, ledger).count() == 1
-    assert s.update_ledger(more, ledger, rule_version="2").count() == ledger.count() + 1
+    changed = (*s.RULES[:-1], replace(s.RULES[-1], version=9))
+    again = scratch.cut(s.update_ledger(more, ledger, changed), "again")
+    due = {r.blob_id: r.rules for r in again.collect()}
+    assert len(due) == ledger.count() + 1 and sorted(len(x) for x in due.values()) == [1] * ledger.count() + [len(s.RULES)]
+    both = ledger.union(again).union(ledger)  # pairs that stand there twice
+    assert s.update_ledger(more, both, changed).count() == 0
+    found = s.join_back(more, both, scratch, changed).select("text", s.span_list(s.F.col("findings"), True).alias("b")).collect()
+    assert len(found) == len(rows) + 1 and all(r.b == brute(r.text) for r in found)
     assert s.update_ledger(plain.limit(0)).count() == 0
 
 
@@ -85,3 +94,15 @@ def test_private_keys_are_masked_to_their_end():
 def test_url_logins_of_any_length():
     login = f"https://{'u' * 200}:{'p' * 300}@"
     assert [x["kind"] for x in s.Scanner(s.RULES).scan(f"at {login}host/x") if x["end"] - x["start"] == len(login)] == ["url_login"]
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1", "f", "i", "b")], "doc_id long, text string, findings string, _id string, _blob string")
+    out = corpus_pipeline.mask_secrets(spark, docs.withColumn("n_chars", s.F.lit(1).cast("long")), "").collect()
+    assert out[0].asDict() == {"doc_id": 1, "text": "[secret]", "findings": "f", "_id": "i", "_blob": "b", "n_chars": 8}
+
+
+def test_very_long_text():
+    text = "x" * 2_000_000 + " token=abcdefgh1 " + "0123456789abcdef" * 50_000
+    found = s.Scanner(s.RULES).scan(text)
+    assert [(x["kind"], x["end"] - x["start"]) for x in found] == [("assign", 15), ("hex", 800_000)]
