@@ -6,6 +6,8 @@ read again as the next one's docs. Stages before the last return the columns of
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     reach_workers(spark)
     scratch = Scratch(spark, "mask")
     ledger = scratch.cut(secrets.update_ledger(docs), "ledger")
-    found = secrets.join_back(docs, ledger, scratch)
-    text = secrets.redact(F.col("text"), F.col("findings"))
-    masked = F.size("findings") > 0
+    spans = f"_spans_{uuid.uuid4().hex}"
+    found = secrets.join_back(docs, ledger, scratch, into=spans)
+    text = secrets.redact(F.col("text"), F.col(spans))
+    masked = F.size(spans) > 0
     return found.withColumns({"text": text, "n_chars": F.when(masked, F.length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
 
 
