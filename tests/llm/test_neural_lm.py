@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from glossa.llm import neural_lm as lm
 
@@ -21,7 +22,7 @@ def corpus(seed=0, n=300):
 def test_base_scores_and_held_out_gain(spark):
     rows = corpus()
     docs = spark.createDataFrame([(d, t, 1.0) for d, t in rows], "doc_id long, text string, score double").repartition(3)
-    out = lm.score_documents(docs, short=40, classes=16, head=60, steps=80).collect()
+    out = lm.score_documents(docs, grow=0.4, classes=16, head=60, passes=20).collect()
     assert len(out) == len(rows)
     counts = Counter()
     for d, t in rows:
@@ -38,31 +39,65 @@ def test_base_scores_and_held_out_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def text(rng, n, words):
+    """A chain in which each word depends on the one two before it."""
+    out = [0, 1]
+    for _ in range(n):
+        out.append((out[-2] * 3 + rng.integers(0, 3)) % words)
+    return np.array(out, np.int32)
+
+
+def trained(u, words, steps=60):
+    rng = np.random.default_rng(1)
+    model = lm.LogBilinear(np.bincount(u, minlength=words).astype(float), 16)
+    before = lm.context_of(u, np.array([0]), 0)
+    for _ in range(steps):
+        some = rng.permutation(len(u))[:2000]
+        model.step(before[some], u[some], rng)
+    return model, before
+
+
 def test_probabilities_add_up_to_one():
-    rng = np.random.default_rng(0)
-    pairs = rng.integers(0, 30, (20, 20)).astype(float)
-    model = lm.LogBilinear(20, 8).train(pairs, steps=60)
-    assert np.allclose(np.exp(model.log_probabilities(block=7)).sum(1), 1)
+    u = text(np.random.default_rng(0), 3000, 50)
+    model, before = trained(u, 50, steps=5)
+    total = sum(np.exp(model.log_probabilities(before[:40], np.full(40, w, np.int32))) for w in range(50))
+    assert np.allclose(total, 1, atol=1e-4)
     # shares within a class: its words and one unseen add up to 1
     counts = {"aa": 3, "ba": 1}
     mass = sum(counts.values()) + lm.ADD * (len(counts) + 1)
     assert math.isclose(sum((c + lm.ADD) / mass for c in counts.values()) + lm.ADD / mass, 1)
 
 
-def test_training_fits_the_pairs():
-    rng = np.random.default_rng(1)
-    true = rng.dirichlet(np.full(12, 0.3), 12)
-    pairs = np.round(true * 1000)
-    p = np.exp(lm.LogBilinear(12, 12).train(pairs, steps=400).log_probabilities())
-    unigram = pairs.sum(0) / pairs.sum()
-    assert -(true * np.log(p)).sum() < 0.8 * -(true * np.log(unigram + 1e-9)).sum()
+def test_training_learns_from_more_than_one_word():
+    u = text(np.random.default_rng(0), 20_000, 50)
+    model, before = trained(u, 50)
+    test = text(np.random.default_rng(9), 2000, 50)
+    p = np.bincount(u, minlength=50) / len(u)
+    score = model.log_probabilities(lm.context_of(test, np.array([0]), 0), test).mean()
+    assert score > np.log(p[test] + 1e-9).mean() + 0.5
+
+
+def test_averages_and_contexts():
+    model = lm.LogBilinear(np.arange(1.0, 31), 4)
+    u = np.arange(30, dtype=np.int32)
+    model.step(lm.context_of(u, np.array([0, 10]), 7), u, np.random.default_rng(0))
+    row, weight, values = model.rows()
+    again = lm.LogBilinear(np.arange(1.0, 31), 4).take(row, values)
+    assert all(np.array_equal(getattr(model, k), getattr(again, k)) for k in "rqbgac")
+    assert lm.context_of(u, np.array([0, 10]), 7)[[0, 2, 10, 12]].tolist() == [[7, 7, 7], [1, 0, 7], [7, 7, 7], [11, 10, 7]]
+    # the same row in two batches
+    names, x = ["row", "weight", "values"], np.array([1, 3], np.float16).tobytes()
+    y = np.array([3, 5], np.float16).tobytes()
+    parts = [pa.RecordBatch.from_arrays([pa.array([4, 5]), pa.array([1, 1]), pa.array([x, x])], names), pa.RecordBatch.from_arrays([pa.array([5, 9]), pa.array([3, 1]), pa.array([y, y])], names)]
+    got = {r: np.frombuffer(v, np.float32).tolist() for b in lm._average(parts) for r, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert got == {4: [1, 3], 5: [2.5, 4.5], 9: [3, 5]}
 
 
 def test_empty_and_untrained(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert lm.score_documents(none, short=4, classes=4, head=8, steps=2).count() == 0
+    assert lm.score_documents(none, grow=1, classes=4, head=8).count() == 0
     held = next(k for k in range(100) if lm.held_out(k))
-    out = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), short=4, classes=4, head=8, steps=2).collect()
+    out = lm.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), grow=1, classes=4, head=8).collect()
     assert (out[0].n_known, out[0].train_tokens, out[0].n_tokens) == (0, 0, 3)
 
 
@@ -72,5 +107,5 @@ def test_head_that_no_step_of_counts_fits(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = 9 * math.log10(1.1 / (9 + 0.1 * 10))
     for head in (5, 100):
-        out = lm.score_documents(docs, short=4, classes=4, head=head, steps=2).collect()[0]
+        out = lm.score_documents(docs, grow=1, classes=4, head=head).collect()[0]
         assert out.n_known == 9 and math.isclose(out.base_score, want)
