@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from glossa.session import Scratch
 
-#: Rows of one Arrow batch: with texts of 100 kB each a batch stays near 100 MB.
-BATCH_ROWS = 1000
+#: Rows of one Arrow batch: with texts of 100 kB each a batch stays near 40 MB.
+BATCH_ROWS = 400
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -69,12 +69,13 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: What a Python worker keeps between its tasks, by a name that includes the content's digest.
+#: What a Python worker keeps between its tasks, by a name that includes the content's digest: the last thing only.
 _kept: dict[str, object] = {}
 
 
 def keep(name: str, make: Callable[[], object]) -> object:
     if name not in _kept:
+        _kept.clear()
         _kept[name] = make()
     return _kept[name]
 

@@ -120,7 +120,7 @@ class WordIds:
     #: Stands between words that are encoded in one call.
     MARK = "\x01"
 
-    def __init__(self, content: bytes, most_words: int = 400_000):
+    def __init__(self, content: bytes, most_words: int = 250_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -171,11 +171,12 @@ class WordIds:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, *, end_id: int = 2, window: int = 4096, most_open: int = 512, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, *, end_id: int = 2, window: int = 4096, most_open: int = 512, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    `vocabulary` is a tokenizers JSON file whose tokens stay within words. Other columns
+    `vocabulary` is a tokenizers JSON file whose tokens stay within words. A worker remembers the ids of
+    up to twice `most_words` words (about 200 bytes each), which saves time alone. Other columns
     are not read, so their names can't clash. See the module for nulls, repeats and ends.
     """
     common.bounded_batches(docs.sparkSession)
@@ -183,7 +184,7 @@ def pack_documents(
     names = [x.split()[0] for x in COLUMNS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = common.keep("word ids " + hashlib.sha256(content.value).hexdigest(), lambda: WordIds(content.value))
+        words = common.keep(f"word ids {most_words} {hashlib.sha256(content.value).hexdigest()}", lambda: WordIds(content.value, most_words))
         packer = SumOfSquares(window, most_open, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
 
