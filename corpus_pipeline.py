@@ -43,7 +43,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens, a row for each piece of a document."""
     reach_workers(spark)
-    return packing.pack_documents(docs, common.public_path("word_bpe_49k.json"), end_id=2, window=4096)
+    return packing.pack_documents(docs, common.public_path("word_bpe_49k.json"), end_id=2, window=4096, most_words=100_000)
 
 
 STAGES = [("quality classifier", keep_good), ("n-gram Jaccard join", keep_one_of_each_group), ("secret scans", mask_secrets), ("packing", pack)]
