@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folds() -> tuple[str, str]:
+    """Letters that are one letter with marks, what is left without them, and at the end the marks themselves, which go."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, (x for x in range(0x80, 0x30000) if not 0xD800 <= x < 0xE000)):
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        rest = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if rest != c and len(rest) == 1:
+            letters.append(c)
+            plain.append(rest)
+    return "".join(letters + marks), "".join(plain)
+
+
+ACCENTED, FOLDED = _folds()
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -34,7 +51,8 @@ def normalise_marks(text: Column) -> Column:
 
 def normalise_content(text: Column) -> Column:
     """Line ends unified, lines trimmed on the right, the whole trimmed: the input of content hashes."""
-    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"[ \t]+(?=\n|$)", "")
+    # each run of blanks is tried once, from its start
+    lines = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?<![ \t])[ \t]++(?=\n|$)", "")
     return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
@@ -70,7 +88,7 @@ def holds_sequence(inside: Column, wanted: Column) -> Column:
 
 
 def literal_bonus(term: Column, definition: Column, query: Column) -> Column:
-    """1000 for the term itself, 300 for its start, 150 for a part of it; 100 more if the definition holds the query.
+    """1000 for the term itself, 300 for its start, 150 for a part of it; 100 more if the definition holds the query.
 
     All three are normalised texts.
     """
@@ -79,7 +97,7 @@ def literal_bonus(term: Column, definition: Column, query: Column) -> Column:
 
 
 def term_bonus(term: Column, query: Column, query_tokens: Column, term_tokens: Column) -> Column:
-    """The smaller catalogue's scale: 40 more where the query holds the term's tokens in order."""
+    """The smaller catalogue's scale, 40 more where the query holds the term's tokens in order."""
     exact = F.when(term == query, 1000.0).when(term.startswith(query), 300.0).when(term.contains(query), 150.0).otherwise(0.0)
     return exact + F.when(holds_sequence(query_tokens, term_tokens), 40.0).otherwise(0.0)
 
@@ -95,7 +113,7 @@ def unit_vector(v: Column) -> Column:
 
 
 def rrf(*ranks: Column, k: int = 60) -> Column:
-    """Reciprocal rank fusion; a null rank adds nothing."""
+    """Reciprocal rank fusion with the fixed constant 60; a null rank adds nothing."""
     return sum((F.coalesce(1.0 / (k + r), F.lit(0.0)) for r in ranks), F.lit(0.0))
 
 
@@ -120,14 +138,21 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / F.length(needle)).cast("int")).otherwise(0)
 
 
+def _ends(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    out = []
+    for a, b in zip(old, new):
+        if a is None or b is None:
+            out.append((None, None))
+            continue
+        prefix = len(os.path.commonprefix((a, b)))
+        most = min(len(a), len(b)) - prefix
+        out.append((prefix, len(os.path.commonprefix((a[len(a) - most :][::-1], b[len(b) - most :][::-1])))))
+    return pd.DataFrame(out, columns=["prefix", "suffix"]).astype("Int32")
+
+
 def change_range(old: Column, new: Column) -> Column:
-    """Common prefix and suffix lengths of two texts, as a struct (prefix, suffix)."""
-    least = F.least(F.length(old), F.length(new))
-    prefix = F.size(F.filter(F.sequence(F.lit(0), least), lambda i: (i > 0) & (F.substring(old, F.lit(1), i) == F.substring(new, F.lit(1), i))))
-    suffix = F.size(
-        F.filter(F.sequence(F.lit(0), least), lambda i: (i > 0) & (i <= least - prefix) & (F.substring(old, F.length(old) - i + 1, i) == F.substring(new, F.length(new) - i + 1, i)))
-    )
-    return F.struct(prefix.alias("prefix"), suffix.alias("suffix"))
+    """Common prefix and suffix lengths of two texts, as a struct (prefix, suffix); an Arrow pass, linear in the texts."""
+    return F.pandas_udf(_ends, "prefix int, suffix int")(old, new)
 
 
 #: The families of literals that a rewrite must keep, as patterns.

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,19 +31,68 @@ def places(text: Column, literal: Column) -> Column:
     return F.when(F.length(literal) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
+def _places(text: str, folded: str) -> tuple[str, list[int] | None]:
+    """The folded text and, where folding changes the length, the original's place of each folded character."""
+    if len(text) == len(folded):
+        return folded, None
+    table = str.maketrans(dict(zip(t.ACCENTED, t.FOLDED)) | dict.fromkeys(t.ACCENTED[len(t.FOLDED) :], ""))
+    each = [c.lower().translate(table) for c in text]
+    return "".join(each), [i for i, c in enumerate(each) for _ in c]
+
+
+def _found_rules(sent):
+    """Segments (segment_id, text, folded) to the rules' matches, from the left and without overlap within a rule."""
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for literal, rules in sent.value:
+            automaton.add_word(literal, (literal, rules))
+        automaton.make_automaton()
+        for rows in batches:
+            out = []
+            for segment, text, folded in zip(rows["segment_id"], rows["text"], rows["folded"]):
+                if not text:
+                    continue
+                folded, at = _places(text, folded)
+                free: dict[str, int] = {}
+                off: dict[str, bool] = {}
+                for last, (literal, rules) in automaton.iter(folded):
+                    start = last + 1 - len(literal)
+                    if start < free.get(literal, 0):
+                        continue
+                    free[literal] = last + 1
+                    first, end = (at[start], at[last] + 1) if at else (start, last + 1)
+                    for rule, exceptions in rules:
+                        if rule not in off:
+                            off[rule] = any(x in folded for x in exceptions)
+                        if not off[rule]:
+                            out.append((segment, rule, first, end, text[first:end]))
+            yield pd.DataFrame(out, columns=["segment_id", "rule_id", "start", "end", "original"])
+
+    return run
+
+
 def rule_suggestions(segments: DataFrame, rules: DataFrame) -> DataFrame:
     """(segment_id, rule_id, start, end, original, replacement) for active rules found in a segment.
 
     segments: segment_id, text. rules: rule_id, literal, replacement, active, exceptions (texts
-    that switch the rule off). A rule meets only segments that hold its first token as a part.
+    that switch the rule off). Literals are searched folded for case and accents, may begin and end
+    within words, and meet the segments in one pass of an automaton over all literals; rules are a
+    pack of bounded size and go out `RULE_ROWS` at a time.
     """
-    live = broadcast_if_small(rules.where("active").withColumn("folded", t.fold(F.col("literal"))), RULE_ROWS)
-    s = segments.withColumn("folded_text", t.fold(F.col("text")))
-    met = s.join(live, F.col("folded_text").contains(F.col("folded")))
-    met = met.where(~F.exists(F.coalesce("exceptions", F.array().cast("array<string>")), lambda x: F.col("folded_text").contains(t.fold(x))))
-    flat = met.withColumn("start", F.explode(places(F.col("text"), F.col("literal"))))
-    original = F.substring("text", F.col("start") + 1, F.length("literal"))
-    return flat.select("segment_id", "rule_id", "start", (F.col("start") + F.length("literal")).alias("end"), original.alias("original"), t.match_case(F.col("replacement"), original).alias("replacement"))
+    spark = segments.sparkSession
+    no = F.coalesce("exceptions", F.array().cast("array<string>"))
+    live = rules.where("active").withColumns({"folded": t.fold(F.col("literal")), "no": F.transform(no, lambda x: t.fold(x))}).where("folded <> ''")
+    known = live.groupBy("folded").agg(F.collect_list(F.struct("rule_id", "no")).alias("rules")).collect()
+    s = segments.select("segment_id", "text", t.fold(F.col("text")).alias("folded"))
+    kinds = f"segment_id {segments.schema['segment_id'].dataType.simpleString()}, rule_id {rules.schema['rule_id'].dataType.simpleString()}, start int, end int, original string"
+    found = spark.createDataFrame([], kinds)
+    for at in range(0, len(known), RULE_ROWS):
+        sent = spark.sparkContext.broadcast([(r.folded, [(x.rule_id, list(x.no)) for x in r.rules]) for r in known[at : at + RULE_ROWS]])
+        part = s.mapInPandas(_found_rules(sent), kinds)
+        found = part if at == 0 else found.union(part)
+    met = found.join(broadcast_if_small(live.select("rule_id", "replacement"), RULE_ROWS), "rule_id")
+    return met.select("segment_id", "rule_id", "start", "end", "original", t.match_case(F.col("replacement"), F.col("original")).alias("replacement"))
 
 
 def ranked(candidates: DataFrame, group: str = "segment_id") -> DataFrame:
@@ -114,15 +168,72 @@ def references(found: DataFrame, targets: DataFrame) -> DataFrame:
     return met.withColumn("verdict", F.when(n == 0, "missing").when(n == 1, "ok").otherwise("ambiguous")).drop("n_own", "n_all")
 
 
+def _windows(least: int, most: int, share: float):
+    """The search behind `covering_window`, over batches of token arrays."""
+
+    def best(ws, wanted) -> tuple | None:
+        wanted = set() if wanted is None else set(wanted)
+        if ws is None or not wanted or len(ws) < least:
+            return None
+        need = math.ceil(round(share * len(wanted), 9))
+        at = [w if w in wanted else None for w in ws]
+
+        def sizes(size: int):
+            """(start, distinct wanted tokens) of all windows of a size."""
+            held: Counter = Counter(w for w in at[:size] if w)
+            yield 0, len(held)
+            for i in range(size, len(at)):
+                if at[i]:
+                    held[at[i]] += 1
+                if out := at[i - size]:
+                    held[out] -= 1
+                    if not held[out]:
+                        del held[out]
+                yield i - size + 1, len(held)
+
+        # the shortest stretch with enough of them, by two ends that only move on
+        held, first, shortest = Counter(), 0, None
+        for last, w in enumerate(at):
+            if w:
+                held[w] += 1
+            while len(held) >= need:
+                shortest = min(shortest or most + 1, last - first + 1)
+                if out := at[first]:
+                    held[out] -= 1
+                    if not held[out]:
+                        del held[out]
+                first += 1
+        size = max(least, shortest) if shortest else most + 1
+        if size > most:
+            return None
+        start, covered = max(sizes(size), key=lambda x: (x[1], -x[0]))
+        return start, size, covered
+
+    def run(text: pd.Series, definition: pd.Series) -> pd.DataFrame:
+        found = [best(a, b) or (None, None, None) for a, b in zip(text, definition)]
+        return pd.DataFrame(found, columns=["start", "size", "covered"]).astype("Int32")
+
+    return run
+
+
 def covering_window(text_tokens: Column, definition_tokens: Column, least: int = 6, most: int = 80, share: float = 0.7) -> Column:
     """(start, size, covered): the shortest token window that covers `share` of the definition's distinct tokens, null if none.
 
-    Ties go to the better covered, then the earlier window. Windows begin and end on
-    covered tokens or have the least size, so few need a look.
+    Ties go to the better covered, then the earlier window. An Arrow pass with running counts, linear in the text.
+    """
+    found = F.pandas_udf(_windows(least, most, share), "start int, size int, covered int")(text_tokens, definition_tokens)
+    return F.when(found["size"].isNotNull(), found)
+
+
+def covered_definitions(texts: DataFrame, definitions: DataFrame, share: float = 0.7, least: int = 4) -> DataFrame:
+    """(text_id, definition_id, start, size, covered) for every text that has a covering window of a definition.
+
+    texts: text_id, ws. definitions: definition_id, wanted (distinct content tokens, `least` at least).
+    Pairs come from counts of shared tokens, so only texts that hold enough of a definition are searched.
     """
-    wanted = F.array_distinct(definition_tokens)
-    n = F.size(text_tokens)
-    sizes = F.when(n >= least, F.sequence(F.lit(least), F.least(n, F.lit(most)))).otherwise(F.array().cast("array<int>"))
-    windows = F.flatten(F.transform(sizes, lambda s: F.transform(F.sequence(F.lit(0), n - s), lambda i: F.struct(s.alias("size"), (-F.size(F.array_intersect(F.slice(text_tokens, i + 1, s), wanted))).alias("lack"), i.alias("start")))))
-    best = F.array_min(F.filter(windows, lambda w: -w["lack"] >= F.ceil(share * F.size(wanted))))
-    return F.when((F.size(wanted) > 0) & best.isNotNull(), F.struct(best["start"].alias("start"), best["size"].alias("size"), (-best["lack"]).alias("covered")))
+    named = definitions.where(F.size("wanted") >= least)
+    asked = named.select("definition_id", F.ceil(F.round(share * F.size("wanted"), 9)).alias("need"), F.explode("wanted").alias("token"))
+    held = texts.select("text_id", F.explode(F.array_distinct("ws")).alias("token"))
+    met = held.join(broadcast_if_small(asked, RULE_ROWS), "token").groupBy("text_id", "definition_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
+    both = met.select("text_id", "definition_id").join(texts, "text_id").join(broadcast_if_small(named, RULE_ROWS), "definition_id")
+    return both.withColumn("w", covering_window(F.col("ws"), F.col("wanted"), share=share)).where("w.size is not null").select("text_id", "definition_id", "w.*")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from glossa.session import Scratch
+
 
 def first_filled(*columns: Column) -> Column:
     """The first value that is neither null nor empty."""
@@ -44,14 +46,21 @@ def undirected(edges: DataFrame, source: str, target: str, id_col: str) -> DataF
 
 
 def closure(edges: DataFrame, seeds: DataFrame, source: str, target: str, key: str) -> DataFrame:
-    """All nodes that the seeds reach along the edges; a join per step until nothing is new."""
-    reached = seeds.select(F.col(key).alias("id")).distinct()
+    """All nodes that the seeds reach along the edges; a join per step until nothing is new.
+
+    A step joins the last step's nodes alone, and what it finds is written to the shared folder.
+    """
+    scratch = Scratch(edges.sparkSession, "closure")
+    pairs = scratch.cut(edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct(), "edges")
+    last = reached = scratch.cut(seeds.select(F.col(key).alias("id")).distinct(), "step0")
+    step = 0
     while True:
-        more = edges.join(reached, edges[source] == reached["id"], "left_semi").select(F.col(target).alias("id")).distinct().join(reached, "id", "left_anti")
-        more = more.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else more
-        if not more.limit(1).count():
+        step += 1
+        more = pairs.join(last, pairs["source"] == last["id"], "left_semi").select(F.col("target").alias("id")).distinct().join(reached, "id", "left_anti")
+        last = scratch.cut(more, f"step{step}")
+        if not last.limit(1).count():
             return reached
-        reached = reached.union(more)
+        reached = reached.union(last)
 
 
 def evidence(links: DataFrame, passages: DataFrame, regulations: DataFrame) -> DataFrame:

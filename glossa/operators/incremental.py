@@ -7,12 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
+from glossa.session import Scratch, broadcast_if_small
+
+BROADCAST_ROWS = 500_000
 
 
 def content_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, first_id): later documents of equal content, by hash; only hashes and ids are shuffled."""
-    h = docs.select(F.col(id_col).alias("doc_id"), t.content_hash(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
-    first = h.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    """(doc_id, first_id): later documents of equal content, by hash.
+
+    Texts are hashed once; ids and hashes are written, and only hashes that repeat meet their rows again.
+    """
+    h = docs.select(F.col(id_col).alias("doc_id"), F.unhex(t.content_hash(F.coalesce(F.col(text_col), F.lit("")))).alias("h"))
+    h = Scratch(docs.sparkSession, "duplicates").cut(h, "hashes")
+    first = broadcast_if_small(h.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), BROADCAST_ROWS)
     return h.join(first, "h").where("doc_id <> first_id").select("doc_id", "first_id")
 
 

@@ -10,15 +10,17 @@ from glossa.functions import text as t
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, pos, start, end, text): non-blank lines, trimmed, with their code-point ranges."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n", -1).alias("ls"))
-    ends = F.aggregate("ls", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 1 + F.length(x))))
-    flat = lines.withColumn("ends", F.when(F.size("ls") > 0, ends)).select("doc_id", F.posexplode(F.arrays_zip("ls", "ends")).alias("line", "x"))
-    own = flat.select("doc_id", "line", F.col("x.ls").alias("raw"), (F.col("x.ends") - F.length("x.ls")).alias("from"))
-    lead = F.length("raw") - F.length(F.ltrim("raw"))
-    kept = own.withColumns({"start": F.col("from") + lead, "text": F.trim("raw")}).where("text <> ''")
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("line")) - 1
-    return kept.select("doc_id", place.alias("pos"), "line", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+    """(doc_id, pos, start, end, text): non-blank lines, trimmed, with their code-point ranges.
+
+    One shuffle by document: line ends and places are running sums over its lines.
+    """
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "raw"))
+    so_far = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    filled = F.trim("raw") != ""
+    own = lines.withColumns({"upto": F.sum(F.length("raw") + 1).over(so_far), "pos": F.sum(filled.cast("int")).over(so_far) - 1}).where(filled)
+    start = F.col("upto") - 1 - F.length(F.ltrim("raw"))
+    kept = own.select("doc_id", F.col("pos").cast("int").alias("pos"), "line", start.cast("int").alias("start"), F.trim("raw").alias("text"))
+    return kept.select("doc_id", "pos", "line", "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
 def cells(rows: DataFrame, text_col: str, sep: str = "\t") -> DataFrame:
@@ -103,9 +105,11 @@ def duplicate_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_ngrams(docs: DataFrame, id_col: str, text_col: str, n: int = 6) -> DataFrame:
-    """(doc_id, ratio): share of repeated n-grams of a document; 0 below n tokens."""
-    base = docs.select(F.col(id_col).alias("doc_id"), t.tokens(F.col(text_col)).alias("ws"))
+    """(doc_id, ratio): share of repeated n-grams of a document; 0 below n tokens. Within the row, without a shuffle."""
+    base = docs.select(F.col(id_col).alias("doc_id"), t.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ws"))
     size = F.size("ws")
-    grams = base.where(size >= n).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice("ws", i, n), " "))).alias("g"))
-    counts = grams.groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg((F.sum(F.col("c") - 1) / F.sum("c")).alias("ratio"))
-    return base.select("doc_id").join(counts, "doc_id", "left").select("doc_id", F.round(F.coalesce("ratio", F.lit(0.0)), 6).alias("ratio"))
+    # n-grams by two independent 64-bit hashes
+    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice("ws", i, n)), F.hash(F.slice("ws", i, n))))
+    counted = base.select("doc_id", F.when(size >= n, grams).alias("g"))
+    ratio = (F.size("g") - F.size(F.array_distinct("g"))) / F.size("g")
+    return counted.select("doc_id", F.round(F.coalesce(ratio, F.lit(0.0)), 6).alias("ratio"))

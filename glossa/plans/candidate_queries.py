@@ -46,9 +46,10 @@ def cap_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.capped(table(spark, sf_dir, "conversations"), "conv_id", 3, F.col("turn"))[1]
 
 
-@query(f"SELECT {norm('p_type')} AS alias, min(p_brand) AS term FROM part WHERE p_size < 3 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
+@query(f"SELECT {norm("c_name")} AS alias, min(term) AS term FROM (SELECT p_name || ' ' || p_size AS c_name, p_brand AS term FROM part) GROUP BY 1 HAVING count(DISTINCT term) = 1")
 def unambiguous_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.ambiguous_free(table(spark, sf_dir, "part").where("p_size < 3").select(F.col("p_type").alias("alias"), F.col("p_brand").alias("term")))
+    """A part's name and size as an alias of its brand, where they stand for one brand only."""
+    return d.ambiguous_free(table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_size").alias("alias"), F.col("p_brand").alias("term")))
 
 
 @query("SELECT count(*) AS documents, count(DISTINCT lang) AS languages, list_sort(list(DISTINCT source)) AS sources FROM documents")
@@ -57,24 +58,22 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.count("*").alias("documents"), F.count_distinct("lang").alias("languages"), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-@query(f"""
-WITH s AS (SELECT doc_id AS segment_id, {toks("substring(text, 1, 400)")} AS ws FROM documents), b AS (SELECT list_distinct({toks("text")}) AS ws FROM benchmark WHERE item_id = 1)
-SELECT segment_id, len(b.ws) >= 4 AND len(list_intersect(b.ws, s.ws)) >= 0.3 * len(b.ws) AS covered FROM s, b
-""")
+@query()
 def definition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a text's start holds three tenths of one definition's distinct tokens."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), t.tokens(F.substring("text", 1, 400)).alias("ws"))
-    one = F.broadcast(table(spark, sf_dir, "benchmark").where("item_id = 1").select(F.array_distinct(t.tokens(F.col("text"))).alias("wanted")))
-    share = F.size(F.array_intersect("wanted", "ws")) >= 0.3 * F.size("wanted")
-    return docs.join(one).select("segment_id", ((F.size("wanted") >= 4) & share).alias("covered"))
+    """For every document and definition (benchmark item): the shortest window of 6 to 80 tokens that covers 70 % of the definition."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), t.tokens(F.col("text")).alias("ws"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("definition_id"), F.array_distinct(t.tokens(F.col("text"))).alias("wanted"))
+    return c.covered_definitions(docs, items)
 
 
 @query("""
-WITH s AS (SELECT doc_id AS segment_id, string_split(lower(translate(text, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')), 'password') AS parts FROM documents)
-SELECT segment_id, len(parts) - 1 AS found FROM s WHERE len(parts) > 1
+WITH s AS (SELECT doc_id AS segment_id, strip_accents(lower(text)) AS x FROM documents),
+r AS (SELECT * FROM (VALUES ('license', 'licence', ''), ('token', 'key', 'no tokens'), ('on', 'at', 'zzz')) AS r(literal, replacement, exception))
+SELECT segment_id, literal AS rule_id, len(string_split(x, literal)) - 1 AS found FROM s JOIN r ON contains(x, literal) WHERE exception = '' OR NOT contains(x, exception)
 """)
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of one rule's literal."""
+    """Occurrences of three rules' literals, of which two have exceptions."""
     segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")
-    rules = spark.createDataFrame([("r", "password", "passphrase", True, [])], "rule_id string, literal string, replacement string, active boolean, exceptions array<string>")
-    return c.rule_suggestions(segments, rules).groupBy("segment_id").agg(F.count("*").alias("found"))
+    rows = [("license", "license", "licence", True, []), ("token", "token", "key", True, ["no tokens"]), ("on", "on", "at", True, ["zzz"]), ("off", "the", "a", False, [])]
+    rules = spark.createDataFrame(rows, "rule_id string, literal string, replacement string, active boolean, exceptions array<string>")
+    return c.rule_suggestions(segments, rules).groupBy("segment_id", "rule_id").agg(F.count("*").alias("found"))

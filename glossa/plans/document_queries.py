@@ -170,7 +170,14 @@ def span_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.overlap_join(*span_tables(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH {SPANS}, u AS (SELECT DISTINCT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start - "end", start, "end") AS rank FROM u),
+k1 AS (SELECT * FROM r WHERE rank = 1),
+k2 AS (SELECT r.doc_id, min(r.rank) AS rank FROM r JOIN k1 USING (doc_id) WHERE NOT (r.start < k1."end" AND k1.start < r."end") GROUP BY 1),
+s2 AS (SELECT r.* FROM r JOIN k2 USING (doc_id, rank)),
+k3 AS (SELECT r.doc_id, min(r.rank) AS rank FROM r JOIN k1 USING (doc_id) JOIN s2 USING (doc_id) WHERE NOT (r.start < k1."end" AND k1.start < r."end") AND NOT (r.start < s2."end" AND s2.start < r."end") GROUP BY 1)
+SELECT * FROM k1 UNION ALL SELECT * FROM s2 UNION ALL SELECT r.* FROM r JOIN k3 USING (doc_id, rank)
+""")
 def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest spans first, none overlapping one taken before; at most three a document."""
     a, b = span_tables(spark, sf_dir)
@@ -241,13 +248,22 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_to_markdown(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT DISTINCT doc_id, unnest({toks("text")}) AS token FROM documents), c AS (SELECT token, count(*) AS docs FROM w WHERE regexp_full_match(token, '\\p{{L}}{{4,24}}') GROUP BY 1),
+m AS (SELECT a.token, a.docs, b.token AS suggestion, b.docs AS weight FROM c a JOIN c b ON a.docs <= 1 AND b.docs >= 20 AND abs(length(a.token) - length(b.token)) <= 1 AND damerau_levenshtein(translate(a.token, 'ßæœøđłı', '1234567'), translate(b.token, 'ßæœøđłı', '1234567')) = 1)
+SELECT token, suggestion, docs FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY weight DESC, suggestion DESC) AS k FROM m) WHERE k = 1
+""")
 def spelling_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare tokens one edit away from a frequent one."""
     return review.spelling(table(spark, sf_dir, "documents"), "doc_id", "text", rare=1, frequent=20)
 
 
-@query()
+@query("""
+WITH x AS (SELECT item_id AS doc_id, text AS a, replace(text, ' the ', ' a ') AS b FROM benchmark), y AS (SELECT * FROM x WHERE a <> b),
+p AS (SELECT doc_id, a, b, (SELECT max(i) FROM unnest(range(0, least(length(a), length(b)) + 1)) u(i) WHERE a[1:i] = b[1:i]) AS p FROM y),
+s AS (SELECT *, (SELECT max(i) FROM unnest(range(0, least(length(a), length(b)) - p + 1)) u(i) WHERE right(a, i) = right(b, i)) AS s FROM p)
+SELECT doc_id, p AS start, length(a) - s AS "end", length(b) - s AS new_end FROM s
+""")
 def changed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items against themselves with one word replaced: the range that changed."""
     b = table(spark, sf_dir, "benchmark")

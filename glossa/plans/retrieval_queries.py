@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from glossa.functions import text as t
 from glossa.operators import retrieval as r
 from glossa.plans.registry import query
-from glossa.session import broadcast_if_small, table
+from glossa.session import table
 
 #: DuckDB's form of functions.text.normalise and tokens.
-NORM = "trim(regexp_replace(translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '\\s+', ' ', 'g'))"
+NORM = "trim(regexp_replace(strip_accents(lower({0})), '\\s+', ' ', 'g'))"
 TOKENS = "list_filter(regexp_split_to_array(" + NORM + ", '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -41,23 +41,23 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return r.top_k(rounded, k, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-SNIPPETS = "SELECT item_id AS query_id, substring(text, 1, 60) AS query FROM benchmark"
+ITEMS = "SELECT item_id AS query_id, text AS query FROM benchmark"
 
 
-@query(bm25_sql("1.0", SNIPPETS, 10))
+@query(bm25_sql("1.0", ITEMS, 10))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten best documents of each benchmark snippet by BM25 over distinct query tokens."""
-    return ranked(r.bm25(table(spark, sf_dir, "documents"), snippets(spark, sf_dir), doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query"), 10)
+    """Ten best documents of each benchmark item by BM25 over distinct query tokens."""
+    return ranked(r.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir), doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query"), 10)
 
 
-@query(bm25_sql("count(*)", SNIPPETS, 10))
+@query(bm25_sql("count(*)", ITEMS, 10))
 def bm25_repeat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_topk, a repeated query token counting as often."""
-    return ranked(r.bm25(table(spark, sf_dir, "documents"), snippets(spark, sf_dir), doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query", repeats=True), 10)
+    return ranked(r.bm25(table(spark, sf_dir, "documents"), items(spark, sf_dir), doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query", repeats=True), 10)
 
 
 @query(f"""
@@ -155,22 +155,22 @@ def margin_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.margin_gate(semantic(spark, sf_dir), 0.3, 0.03).select("query_id", "doc_id", "score", "second")
 
 
-HYBRID = "SELECT doc_id AS query_id, substring(text, 1, 40) AS query FROM documents WHERE doc_id % 100 = 0 AND doc_id < 500"
+HYBRID = "SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0"
 
 
 @query(f"""
 WITH {VECTORS_SQL}, l AS ({bm25_sql("1.0", HYBRID, 100)}),
 f AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.doc_id, v.doc_id) AS doc_id, l.rank AS lexical_rank, v.rank AS semantic_rank, v.score AS semantic_score,
   round(coalesce(1.0 / (60 + l.rank), 0.0) + coalesce(1.0 / (60 + v.rank), 0.0), 9) AS fusion
-  FROM l FULL OUTER JOIN (SELECT * FROM v WHERE query_id < 500) v ON l.query_id = v.query_id AND l.doc_id = v.doc_id)
+  FROM l FULL OUTER JOIN v ON l.query_id = v.query_id AND l.doc_id = v.doc_id)
 SELECT query_id, rank, doc_id, fusion FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion DESC, semantic_score DESC NULLS LAST, doc_id) AS rank FROM f) WHERE rank <= 10
 """)
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank fusion of BM25 over documents and of the vectors of equal ids, for a fixed set of queries."""
+    """Rank fusion of BM25 over documents and of the vectors of equal ids, for every hundredth document's whole text."""
     docs = table(spark, sf_dir, "documents")
-    asked = docs.where("doc_id % 100 = 0 and doc_id < 500").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 40).alias("query"))
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     lexical = ranked(r.bm25(docs, asked, doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query"), 100)
-    return r.fuse(lexical, semantic(spark, sf_dir).where("query_id < 500"), 10).select("query_id", "rank", "doc_id", "fusion")
+    return r.fuse(lexical, semantic(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "fusion")
 
 
 @query(f"SELECT p_partkey, p_name FROM part WHERE {norm('p_name')} IN (SELECT {norm('p_name')} FROM part WHERE p_partkey % 100 = 0)")
@@ -181,7 +181,7 @@ def exact_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT p_partkey AS id, {toks("p_name")} AS ws, (p_size >= 25)::INT AS ok, list_distinct([p_brand, p_type]) AS refs FROM part WHERE p_partkey <= 400),
+WITH e AS (SELECT p_partkey AS id, {toks("p_name")} AS ws, (p_size >= 25)::INT AS ok, list_distinct([p_brand, p_type]) AS refs FROM part),
 f AS (SELECT id, unnest(refs) AS ref FROM e),
 s AS (SELECT a.id, b.id AS other, count(*) AS shared FROM f a JOIN f b USING (ref) WHERE a.id <> b.id GROUP BY 1, 2),
 g AS (SELECT s.id, other, 100 * shared + 10 * len(list_intersect(x.ws, y.ws)) + y.ok AS score FROM s JOIN e x ON x.id = s.id JOIN e y ON y.id = other)
@@ -189,7 +189,7 @@ SELECT id, rank, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id
 """)
 def related_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three most related parts: shared brand and container as references, shared name tokens."""
-    part = table(spark, sf_dir, "part").where("p_partkey <= 400").withColumn("refs", F.array("p_brand", "p_type"))
+    part = table(spark, sf_dir, "part").withColumn("refs", F.array("p_brand", "p_type"))
     return r.related(part, id_col="p_partkey", term_col="p_name", refs_col="refs", verified=F.col("p_size") >= 25, k=3)
 
 
@@ -203,12 +203,15 @@ def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT item_id, CASE WHEN len(list_distinct({toks("substring(text, 1, 12 + item_id % 30)")})) <= 3 THEN 'lexical' ELSE 'hybrid' END AS policy FROM benchmark
+WITH q AS (SELECT 'item' AS kind, item_id AS id, text AS query FROM benchmark UNION ALL SELECT 'part', p_partkey, p_type || ' ' || p_name FROM part UNION ALL SELECT 'brand', p_partkey, p_type FROM part)
+SELECT kind, id, CASE WHEN len(list_distinct({toks("query")})) <= 3 THEN 'lexical' ELSE 'hybrid' END AS policy FROM q
 """)
 def search_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which search a query gets: short ones stay lexical."""
-    asked = F.expr("substring(text, 1, cast(12 + item_id % 30 as int))")
-    return table(spark, sf_dir, "benchmark").select("item_id", r.search_policy(asked, F.array().cast("array<string>")).alias("policy"))
+    part = table(spark, sf_dir, "part")
+    asked = table(spark, sf_dir, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("query"))
+    asked = asked.union(part.select(F.lit("part"), "p_partkey", F.concat_ws(" ", "p_type", "p_name"))).union(part.select(F.lit("brand"), "p_partkey", "p_type"))
+    return asked.select("kind", "id", r.search_policy(F.col("query"), F.array().cast("array<string>")).alias("policy"))
 
 
 @query(f"""
@@ -219,21 +222,13 @@ def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH b AS (SELECT item_id, ' ' || array_to_string({toks("text")}, ' ') || ' ' AS q FROM (SELECT item_id, substring(text, 1, 60) AS text FROM benchmark)),
-d AS (SELECT doc_id, ' ' || array_to_string({toks("text")}, ' ') || ' ' AS d FROM documents)
-SELECT doc_id, item_id FROM d, b WHERE length(q) > 2 AND contains(d, q)
+WITH b AS (SELECT item_id, {toks("text")} AS qs FROM benchmark), d AS (SELECT doc_id, {toks("text")} AS ws FROM documents),
+bg AS (SELECT DISTINCT item_id, array_to_string(qs[i:i + 7], ' ') AS g FROM b, unnest(range(1, greatest(len(qs) - 6, 2))) AS u(i) WHERE len(qs) > 0),
+dg AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(ws) + 1)) AS u(i)),
+sh AS (SELECT DISTINCT doc_id, item_id, array_to_string(ws[i:i + len(qs) - 1], ' ') AS g FROM d JOIN b ON len(qs) BETWEEN 1 AND 7, unnest(range(1, len(ws) + 1)) AS u(i) WHERE array_to_string(ws[i:i + len(qs) - 1], ' ') = array_to_string(qs, ' '))
+SELECT doc_id, item_id, count(*) AS shared FROM (SELECT doc_id, item_id, g FROM dg JOIN bg USING (g) UNION SELECT * FROM sh) GROUP BY 1, 2
 """)
 def contamination_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark snippet's tokens in order; candidates share the snippet's first 3-gram."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("ws"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", t.tokens(F.substring("text", 1, 60)).alias("qs")).where(F.size("qs") > 0)
-
-    def line(x: str):
-        return F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
-
-    # an equi join on the first 3-gram (or all tokens, if fewer) instead of testing all pairs
-    b = b.withColumns({"n": F.least(F.size("qs"), F.lit(3)), "q": line("qs")}).withColumn("g", F.array_join(F.slice("qs", 1, F.col("n")), " ")).drop("qs")
-    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
-    grams = F.flatten(F.transform(sizes, lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    hit = docs.withColumn("d", line("ws")).select("doc_id", "d", F.explode(F.array_distinct(grams)).alias("g"))
-    return hit.join(broadcast_if_small(b, r.QUERY_ROWS), "g").where(F.col("d").contains(F.col("q"))).select("doc_id", "item_id").distinct()
+    """Documents and how many of a benchmark item's runs of eight tokens they hold, wherever these stand in the item."""
+    docs, items_ = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return r.shared_runs(docs, items_, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text", n=8)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,17 @@ SCHEMAS = {
     "relations": "relation_id string, source_id string, target_id string, relation_type string",
 }
 
-#: Dataset views and the files each is made of; `default` is another name of `official`.
+#: Dataset views and the files that hold each one's definitions, regulations and relations; one view has a second name.
 VIEWS = {
-    "official": ("definitions", "links", "passages", "regulations", "relations"),
-    "dictionary": ("definitions", "regulations"),
-    "evidence": ("links", "passages"),
+    "single": ("definitions", "regulations", "regulation_relations"),
+    "combined": ("combined_definitions", "combined_regulations", "combined_regulation_relations"),
+    "combined-deduplicated": ("combined_definitions_deduplicated", "combined_regulations", "combined_regulation_relations"),
+    "dictionary-serving": ("dictionary_primary", "dictionary_regulations", "dictionary_regulation_relations"),
+    "dictionary-official": ("dictionary_official_primary", "dictionary_regulations", "dictionary_regulation_relations"),
 }
-ALIASES = {"default": "official"}
+ALIASES = {"dictionary-primary": "dictionary-serving"}
+#: Every view reads these too.
+SHARED_FILES = {"links": "definition_passage_links", "passages": "regulation_passages"}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,12 +58,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_view(spark: SparkSession, folder: str, view: str) -> dict[str, DataFrame]:
-    """The tables of a dataset view; all inputs are looked for before anything is read."""
+def view_files(view: str) -> dict[str, str]:
+    """The file of each table of a dataset view."""
     view = ALIASES.get(view, view)
     if view not in VIEWS:
         raise ValueError(f"unknown dataset view {view}")
-    paths = {name: f"{folder.rstrip('/')}/{name}.jsonl" for name in VIEWS[view]}
+    return dict(zip(("definitions", "regulations", "relations"), VIEWS[view])) | SHARED_FILES
+
+
+def read_view(spark: SparkSession, folder: str, view: str) -> dict[str, DataFrame]:
+    """The tables of a dataset view; all inputs are looked for before anything is read."""
+    paths = {name: f"{folder.rstrip('/')}/{file}.jsonl" for name, file in view_files(view).items()}
     if missing := sorted(name for name, p in paths.items() if not exists(spark, p)):
         raise FileNotFoundError(f"missing inputs: {', '.join(missing)}")
     return {name: read_jsonl(spark, p, SCHEMAS[name]) for name, p in paths.items()}
@@ -126,3 +136,88 @@ def declared(df: DataFrame, schema: str) -> DataFrame:
     """Columns of a declared schema, in its order; missing ones null, types cast."""
     fields = T._parse_datatype_string(schema).fields
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def write_half_floats(df: DataFrame, path: str, key: str, vector: str) -> None:
+    """(key, vector) rows as Parquet, sorted by key, the vectors rounded to half precision."""
+
+    def half(batches):
+        for rows in batches:
+            yield pd.DataFrame({"key": rows["key"], "v": [None if v is None else np.asarray(v, np.float16).astype(np.float32) for v in rows["v"]]})
+
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"))
+    kind = rows.schema["key"].dataType.simpleString()
+    rounded = rows.mapInPandas(half, f"key {kind}, v array<float>").select(F.col("key").alias(key), F.col("v").alias(vector))
+    rounded.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def vector_gaps(definitions: DataFrame, vectors: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
+    """(key, problem): definitions without a vector, vectors without a definition, and vectors of another length."""
+    d, v = definitions.select(key).distinct(), vectors.select(key, F.size(vector).alias("n"))
+    lacking = d.join(v.select(key), key, "left_anti").select(key, F.lit("no vector").alias("problem"))
+    extra = v.join(d, key, "left_anti").select(key, F.lit("no definition"))
+    return lacking.union(extra).union(v.where(F.col("n") != dimension).select(key, F.lit("length")))
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes, sha256) of a folder's files, by the tasks that read them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def choose_revision(pinned: str | None, sidecar: dict | None, content: str) -> tuple[str, str]:
+    """The build's revision and where it is from: pinned by the caller, told by the coverage sidecar, or of the content."""
+    if pinned:
+        return pinned, "pinned"
+    told = (sidecar or {}).get("dataset_revision")
+    return (str(told), "sidecar") if told else (content[:16], "content")
+
+
+def check_parameters(found: dict, wanted: dict) -> list[str]:
+    """Manifest parameters (as embedding dimension or fusion constant) that differ from what the reader supports."""
+    return [f"{k} is {found.get(k)}, not {v}" for k, v in sorted(wanted.items()) if found.get(k) != v]
+
+
+def read_bundle(spark: SparkSession, path: str, metadata_path: str, schema: str, key: str) -> DataFrame:
+    """Bundled documents, whose number must be that of their metadata and whose keys must be filled."""
+    docs = read_json_array(spark, path, schema)
+    told = spark.read.option("multiLine", True).json(metadata_path).first().asDict().get("count")
+    n, blank = docs.agg(F.count("*"), F.count_if(F.coalesce(F.trim(key), F.lit("")) == "")).first()
+    if not n or n != told or blank:
+        raise ValueError(f"{path}: {n} documents, {told} told, {blank} without {key}")
+    return docs
+
+
+#: A rule pack's columns.
+RULE_SCHEMA = "rule_id string, literal string, replacement string, active boolean, exceptions array<string>"
+
+
+def read_rules(spark: SparkSession, path: str | None, built_in: DataFrame) -> DataFrame:
+    """A rule pack, or the built-in rules where there is none or it can't be read."""
+    if path is None or not exists(spark, path):
+        return built_in
+    rules = spark.read.schema(RULE_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return rules if rules.where("rule_id is not null").limit(1).count() else built_in
+
+
+def write_report(metrics: DataFrame, path: str, kind: str) -> None:
+    """A report of one kind (observation, comparison, quality) as JSON lines, deterministic."""
+    write_json(metrics.withColumn("report", F.lit(kind)), path, *[c for c in metrics.columns if metrics.schema[c].dataType.typeName() not in ("array", "struct", "map")])
+
+
+def export_package(fixtures: DataFrame, reviews: DataFrame, folder: str, key: str) -> dict:
+    """A review package: both tables and a manifest with their counts and digests."""
+    write_json(fixtures, f"{folder}/fixtures", key)
+    write_json(reviews, f"{folder}/reviews", key)
+    found = manifest({"fixtures": fixtures, "reviews": reviews}, schema_version=1)
+    fixtures.sparkSession.createDataFrame([(json.dumps(found, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    return found
+
+
+def load_package(spark: SparkSession, folder: str, fixture_schema: str, review_schema: str) -> tuple[DataFrame, DataFrame]:
+    """The tables of a review package, whose manifest must fit them."""
+    tables = {"fixtures": read_jsonl(spark, f"{folder}/fixtures", fixture_schema), "reviews": read_jsonl(spark, f"{folder}/reviews", review_schema)}
+    told = json.loads(spark.read.text(f"{folder}/manifest").first().value)
+    if wrong := check_manifest(told, tables, schema_version=1):
+        raise ValueError("; ".join(wrong))
+    return tables["fixtures"], tables["reviews"]

@@ -37,11 +37,6 @@ def test_oracle(spark, duck, sf, name):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = duck.execute(ORACLES[name])
     want = rows([d[0] for d in cur.description], cur.fetchall())
-    assert got[0] == want[0]
+    assert got[0] == want[0] and want[1]
     assert got[1][:5] == want[1][:5]
     assert got[1] == want[1]
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0

@@ -11,11 +11,13 @@ from glossa.streaming import review as r
 
 
 def test_jsonl_views_and_manifest(spark, tmp_path):
-    (tmp_path / "definitions.jsonl").write_text('{"definition_id":"d1","term":"T"}\n\n{"definition_id":"d2","term":"U","source_record_ids":["a"]}\n')
+    (tmp_path / "dictionary_primary.jsonl").write_text('{"definition_id":"d1","term":"T"}\n\n{"definition_id":"d2","term":"U","source_record_ids":["a"]}\n')
     with pytest.raises(FileNotFoundError, match="regulations"):
-        s.read_view(spark, f"file://{tmp_path}", "dictionary")
-    (tmp_path / "regulations.jsonl").write_text('{"regulation_id":"r1","in_force":true}\n')
-    tables = s.read_view(spark, f"file://{tmp_path}", "dictionary")
+        s.read_view(spark, f"file://{tmp_path}", "dictionary-serving")
+    for name in ("dictionary_regulation_relations", "definition_passage_links", "regulation_passages"):
+        (tmp_path / f"{name}.jsonl").write_text("")
+    (tmp_path / "dictionary_regulations.jsonl").write_text('{"regulation_id":"r1","in_force":true}\n')
+    tables = s.read_view(spark, f"file://{tmp_path}", "dictionary-primary")
     assert tables["definitions"].count() == 2
     found = s.manifest(tables, 3)
     assert s.check_manifest(found, tables, 3) == []
@@ -95,3 +97,21 @@ def test_streams(spark, tmp_path):
     q = r.save_latest(stream, "run", "seg", str(tmp_path / "draft"), str(tmp_path / "cp3"))
     q.awaitTermination(120)
     assert sorted(x.seg for x in spark.read.parquet(str(tmp_path / "draft")).collect()) == [18, 19]
+
+
+def test_bundles_revisions_and_packages(spark, tmp_path):
+    (tmp_path / "docs.json").write_text('[{"term":"a"},{"term":"b"}]')
+    (tmp_path / "meta.json").write_text('{"count": 2}')
+    assert s.read_bundle(spark, str(tmp_path / "docs.json"), str(tmp_path / "meta.json"), "term string", "term").count() == 2
+    (tmp_path / "meta.json").write_text('{"count": 3}')
+    with pytest.raises(ValueError, match="3 told"):
+        s.read_bundle(spark, str(tmp_path / "docs.json"), str(tmp_path / "meta.json"), "term string", "term")
+    assert s.choose_revision("p", {"dataset_revision": "s"}, "c") == ("p", "pinned")
+    assert s.choose_revision(None, {"dataset_revision": "s"}, "c") == ("s", "sidecar")
+    assert s.choose_revision(None, None, "c" * 64) == ("c" * 16, "content")
+    kinds = "fixture_id long, revision int"
+    f = spark.createDataFrame([(1, 1)], kinds)
+    s.export_package(f, f, f"file://{tmp_path}/p", "fixture_id")
+    f.union(f).write.mode("overwrite").json(f"file://{tmp_path}/p/reviews")
+    with pytest.raises(ValueError, match="reviews has 2 rows"):
+        s.load_package(spark, f"file://{tmp_path}/p", kinds, kinds)
