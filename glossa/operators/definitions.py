@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from glossa.functions import text as t
 
-#: Words that open a definition after its term, and words that change its meaning.
-CONNECTORS = ("is", "are", "means", "adalah", "ialah", "yaitu", "ist", "est", "es")
-OPERATORS = ("not", "only", "all", "any", "except", "unless", "must", "may", "shall", "tidak", "hanya", "setiap", "kecuali", "wajib", "dapat")
-STOP = ("the", "a", "an", "of", "and", "or", "to", "in", "is", "are", "yang", "dan", "atau", "di", "ke", "dari")
+#: Words that open a definition after its term, those that "as" may follow, words that change a meaning, and parties that count as such.
+CONNECTORS = ("adalah", "ialah", "merupakan", "berarti", "didefinisikan", "diartikan")
+WITH_AS = ("didefinisikan", "diartikan")
+OPERATORS = ("tidak", "bukan", "tanpa", "wajib", "harus", "dapat", "boleh", "dilarang", "akan", "jika", "apabila", "kecuali", "sepanjang", "hanya", "dan", "atau")
+PARTIES = r"(?i)\bpihak\s+(?:pertama|kedua|ketiga|keempat|kesatu|a|b)\b"
 
 
 def detect(segments: DataFrame, terms: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -28,26 +29,55 @@ def detect(segments: DataFrame, terms: DataFrame, aliases: DataFrame | None = No
     rest = F.trim(F.substring("n", F.length("name") + F.lit(2), F.length("n")))
     word = F.substring_index(rest, " ", 1)
     explicit = word.isin(*CONNECTORS)
-    body = F.when(explicit, F.trim(F.substring(rest, F.length(word) + 2, F.length(rest)))).otherwise(rest)
+    said = F.trim(F.substring(rest, F.length(word) + 2, F.length(rest)))
+    said = F.when(word.isin(*WITH_AS) & said.startswith("sebagai "), F.trim(F.substring(said, F.lit(9), F.length(said)))).otherwise(said)
+    body = F.when(explicit, said).otherwise(rest)
     found = met.select("segment_id", "term", "name", body.alias("body"), F.when(explicit, "explicit").otherwise("retrieved").alias("strength"))
     longest = found.groupBy("segment_id").agg(F.max_by(F.struct("term", "body", "strength"), F.struct(F.length("name"), "name")).alias("x"))
     return longest.select("segment_id", "x.*")
 
 
-def content_tokens(text: Column) -> Column:
-    return F.filter(t.tokens(text), lambda w: ~w.isin(*STOP))
+def content_tokens(text: Column, term: Column | None = None) -> Column:
+    """Tokens of a text, without a leading `term connector` where a term is given."""
+    words = t.tokens(text)
+    if term is None:
+        return words
+    lead = t.tokens(term)
+    n = F.size(lead)
+    rest = F.when(F.slice(words, F.lit(1), n) == lead, F.slice(words, n + 1, F.size(words))).otherwise(words)
+    cue = F.coalesce(F.get(rest, F.lit(0)).isin(*CONNECTORS), F.lit(False)) & (rest != words)
+    follows = F.coalesce(F.get(rest, F.lit(0)).isin(*WITH_AS) & (F.get(rest, F.lit(1)) == "sebagai"), F.lit(False))
+    return F.when(cue, F.slice(rest, F.when(follows, 3).otherwise(2), F.size(words))).otherwise(rest)
 
 
 def operators(text: Column) -> Column:
-    """The meaning-changing words of a text, in order."""
-    return F.filter(t.tokens(text), lambda w: w.isin(*OPERATORS))
+    """The meaning-changing words and numbers of a text in order, then the parties it names."""
+    words = F.filter(t.tokens(text), lambda w: w.isin(*OPERATORS) | w.rlike(r"\p{N}"))
+    return F.concat(words, F.transform(F.regexp_extract_all(text, F.lit(PARTIES), F.lit(0)), lambda x: F.lower(x)))
 
 
-def alignment(body: Column, source: Column) -> Column:
-    """match: equal content tokens in order; mismatch: other operators on equal content otherwise; review: anything else."""
-    a, b = content_tokens(body), content_tokens(source)
+def narrow_negation(a: Column, b: Column) -> Column:
+    """Texts that differ by one "tidak" before "dapat" alone."""
+
+    def spaced(x: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+
+    def without_one(x: Column, y: Column) -> Column:
+        parts = F.split(x, r"\btidak (?=dapat\b)", -1)
+        joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "tidak "), F.array_join(F.slice(parts, i + 1, F.size(parts)), "tidak ")))
+        return (F.size(parts) > 1) & F.exists(joined, lambda z: z == y)
+
+    x, y = spaced(a), spaced(b)
+    return (x != y) & (without_one(x, y) | without_one(y, x))
+
+
+def alignment(body: Column, source: Column, term: Column | None = None) -> Column:
+    """match: equal content tokens in order; mismatch: a narrow negation, or other operators on otherwise equal words; review: anything else."""
+    a, b = content_tokens(body, term), content_tokens(source, term)
     plain = [F.filter(x, lambda w: ~w.isin(*OPERATORS)) for x in (a, b)]
-    return F.when(a == b, "match").when((operators(body) != operators(source)) & (plain[0] == plain[1]), "mismatch").otherwise("review")
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    other = narrow_negation(body, source) | ((operators(body) != operators(source)) & (plain[0] == plain[1]))
+    return F.when(empty, "review").when(a == b, "match").when(other, "mismatch").otherwise("review")
 
 
 def covers(text: Column, definition: Column, share: float = 0.7, least: int = 4) -> Column:

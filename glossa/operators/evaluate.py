@@ -83,3 +83,28 @@ def breaker(rows: DataFrame, group: str, order: str, failed: Column, after: int
     n = rows.withColumns({"_n": F.row_number().over(w), "_f": F.coalesce(failed, F.lit(False)).cast("int")})
     bad = F.sum(F.when(F.col("_n") <= after, F.col("_f")).otherwise(0)).over(W.partitionBy(group))
     return n.withColumn("deterministic", (F.col("_n") > after) & (bad >= most)).drop("_n", "_f")
+
+
+def value_stats(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """n, low, high and mid of a value, nulls left out."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.median(value), 6).alias("mid"))
+
+
+def filter_reasons(rows: DataFrame, reasons: list[tuple[Column, str]], *by: str) -> DataFrame:
+    """How many rows each reason, the first that holds, leaves out; the reason is null for those that stay."""
+    out = None
+    for guard, name in reasons:
+        out = F.when(guard, name) if out is None else out.when(guard, name)
+    return rows.withColumn("reason", out).groupBy(*by, "reason").agg(F.count("*").alias("n"))
+
+
+def corrections(rows: DataFrame, expected: Column, observed: Column, key: str, *by: str) -> DataFrame:
+    """tp, fp and fn of each group with the sorted keys that were missed."""
+    want, got = F.coalesce(expected, F.lit(False)), F.coalesce(observed, F.lit(False))
+    return rows.groupBy(*by).agg(F.count_if(want & got).alias("tp"), F.count_if(~want & got).alias("fp"), F.count_if(want & ~got).alias("fn"), F.array_sort(F.collect_list(F.when(want & ~got, F.col(key)))).alias("misses"))
+
+
+def incremental_counters(rows: DataFrame) -> DataFrame:
+    """Of rows (action, incremental, fresh): how many were reused and done again, and how many reused ones equal a fresh run's."""
+    same = (F.col("action") == "reuse") & F.col("incremental").eqNullSafe(F.col("fresh"))
+    return rows.agg(F.count_if(F.col("action") == "reuse").alias("reused"), F.count_if(F.col("action") != "reuse").alias("reprocessed"), F.count_if(same).alias("equal"))

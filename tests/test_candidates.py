@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from glossa.functions import parsing as p
@@ -46,12 +48,12 @@ def test_windows_are_brute_force(spark):
 
 
 def test_definitions(spark):
-    segments = spark.createDataFrame([(1, "Tax is a levy."), (2, "Income tax means a levy on income"), (3, "Tax law"), (4, "IT ist x"), (5, "taxation is"), (6, None)], "segment_id int, text string")
+    segments = spark.createDataFrame([(1, "Tax adalah a levy."), (2, "Income tax didefinisikan sebagai a levy on income"), (3, "Tax law"), (4, "IT ialah x"), (5, "taxation adalah"), (6, None)], "segment_id int, text string")
     terms = spark.createDataFrame([("Tax",), ("Income Tax",)], "term string")
     aliases = d.ambiguous_free(spark.createDataFrame([("IT", "Income Tax"), ("X", "Tax"), ("x", "Income Tax")], "alias string, term string"))
     got = {r.segment_id: (r.term, r.body, r.strength) for r in d.detect(segments, terms, aliases).collect()}
     assert got == {1: ("Tax", "a levy.", "explicit"), 2: ("Income Tax", "a levy on income", "explicit"), 3: ("Tax", "law", "retrieved"), 4: ("Income Tax", "x", "explicit")}
-    pairs = spark.createDataFrame([(1, "a levy of income", "Levy, income"), (2, "not a levy", "a levy"), (3, "a fee", "a levy")], "i int, a string, b string")
+    pairs = spark.createDataFrame([(1, "a Levy, income", "A levy income"), (2, "tidak a levy", "a levy"), (3, "a fee", "a levy")], "i int, a string, b string")
     assert {r.i: r.v for r in pairs.select("i", d.alignment(F.col("a"), F.col("b")).alias("v")).collect()} == {1: "match", 2: "mismatch", 3: "review"}
     assessed = spark.createDataFrame([(1, "explicit", "mismatch", "s", True, False, True), (2, "retrieved", "review", "s", False, None, True), (3, "explicit", "mismatch", "s", True, True, True), (4, "explicit", "match", "s", True, False, True)], "id int, strength string, alignment string, source string, term_matches boolean, narrow_negation boolean, eligible boolean")
     assert sorted(map(tuple, d.resolution_options(assessed).collect())) == [(1, "reject", "informational"), (1, "use-definition", "actionable"), (2, "reject", "informational"), (2, "replace-term", "needs-review"), (2, "use-definition", "needs-review")]
@@ -87,3 +89,27 @@ def test_references(spark):
     found = spark.createDataFrame([(1, "s", "a", 0), (1, "t", "a", 1), (1, "s", "b", 2), (2, "s", "a", 3)], "doc_id int, section string, label string, n int")
     targets = spark.createDataFrame([(1, "s", "a"), (1, "u", "a"), (1, "s", "c")], "doc_id int, section string, label string")
     assert {r.n: r.verdict for r in c.references(found, targets).collect()} == {0: "ok", 1: "ambiguous", 2: "missing", 3: "missing"}
+
+
+def test_narrow_negations_and_operators(spark):
+    rows = spark.createDataFrame([(1, "x tidak dapat y", "X  dapat y"), (2, "x dapat y tidak dapat z", "x tidak dapat y dapat z"), (3, "tidak boleh", "boleh"), (4, "a", "a")], "i int, a string, b string")
+    assert {r.i: r.v for r in rows.select("i", d.narrow_negation(F.col("a"), F.col("b")).alias("v")).collect()} == {1: True, 2: False, 3: False, 4: False}
+    found = rows.limit(1).select(d.operators(F.lit("Pihak Pertama tidak dapat 5 hari, atau wajib")).alias("o")).first().o
+    assert found == ["tidak", "dapat", "5", "atau", "wajib", "pihak pertama"]
+
+
+def test_covered_definitions_are_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    texts = [(k, [rng.choice(words) for _ in range(rng.randrange(0, 120))]) for k in range(30)]
+    wanted = [(k, rng.sample(words, n)) for k, n in enumerate((3, 4, 6, 9))]
+    out = c.covered_definitions(spark.createDataFrame(texts, "text_id int, ws array<string>"), spark.createDataFrame(wanted, "definition_id int, wanted array<string>")).collect()
+    want = {}
+    for i, ws in texts:
+        for j, w in wanted:
+            options = [(s, -len(set(ws[a : a + s]) & set(w)), a) for s in range(6, min(80, len(ws)) + 1) for a in range(len(ws) - s + 1)]
+            options = [o for o in options if -o[1] >= 0.7 * len(w) - 1e-9]
+            if len(w) >= 4 and options:
+                s, n, a = min(options)
+                want[i, j] = (a, s, -n)
+    assert {(r.text_id, r.definition_id): (r.start, r.size, r.covered) for r in out} == want and want

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
-from glossa.operators import evaluate, incremental, retrieval, review, spans, structure
+from glossa.operators import anchors, evaluate, incremental, retrieval, review, signals, spans, structure
 
 
 def one(spark, column, **values):
@@ -94,3 +94,35 @@ def test_declared_terms_and_scores(spark):
     assert evaluate.prf(rows.limit(0), F.col("e"), F.col("o")).first().precision is None
     found = review.matches(docs, "d", "x", r"[A-Z]").collect()
     assert [(r.start, r.value) for r in found][:2] == [(1, "A"), (14, "A")]
+
+
+def test_windows_protection_and_conflicts(spark):
+    text = 'Harga 1,5 juta, pembeli "a; b" bayar; PT. X hadir. Pihak Kedua ada'
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    got = [text[r.start : r.end] for r in sorted(anchors.clause_ranges(docs).collect(), key=lambda r: r.n)]
+    assert got == ["Harga 1,5 juta,", ' pembeli "a; b" bayar;', " PT. X hadir.", " Pihak Kedua ada"]
+    clauses = spark.createDataFrame([(1, n, n, n + 1, t) for n, t in enumerate((300, 200, 600, 100, 500, 10))], "doc_id int, n int, start int, end int, tokens int")
+    got = [(r.window, r.start, r.end, r.tokens) for r in sorted(anchors.pack_windows(clauses, windows=2).collect(), key=lambda r: r.start)]
+    assert got == [(0, 0, 2, 500), (None, 2, 3, 600), (1, 3, 4, 100), (None, 4, 6, 510)]
+    spans_ = {r.value for r in anchors.protected_spans(docs).collect()}
+    assert {'"a; b"', "Pihak Kedua", "PT"} <= spans_
+    kinds = "segment_id int, review_id int, status string, origin string, category string, start int, end int"
+    rows = [(1, 1, "suggestion", "model", "spelling", 0, 5), (1, 2, "suggestion", "deterministic", "grammar", 4, 9), (1, 3, "no-suggestion", "model", None, None, None), (2, 4, "suggestion", "model", "spelling", 0, 5)]
+    assert sorted(r.review_id for r in anchors.resolve_conflicts(spark.createDataFrame(rows, kinds)).collect()) == [2, 3, 4]
+    model = spark.createDataFrame([(1, 3, "no-suggestion", "model", None, None, None), (2, 4, "suggestion", "model", "spelling", 0, 5)], kinds)
+    own = spark.createDataFrame([(1, 7, "suggestion", "deterministic", "spelling", 0, 2), (2, 8, "suggestion", "deterministic", "spelling", 0, 2)], kinds)
+    assert sorted(r.review_id for r in anchors.survive_silence(model, own).collect()) == [4, 7]
+
+
+def test_declarations_and_snapshots(spark):
+    text = '"Harga" adalah  nilai jual. yang selanjutnya disebut "Barang"; "Harga" atau "Biaya" tetap. "HARGA" berarti nilai lain\n'
+    found = signals.declarations(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), spark.createDataFrame([(1, 0, 5, "Bab I Definisi")], "doc_id int, start int, end int, heading string"))
+    rows = sorted(found.collect(), key=lambda r: r.ord)
+    assert [(r.term, r.body, r.alias_of) for r in rows] == [("Harga", "nilai jual", None), ("HARGA", "nilai lain", None), ("Barang", "", None), ("Biaya", "", "Harga")]
+    assert all(text[r.start : r.end] == r.term for r in rows)
+    kinds = sorted((r.rule_id, r.start) for r in signals.term_findings(found).collect())
+    assert kinds == [("defined-term-case-inconsistency", rows[1].start), ("defined-term-conflicting-definition", 1)]
+    whole = "abc def"
+    snaps = spark.createDataFrame([(1, "v", "p", whole), (2, "v", "p", whole), (3, "v", "q", whole)], "doc_id int, version string, profile string, text string").withColumn("digest", t.content_hash(F.col("text")))
+    marks = spark.createDataFrame([(1, 4, 7, "def"), (2, 4, 7, "xyz")], "doc_id int, start int, end int, original string").withColumn("digest", F.sha2("original", 256))
+    assert [r.doc_id for r in anchors.snapshots_usable(snaps, marks, "v", "p").collect()] == [1]
