@@ -122,20 +122,17 @@ def link(events: DataFrame, schemas: Schemas) -> DataFrame:
     levels = None
     if bad.limit(1).count():
         todo = edges.join(bad, "conv", "left_semi").select("conv", "call_id", F.when(F.col("exists"), F.col("needs")).alias("needs"))
-        levels, level = None, 0
-        open_ = scratch.cut(todo, "open0")
-        while True:
-            # ready: depends on nothing, or on what has a level
-            if levels is None:
-                ready = open_.where("needs is null")
-            else:
-                ready = open_.join(levels.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"], "left_semi")
-            ready = scratch.cut(ready.select("conv", "call_id").withColumn("level", F.lit(level).cast("long")), f"ready{level}")
-            if not ready.limit(1).count():
+        # a call depends on one other, so its level is the length of a chain: pointers double their reach each round
+        most = todo.groupBy("conv").count().agg(F.max("count")).first()[0]
+        state = scratch.cut(todo.select("conv", "call_id", F.col("needs").alias("ptr"), F.col("needs").isNotNull().cast("long").alias("level")), "reach0")
+        for step in range(1, most.bit_length() + 1):
+            if not state.where("ptr is not null").limit(1).count():
                 break
-            levels = scratch.cut(ready if levels is None else levels.union(ready), f"levels{level}")
-            open_ = scratch.cut(open_.join(ready, ["conv", "call_id"], "left_anti"), f"open{level + 1}")
-            level += 1
+            target = state.select("conv", F.col("call_id").alias("ptr"), F.col("ptr").alias("next"), F.col("level").alias("more"))
+            farther = state.join(target, ["conv", "ptr"], "left").select("conv", "call_id", F.col("next").alias("ptr"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
+            state = scratch.cut(farther, f"reach{step}")
+            scratch.drop(f"reach{step - 1}")
+        levels = state.where("ptr is null").select("conv", "call_id", "level")  # the rest is on or behind a cycle
     joined = joined.join(bad.withColumn("broken", F.lit(True)), "conv", "left")
     if levels is None:
         joined = joined.withColumn("level", F.lit(None).cast("long"))

@@ -118,3 +118,12 @@ def test_phones_stay_linked_whatever_their_spelling(spark):
     digits = ["".join(c for c in r.text if c.isdigit()) for r in rows]
     assert digits[0] == digits[1] and digits[0][0] == "1" and digits[0][1:] == digits[2] == digits[3] != "4155551234"
     assert digits[4] == digits[5] and digits[4][:2] == "44" and digits[6] == digits[7] and digits[6][:3] == "353"
+
+
+def test_long_chains_that_go_back_are_ordered(spark):
+    n = 300
+    rows = [("c", k, "call", f"k{k}", "add", None, f"k{k + 1}" if k < n - 1 else None, None) for k in range(n)]
+    rows += [("o", 0, "call", "x", "add", None, "y", None), ("o", 1, "call", "y", "add", None, "x", None), ("o", 2, "call", "z", "add", None, "y", None)]
+    out = tc.link(spark.createDataFrame(rows, EVENT), SCHEMAS).collect()
+    assert {r.turn: r.place for r in out if r.conv_id == "c"} == {k: n - 1 - k for k in range(n)}
+    assert {r.place for r in out if r.conv_id == "o"} == {None}
