@@ -137,21 +137,28 @@ class PrefixBPE:
         Ids of the matches before the one that the edit may touch stay. The match just
         before may change too (its end looked at what followed), so work starts one
         match earlier and stops at the first match of the old text that starts again at the same
-        place behind the edit.
+        place behind the edit. Where old matches stand among the ids is read off the tokens'
+        lengths; nothing but the matches in between is encoded.
         """
         edited, shift = text[:start] + new + text[end:], len(new) - (end - start)
-        spans = [m.span() for m in self.split.finditer(text)]
-        counts = [len(self.piece_ids(text[a:b].encode())) for a, b in spans]
-        first = max(0, sum(b < start for _, b in spans) - 1)
-        at = spans[first][0] if spans else 0
-        old_start = {a + shift: k for k, (a, _) in enumerate(spans) if a >= end}
+        upto = np.cumsum([0, *(len(self.bytes_of[i]) for i in ids)])
+
+        def before(place: int) -> int:
+            """Number of ids of the old text before a match that starts at `place`."""
+            return int(np.searchsorted(upto, len(text[:place].encode())))
+
+        starts = [m.start() for m in self.split.finditer(text)]
+        ends = [*starts[1:], len(text)]
+        first = max(0, sum(b < start for b in ends) - 1)
+        at = starts[first] if starts else 0
+        old = {a + shift: a for a in starts if a >= end}
         middle: list[int] = []
         for m in self.split.finditer(edited, at):
-            k = old_start.get(m.start())
-            if k is not None and m.start() >= start + len(new) and m.start() > at:
-                return edited, ids[: sum(counts[:first])] + middle + ids[sum(counts[:k]) :]
+            place = old.get(m.start())
+            if place is not None and m.start() >= start + len(new) and m.start() > at:
+                return edited, ids[: before(at)] + middle + ids[before(place) :]
             middle += self.piece_ids(m[0].encode())
-        return edited, ids[: sum(counts[:first])] + middle
+        return edited, ids[: before(at)] + middle
 
 
 def encoder(content: bytes, pattern: str) -> PrefixBPE:
