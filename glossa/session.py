@@ -43,7 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
@@ -82,10 +83,31 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, most_rows: int, rows: int | None = None) -> DataFrame:
-    """`df` marked for broadcast if it holds at most `most_rows`, else unchanged (a shuffle join)."""
-    n = df.limit(most_rows + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= most_rows else df
+#: What may be broadcast at most, by a measure of the rows' values.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> F.Column:
+    """About how many bytes a row's values take."""
+    total = F.lit(16)
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = F.octet_length(c)
+        elif kind == "array" and field.dataType.elementType.typeName() in ("byte", "short", "integer", "long", "float", "double", "boolean"):
+            size = F.greatest(F.size(c), F.lit(0)) * 8
+        elif kind in ("array", "struct", "map"):
+            size = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            size = F.lit(8)
+        total = total + F.coalesce(size, F.lit(0))
+    return total
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if it holds at most `most_rows` and `most_bytes`, else unchanged (a shuffle join)."""
+    n, size = df.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= most_rows and size <= most_bytes else df
 
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
+from glossa.session import broadcast_if_small
 from glossa.operators import anchors, evaluate, incremental, retrieval, review, signals, spans, structure
 
 
@@ -126,3 +127,12 @@ def test_declarations_and_snapshots(spark):
     snaps = spark.createDataFrame([(1, "v", "p", whole), (2, "v", "p", whole), (3, "v", "q", whole)], "doc_id int, version string, profile string, text string").withColumn("digest", t.content_hash(F.col("text")))
     marks = spark.createDataFrame([(1, 4, 7, "def"), (2, 4, 7, "xyz")], "doc_id int, start int, end int, original string").withColumn("digest", F.sha2("original", 256))
     assert [r.doc_id for r in anchors.snapshots_usable(snaps, marks, "v", "p").collect()] == [1]
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    def is_broadcast(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    rows = spark.createDataFrame([(k, "x" * 1000, [1.0] * 10, {"a": 1}) for k in range(10)], "i int, s string, v array<double>, m map<string,int>")
+    assert is_broadcast(broadcast_if_small(rows, 10))
+    assert not is_broadcast(broadcast_if_small(rows, 9)) and not is_broadcast(broadcast_if_small(rows, 10, most_bytes=9000))
