@@ -6,7 +6,8 @@ picks them; that bound is the parameter). Everything else covers all documents:
 counts for its site with its label where it has one, else with p. Host means are shrunk to
 the global mean and path means to their host's, with strengths found by the method of moments
 from grouped sums, so sparse sites stay near their prior. The posterior adds to the logit of p the
-shift of the path's posterior from the global mean.
+shift of the path's posterior from the global mean; what the document itself has given to its path
+and host is taken out of them before, so neither its label nor its evidence counts for it twice.
 
 Null texts count as empty, null hosts and paths as a site of their own, null labels as none; several labels of
 a document are averaged. Rows that repeat an id are scored each; a filter keeps an id if any
@@ -125,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int, id_col: str, text_
     n = given.count()
     rate = min(1.0, sample / max(1, n))
     some = given.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + (rate == 1.0)).limit(sample)
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).join(F.broadcast(some), "id").select("y", "t")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t")).join(F.broadcast(some), "id")
+    texts = texts.groupBy("id").agg(F.first("y").alias("y"), F.min("t").alias("t")).select("y", "t")  # a row an id, however often it stands there
     rows = common.arrow_pass(texts, _features_pass, "y double, x array<double>").toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x.astype(float), rows["y"].to_numpy(dtype=float))
@@ -165,7 +167,7 @@ def judge(
     path=None,
     label_col: str = "quality",
 ) -> DataFrame:
-    """One row per document: id, evidence, host_posterior, path_posterior, posterior, keep.
+    """One row per document: id, evidence, host_posterior, path_posterior (of the path's other documents), posterior, keep.
 
     `host` and `path` are columns of `docs` (by default its source, and its language below it).
     """
@@ -185,18 +187,21 @@ def judge(
     scored = scratch.cut(common.arrow_pass(rows, score, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, evidence double"), "scored")
 
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).cast("double").alias("label"))
-    seen = scored.join(broadcast_if_small(known, LABEL_ROWS), "id", "left").withColumn("y", F.coalesce("label", "evidence"))
+    seen = scored.join(broadcast_if_small(known, LABEL_ROWS), "id", "left").withColumn("y", F.coalesce("label", "evidence")).drop("label")
+    seen = scratch.cut(seen, "seen")
+    scratch.drop("scored")
     paths = scratch.cut(seen.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k")), "paths")
     total = paths.agg(F.sum("n"), F.sum("k")).first()
     mu = float(np.clip((total[1] or 0.0) / max(total[0] or 0.0, 1.0), 1e-4, 1 - 1e-4)) if total[0] else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     kappa = strength(hosts, F.lit(mu))
-    hosts = hosts.select("host", ((F.col("k") + kappa * mu) / (F.col("n") + kappa)).alias("host_posterior"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("k").alias("host_k"), ((F.col("k") + kappa * mu) / (F.col("n") + kappa)).alias("host_posterior"))
     sites = scratch.cut(paths.join(hosts, "host"), "sites")
     kappa_path = strength(sites, F.col("host_posterior"))
-    sites = sites.withColumn("path_posterior", (F.col("k") + kappa_path * F.col("host_posterior")) / (F.col("n") + kappa_path))
-    sites = broadcast_if_small(scratch.cut(sites.select("host", "path", "host_posterior", "path_posterior"), "posteriors"), 50_000)
-    at_site = scored.join(sites, ["host", "path"])
+    sites = broadcast_if_small(scratch.cut(sites, "posteriors"), 50_000)
+    others = (F.col("host_k") - F.col("y") + kappa * mu) / (F.col("host_n") - 1 + kappa)
+    path_posterior = (F.col("k") - F.col("y") + kappa_path * others) / (F.col("n") - 1 + kappa_path)
+    at_site = seen.join(sites, ["host", "path"]).withColumn("path_posterior", path_posterior)
     z = logit(F.col("evidence")) + logit(F.least(F.greatest("path_posterior", F.lit(1e-4)), F.lit(1 - 1e-4))) - F.lit(float(np.log(mu / (1 - mu))))
     return at_site.select(
         F.col("id").alias(id_col), "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-z))).alias("posterior")

@@ -48,6 +48,9 @@ def test_posteriors_are_the_formulas(spark):
             assert min(mean, mu) - 1e-6 <= r.host_posterior <= max(mean, mu) + 1e-6
             z = np.log(r.evidence / (1 - r.evidence)) + np.log(r.path_posterior / (1 - r.path_posterior)) - np.log(mu / (1 - mu))
             assert abs(r.posterior - 1 / (1 + np.exp(-z))) < 1e-3
+    # a document alone at its site takes the global mean for it, whatever it says itself
+    alone = next(r for r in out if r.doc_id == 902)
+    assert abs(alone.path_posterior - mu) < 1e-3 and abs(alone.host_posterior - mu) > 1e-3
 
 
 def test_filter_keeps_clean_documents_and_all_columns(spark):
