@@ -108,8 +108,8 @@ def repeated_ngrams(docs: DataFrame, id_col: str, text_col: str, n: int = 6) ->
     """(doc_id, ratio): share of repeated n-grams of a document; 0 below n tokens. Within the row, without a shuffle."""
     base = docs.select(F.col(id_col).alias("doc_id"), t.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ws"))
     size = F.size("ws")
-    # n-grams by two independent 64-bit hashes
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.struct(F.xxhash64(F.slice("ws", i, n)), F.hash(F.slice("ws", i, n))))
+    # n-grams by 64-bit hashes, which are compared within a document alone
+    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice("ws", i, n)))
     counted = base.select("doc_id", F.when(size >= n, grams).alias("g"))
     ratio = (F.size("g") - F.size(F.array_distinct("g"))) / F.size("g")
     return counted.select("doc_id", F.round(F.coalesce(ratio, F.lit(0.0)), 6).alias("ratio"))
