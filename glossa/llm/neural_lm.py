@@ -42,7 +42,7 @@ from glossa.session import Scratch
 
 END = b"\n"  # never a word
 ADD = 0.1
-CONTEXT = 3
+CONTEXT = 2
 #: Tokens of one training step, of one matrix product, and of one scoring block.
 STEP, PRODUCT, BLOCK = 2048, 8192, 100_000
 
@@ -144,7 +144,7 @@ class LogBilinear:
         step = rate / np.sqrt(pace[rows])
         getattr(self, name)[rows] += step * grads if grads.ndim == 1 else step[:, None] * grads
 
-    def step(self, before: np.ndarray, unit: np.ndarray, rng: np.random.Generator, noise: int = 2, group_noise: int = 16, rate: float = 0.1) -> None:
+    def step(self, before: np.ndarray, unit: np.ndarray, rng: np.random.Generator, noise: int = 1, group_noise: int = 8, rate: float = 0.1) -> None:
         """One step over a batch of tokens (`before`: their contexts): data are told from drawn noise."""
         n, group = len(unit), unit // self.span
         x = self.r[before]
@@ -159,8 +159,15 @@ class LogBilinear:
         hit = 1 - sigmoid((h * own).sum(1) + self.a[group] - np.log(group_noise * self.p_group[group]).astype(np.float32))
         miss = -sigmoid(h @ self.g[drawn].T + self.a[drawn] - np.log(group_noise * self.p_group[drawn]).astype(np.float32))
         dh = hit[:, None] * own + miss @ self.g[drawn]
-        g_rows, dg, _ = row_sums(np.r_[group, drawn], np.concatenate([hit[:, None] * h, miss.T @ h]))
-        _, da, _ = row_sums(np.r_[group, drawn], np.r_[hit, miss.sum(0)])
+        # few groups: their sums are bin counts, and the bias is a last column
+        ones = np.c_[h, np.ones(n, np.float32)]
+        dg = np.zeros((self.groups, self.width + 1), np.float32)
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(group[order]) > 0])
+        dg[group[order][first]] = np.add.reduceat((hit[:, None] * ones)[order], first)
+        np.add.at(dg, drawn, miss.T @ ones)
+        g_rows = np.flatnonzero(dg.any(1))
+        dg, da = dg[g_rows, :-1], dg[g_rows, -1]
 
         # units against units of their group
         low, high = self.cum[group * self.span], self.cum[np.minimum((group + 1) * self.span, self.size)]
@@ -171,8 +178,8 @@ class LogBilinear:
         e = -sigmoid(s)
         e[0] += 1
         dh += np.einsum("kn,knd->nd", e, told)
-        q_rows, dq, times = row_sums(units.ravel(), (e[:, :, None] * h).reshape(-1, self.width))
-        _, db, _ = row_sums(units.ravel(), e.ravel())
+        q_rows, dq, times = row_sums(units.ravel(), (e[:, :, None] * ones).reshape(-1, self.width + 1))
+        dq, db = dq[:, :-1], dq[:, -1]
         r_rows, dr, again = row_sums(before.ravel(), (dh[:, None, :] * self.c).reshape(-1, self.width))
         dc = np.einsum("nd,njd->jd", dh, x)
         for name, rows, grads in (("g", g_rows, dg), ("a", g_rows, da), ("q", q_rows, dq), ("b", q_rows, db), ("r", r_rows, dr), ("c", np.arange(CONTEXT), dc)):
@@ -204,8 +211,11 @@ class LogBilinear:
         """Natural logs of the units after their contexts."""
 
         def normal(s: np.ndarray) -> np.ndarray:
+            """Log of the sum of exponentials of each row, in place."""
             top = s.max(1)
-            return top + np.log(np.exp(s - top[:, None]).sum(1))
+            s -= top[:, None]
+            np.exp(s, out=s)
+            return top + np.log(s.sum(1))
 
         h = np.einsum("njd,jd->nd", self.r[before], self.c)
         group = unit // self.span
@@ -324,7 +334,7 @@ def _score(sent, named: int, classes: int, width: int):
 
 
 def score_documents(
-    docs: DataFrame, *, grow: float = 4.0, classes: int = 512, head: int = 300_000, width: int = 24, noise: int = 2, rate: float = 0.1, passes: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, grow: float = 1.0, classes: int = 512, head: int = 300_000, width: int = 16, noise: int = 1, rate: float = 0.1, passes: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
