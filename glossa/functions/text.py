@@ -57,8 +57,8 @@ def normalise_content(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Letters-and-digits tokens of the normalised text, in order, repeats kept."""
-    return F.filter(F.split(normalise(text), NOT_WORD), lambda t: t != "")
+    """Letters-and-digits tokens of the normalised text, in order, repeats kept; white space only parts them, so it isn't collapsed first."""
+    return F.filter(F.split(fold(text), NOT_WORD), lambda t: t != "")
 
 
 def content_hash(text: Column) -> Column:
