@@ -44,7 +44,7 @@ END = b"\n"  # never a word
 ADD = 0.1
 CONTEXT = 2
 #: Tokens of one training step, of one matrix product, and of one scoring block.
-STEP, PRODUCT, BLOCK = 2048, 8192, 100_000
+STEP, PRODUCT, BLOCK = 4096, 4096, 100_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -334,7 +334,7 @@ def _score(sent, named: int, classes: int, width: int):
 
 
 def score_documents(
-    docs: DataFrame, *, grow: float = 1.0, classes: int = 512, head: int = 300_000, width: int = 16, noise: int = 1, rate: float = 0.1, passes: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, grow: float = 0.5, classes: int = 512, head: int = 300_000, width: int = 12, noise: int = 1, rate: float = 0.1, passes: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
