@@ -144,7 +144,7 @@ class LogBilinear:
         step = rate / np.sqrt(pace[rows])
         getattr(self, name)[rows] += step * grads if grads.ndim == 1 else step[:, None] * grads
 
-    def step(self, before: np.ndarray, unit: np.ndarray, rng: np.random.Generator, noise: int = 1, group_noise: int = 8, rate: float = 0.1) -> None:
+    def step(self, before: np.ndarray, unit: np.ndarray, rng: np.random.Generator, noise: int = 1, group_noise: int = 4, rate: float = 0.1) -> None:
         """One step over a batch of tokens (`before`: their contexts): data are told from drawn noise."""
         n, group = len(unit), unit // self.span
         x = self.r[before]
@@ -334,7 +334,7 @@ def _score(sent, named: int, classes: int, width: int):
 
 
 def score_documents(
-    docs: DataFrame, *, grow: float = 0.5, classes: int = 512, head: int = 300_000, width: int = 12, noise: int = 1, rate: float = 0.1, passes: int = 1, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, grow: float = 0.5, classes: int = 512, head: int = 300_000, width: int = 8, noise: int = 1, rate: float = 0.1, passes: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
