@@ -152,3 +152,39 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) LEFT JOIN n USING (doc_id)
 """
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import importance
+
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op13_importance"] = op13_importance
+
+#: crc32 has no function here: a table of its 256 steps, then one step a byte over the distinct words.
+ORACLES["op13_importance"] = r"""
+WITH steps AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT k, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b),
+v AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+c AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT)), lambda a, x: xor(t[xor(a % 256, x) + 1], a // 256))) % 10000 AS bucket FROM v, steps),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN c USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN c USING (w) GROUP BY 1),
+n AS (SELECT (SELECT count(*) FROM dw) AS S_all, (SELECT count(*) FROM bw) AS T_all),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (S_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (T_all + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+q AS (SELECT k, floor(sum(gain) / count(*)::DOUBLE)::BIGINT AS weight FROM dw JOIN c USING (w) JOIN g USING (bucket) GROUP BY 1),
+f AS (SELECT k, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN q USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id, k) AS rank, count(*) OVER () AS able FROM f WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM f LEFT JOIN r USING (k)
+"""
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import alignment
+
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_documents(docs, common.public_path("byte_bpe_50k.json"), common.public_path("piece_bpe_32k.model"), with_groups=False)
+
+
+QUERIES["op11_alignment"] = op11_alignment
