@@ -36,15 +36,15 @@ def words(text: Column) -> Column:
 
 def ngrams(tokens: Column, shortest: int, longest: int) -> Column:
     """All runs of `shortest` to `longest` words, joined by one space, repeats kept."""
+    if shortest == longest == 1:
+        return tokens
 
-    def of(n: int) -> Column:
-        if n == 1:
-            return tokens
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
-        return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    def of(w: Column, n: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
 
-    parts = [of(n) for n in range(shortest, longest + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    # bound by a lambda, so that the words are split once a text and not once a run
+    return F.transform(F.array(tokens), lambda w: F.concat(*[of(w, n) for n in range(shortest, longest + 1)]))[0]
 
 
 def bucket(feature: Column, buckets: int) -> Column:
