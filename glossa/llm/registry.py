@@ -188,3 +188,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_alignment"] = op11_alignment
+
+
+def op12_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm import html_consensus
+
+    return html_consensus.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op12_html_consensus"] = op12_html_consensus
