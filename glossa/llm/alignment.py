@@ -42,6 +42,8 @@ BORDER = re.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e\u200b\ufeff]) (?=[^\s\x1c-\x1f
 #: What may stand where a border doesn't hold: a space beside white space, or beside a text's end.
 ODD = re.compile(r"(?:^|[\s\x1c-\x1f\x85\u180e\u200b\ufeff]) | (?:[\s\x1c-\x1f\x85\u180e\u200b\ufeff]|$)")
 
+WHITE = frozenset(c for c in map(chr, range(0x10000)) if c.isspace() or c in "\u180e\u200b\ufeff") | {""}
+
 
 def byte_alphabet() -> dict[str, int]:
     """The characters by which byte-level vocabularies write bytes: printable Latin-1 as itself, all others from U+0100 on."""
@@ -72,11 +74,11 @@ def products(group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.n
 class Aligner:
     """Units of text to (tokens of A, tokens of B, groups, size of products, groups as text, packed pairs), None where bytes differ.
 
-    A pair is a * |B| + b in eight bytes. Units of up to `most_chars` characters are remembered, at most
-    2 * `most_units` of them (about 400 bytes each).
+    A pair is a * |B| + b in eight bytes. Units of up to `most_chars` characters are remembered, in at most
+    about 2 * `most_bytes`: when full, they become the old generation, from which those that are asked for again come back.
     """
 
-    def __init__(self, content_a: bytes, content_b: bytes, most_units: int = 100_000, most_chars: int = 64):
+    def __init__(self, content_a: bytes, content_b: bytes, most_bytes: int = 100 << 20, most_chars: int = 64):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -100,7 +102,12 @@ class Aligner:
         )
         self.text_a = [[f"{k}," for k in range(len(self.bytes_a))], [f"{k}|" for k in range(len(self.bytes_a))]]
         self.text_b = [[f"{k}," for k in range(self.size_b)], [f"{k};" for k in range(self.size_b)]]
-        self.known, self.old, self.most, self.most_chars = {}, {}, most_units, most_chars
+        self.known, self.old, self.held, self.most_bytes, self.most_chars = {}, {}, 0, most_bytes, most_chars
+
+    def _keep(self, found: dict[str, tuple | None]) -> None:
+        self.known.update(found)
+        # what Python takes for the key, the entry and the six values, besides their contents
+        self.held += sum(400 + 2 * len(u) + (len(x[4]) + len(x[5]) if x else 0) for u, x in found.items())
 
     def units(self, text: str) -> list[str]:
         """The text with its leading space, in units that begin with a space each."""
@@ -121,15 +128,34 @@ class Aligner:
         return [x == y == w for x, y, w in zip(joined(a, self.bytes_a), joined(b, self.bytes_b), want)]
 
     def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        a, b = self._encode(units)
-        same = self._same(units, a, b)
-        found = {u: None for u, ok in zip(units, same) if not ok}
-        if found:
-            units, a, b = ([x for x, ok in zip(col, same) if ok] for col in (units, a, b))
+        """What each unit gives. Units with no white space at their edges are encoded as the one text that they make."""
+        found: dict[str, tuple | None] = {}
+        if self.by_units:
+            inner = [u for u in units if u[1:2] not in WHITE and u[-1] not in WHITE]
+            got = self._joined(inner) if inner else None
+            if got is not None:
+                found, units = got, [u for u in units if u not in got]
         if not units:
             return found
-        count_a, count_b = (np.array([len(x) for x in ids]) for ids in (a, b))
-        ids_a, ids_b = (np.concatenate([np.array(x, np.int64) for x in ids]) for ids in (a, b))
+        a, b = self._encode(units)
+        same = self._same(units, a, b)
+        found.update((u, None) for u, ok in zip(units, same) if not ok)
+        units, a, b = ([x for x, ok in zip(col, same) if ok] for col in (units, a, b))
+        if units:
+            found.update(self._pieces(units, *(np.concatenate([np.array(x, np.int64) for x in ids]) for ids in (a, b))))
+        return found
+
+    def _joined(self, units: list[str]) -> dict[str, tuple | None] | None:
+        """The units from one encoding of all of them; None where bytes differ."""
+        text = "".join(units)
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        want = text.encode("utf-8", "surrogatepass")
+        if b"".join([self.bytes_a[k] for k in a]) != want or b"".join([self.bytes_b[k] for k in b]) != want:
+            return None
+        return self._pieces(units, np.array(a, np.int64), np.array(b, np.int64))
+
+    def _pieces(self, units: list[str], ids_a: np.ndarray, ids_b: np.ndarray) -> dict[str, tuple | None]:
+        """Each unit's share of the alignment of all: the units' bytes in a row are those of both sequences of ids."""
         ends_a, ends_b = np.cumsum(self.width_a[ids_a]), np.cumsum(self.width_b[ids_b])
         cuts, own_a, own_b = elementary(ends_a, ends_b)
         packed = ids_a[own_a] * self.size_b + ids_b[own_b]
@@ -140,40 +166,44 @@ class Aligner:
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         parts = [self.text_a[z][k] for z, k in zip(last_a.tolist(), ids_a.tolist())] + [self.text_b[z][k] for z, k in zip(last_b.tolist(), ids_b.tolist())]
         parts = [parts[k] for k in order.tolist()]
-        size = np.bincount(group_a) * np.bincount(group_b)
+        grown = np.concatenate([[0], np.cumsum(np.bincount(group_a) * np.bincount(group_b))])
         # where each unit ends among tokens, intervals and groups: its last byte is an end of both
-        to_a, to_b = np.cumsum(count_a), np.cumsum(count_b)
-        to_cut, to_group = np.searchsorted(cuts, ends_a[to_a - 1]) + 1, np.searchsorted(shared, ends_a[to_a - 1]) + 1
-        grown = np.concatenate([[0], np.cumsum(size)])
-        at_part = at_cut = at_group = 0
-        for unit, na, nb, part, cut, group in zip(units, count_a.tolist(), count_b.tolist(), (to_a + to_b).tolist(), to_cut.tolist(), to_group.tolist()):
-            found[unit] = (na, nb, group - at_group, int(grown[group] - grown[at_group]), "".join(parts[at_part:part])[:-1], packed[at_cut:cut].tobytes())
-            at_part, at_cut, at_group = part, cut, group
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in units])
+        to_a, to_b, to_cut, to_group = (np.searchsorted(x, ends) + 1 for x in (ends_a, ends_b, cuts, shared))
+        if not (ends_a[to_a - 1] == ends).all() or not (ends_b[to_b - 1] == ends).all():
+            raise AssertionError("a token crosses a unit's end")
+        sizes = (np.diff(x, prepend=0).tolist() for x in (to_a, to_b, to_group, grown[to_group]))
+        found: dict[str, tuple | None] = {}
+        at_part = at_cut = 0
+        blob = packed.tobytes()
+        for unit, na, nb, ng, size, part, cut in zip(units, *sizes, (to_a + to_b).tolist(), (8 * to_cut).tolist()):
+            found[unit] = (na, nb, ng, size, "".join(parts[at_part:part])[:-1], blob[at_cut:cut])
+            at_part, at_cut = part, cut
         return found
 
     def align(self, texts: list[str]) -> Iterator[list[tuple | None]]:
         """For each text what its units give; an empty text gives no units."""
-        if len(self.known) > self.most:
-            self.known, self.old = {}, self.known
+        if self.held > self.most_bytes:
+            self.known, self.old, self.held = {}, self.known, 0
         split = [self.units(t) if t else [] for t in texts]
         lacking, short = [], []
         for unit in set().union(*split):
             if unit in self.known:
                 continue
             if (known := self.old.get(unit)) is not None:
-                self.known[unit] = known
+                self._keep({unit: known})
             elif len(unit) <= self.most_chars:
                 short.append(unit)
             else:
                 lacking.append(unit)
         for at in range(0, len(short), 5000):
-            self.known.update(self.learn(short[at : at + 5000]))
-        lacking = {u for u in lacking}
+            self._keep(self.learn(short[at : at + 5000]))
+        long = set(lacking)
         for units in split:
-            long = [u for u in dict.fromkeys(units) if u in lacking]
-            once = {}
-            for u in long:  # one at a time: nothing long is kept beyond its text
-                once.update(self.learn([u]))
+            once: dict[str, tuple | None] = {}
+            for u in dict.fromkeys(units) if long else ():
+                if u in long:  # one at a time: nothing long is kept beyond its text
+                    once.update(self.learn([u]))
             yield [once[u] if u in once else self.known[u] for u in units]
 
 

@@ -88,7 +88,7 @@ def test_alignment_is_brute_force(spark, sf, head):
 def test_units_of_random_texts():
     """Texts of odd white space and letters: unit by unit as whole."""
     draw = random.Random(5)
-    aligner = alignment.Aligner(common.tokenizer_bytes(A), common.tokenizer_bytes(B), most_units=50)
+    aligner = alignment.Aligner(common.tokenizer_bytes(A), common.tokenizer_bytes(B), most_bytes=20_000)
     pool = list("abcXYZ 019'.,-\n\t\r éßñ\xa0  \u0085\u200b\u3000語🙂\x1c") + [" the", " of", "  ", "ing", "'s", "\n\n"]
     for _ in range(40):
         texts = ["".join(draw.choices(pool, k=draw.randrange(1, 40))) for _ in range(25)]
