@@ -96,72 +96,68 @@ def changed_blocks(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     return blocks.join(hit, ["doc_id", "block_id"], "left_semi")
 
 
+#: Stands in no text (a noncharacter): borders are marked with it.
+MARK = "\uffff"
+
+
+def _quoted_runs() -> str:
+    """A pattern that parts a text into quoted runs, which may lack their end, and runs without quotes."""
+    quoted = [rf"{opens}[^{closes}]*(?:{closes}|\z)" for opens, closes in QUOTES.items()]
+    return "|".join([*quoted, f"[^{''.join(QUOTES)}]+"])
+
+
+def _borders() -> str:
+    """What ends a clause outside quotes: a semicolon or line end; a comma or closing mark before an actor, unless the mark belongs to a shortening."""
+    actor = "(?=\\s+(?:" + "|".join(CLAUSE_ACTORS) + "))"
+    shortened = "(?<!(?<!\\S)(?:" + "|".join(SHORT) + "))"
+    return rf"(?i)([;\n]|[,!?]{actor}|{shortened}\.{actor})"
+
+
 def clause_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, start, end) of clauses that stand alone in docs (doc_id, text); marks within quotes don't count."""
-
-    def of(text: str) -> list[tuple[int, int]]:
-        out, start, quote = [], 0, None
-        for i, c in enumerate(text):
-            if quote:
-                quote = None if c == quote else quote
-            elif c in QUOTES:
-                quote = QUOTES[c]
-            if quote or c not in ",;\n.!?":
-                continue
-            after = i + 1
-            if c == "," and i and after < len(text) and text[i - 1].isnumeric() and text[after].isnumeric():
-                continue
-            if c in ",.!?":
-                if after >= len(text) or not text[after].isspace():
-                    continue
-                if c == "." and (text[start:i].split() or [""])[-1].lower() in SHORT:
-                    continue
-                if not text[after:].strip().lower().startswith(CLAUSE_ACTORS):
-                    continue
-            out.append((start, after))
-            start = after
-        return out + ([(start, len(text))] if start < len(text) else [])
+    """(doc_id, n, start, end) of clauses that stand alone in docs (doc_id, text); marks within quotes don't count.
 
-    def run(batches):
-        for rows in batches:
-            flat = [(d, n, *x) for d, text in zip(rows["doc_id"], rows["text"]) if text for n, x in enumerate(of(text))]
-            yield pd.DataFrame(flat, columns=["doc_id", "n", "start", "end"])
+    Runs of quotes are told apart, borders are marked in the other runs, and the text is split at the marks; places are
+    running sums of the parts' lengths. A null or empty text has no clauses.
+    """
+    runs = F.regexp_extract_all("text", F.lit(_quoted_runs()), F.lit(0))
+    quote = F.array(*map(F.lit, QUOTES))
+    marked = F.transform(runs, lambda r: F.when(F.array_contains(quote, F.substring(r, 1, 1)), r).otherwise(F.regexp_replace(r, _borders(), f"$1{MARK}")))
+    parts = F.filter(F.split(F.array_join(marked, ""), MARK), lambda x: x != "")
+    flat = docs.select("doc_id", F.posexplode(parts).alias("n", "part"))
+    end = F.sum(F.length("part")).over(W.partitionBy("doc_id").orderBy("n")).cast("int")
+    return flat.select("doc_id", "n", (end - F.length("part")).alias("start"), end.alias("end"))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n int, start int, end int")
+
+def window_clauses(units: DataFrame) -> DataFrame:
+    """Clauses as `clause_ranges` of units (doc_id, text), but a unit with a condition or exception is one clause: no window may cut its scope."""
+    whole = units.where(conditional(F.col("text"))).select("doc_id", F.lit(0).alias("n"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    return clause_ranges(units.where(~conditional(F.col("text")))).union(whole)
 
 
 def pack_windows(clauses: DataFrame, tokens: int = WINDOW_TOKENS, windows: int = WINDOWS) -> DataFrame:
     """(doc_id, window, start, end, tokens) of clauses (doc_id, n, start, end, tokens) joined while they fit; `window` is null for what is left out.
 
-    A clause over the budget is left out, and so is what comes after the last window. Order-dependent:
-    a pass over each document's clauses.
+    A clause over the budget is left out, and so is what comes after the last window. An ordered fold over
+    each document's sizes numbers the windows: a clause opens one where it doesn't fit into the open one.
     """
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        held: list | None = None
-        doc = rows["doc_id"].iloc[0]
-
-        def close() -> None:
-            if held:
-                done = sum(w[1] is not None for w in out)
-                out.append([doc, done if done < windows else None, *held])
-
-        for start, end, count in rows.sort_values("n")[["start", "end", "tokens"]].itertuples(index=False):
-            if count > tokens:
-                close()
-                held = None
-                out.append([doc, None, start, end, count])
-            elif held and held[2] + count <= tokens:
-                held = [held[0], end, held[2] + count]
-            else:
-                close()
-                held = [start, end, count]
-        close()
-        return pd.DataFrame(out, columns=["doc_id", "window", "start", "end", "tokens"]).astype({"window": "Int64"})
-
-    kind = clauses.schema["doc_id"].dataType.simpleString()
-    return clauses.groupBy("doc_id").applyInPandas(pack, f"doc_id {kind}, window long, start int, end int, tokens int")
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("n", "tokens"))), lambda c: c["tokens"])
+    rows = F.array_sort(F.collect_list(F.struct("n", "start", "end", "tokens")))
+    gathered = clauses.groupBy("doc_id").agg(rows.alias("rows"), sizes.alias("sizes"))
+
+    def step(acc: Column, size: Column) -> Column:
+        over, fits = size > tokens, (acc["used"] > 0) & (acc["used"] + size <= tokens)
+        opened = acc["opened"] + F.when(over | fits, 0).otherwise(1)
+        used = F.when(over, 0).when(fits, acc["used"] + size).otherwise(size)
+        return F.struct(opened.cast("long").alias("opened"), used.cast("long").alias("used"), F.concat(acc["held"], F.array(F.when(over, 0).otherwise(opened).cast("long"))).alias("held"))
+
+    start = F.struct(F.lit(0).cast("long").alias("opened"), F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("held"))
+    held = F.aggregate("sizes", start, step, lambda acc: acc["held"])
+    flat = gathered.select("doc_id", F.explode(F.arrays_zip("rows", held.alias("held"))).alias("x")).select("doc_id", "x.held", "x.rows.*")
+    # what is over the budget stands by itself
+    group = F.when(F.col("held") > 0, F.col("held")).otherwise(-F.col("n") - 1)
+    found = flat.groupBy("doc_id", group.alias("held")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("tokens").cast("int").alias("tokens"))
+    window = F.when(F.col("held").between(1, windows), F.col("held") - 1)
+    return found.select("doc_id", window.alias("window"), "start", "end", "tokens")
 
 
 def conditional(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators import signals as s
 from glossa.plans.registry import query
-from glossa.session import table
+from glossa.session import Scratch, table
 
 #: The same in both dialects.
 SENTENCE = """CASE p_partkey % 11
@@ -167,3 +167,63 @@ def internal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.concat(F.lit("Pasal "), F.col("pos").cast("string"), F.when(F.col("pos") % 3 == 0, ". ").otherwise(" "), F.col("text"))
     blocks = units(spark, sf_dir).select("doc_id", F.expr("'s' || (pos div 8)").alias("section"), F.when(F.col("pos") % 2 == 0, "heading").otherwise("numbered").alias("kind"), lead.alias("text"))
     return s.internal_targets(blocks).groupBy("doc_id", "section", "label").agg(F.count("*").alias("n"))
+
+
+#: The same in both dialects: a line for each order; all of a customer's orders are one document.
+CLAUSE = """CASE o_orderkey % 7
+  WHEN 0 THEN '"Harga ' || (o_orderkey % 9) || '" berarti ' || lower(o_orderpriority) || '.'
+  WHEN 1 THEN 'Istilah "Harga ' || (o_custkey % 9) || '" tersebut berlaku; "Toko" buka.'
+  WHEN 2 THEN 'Pembeli menjaga "data ' || (o_orderkey % 5) || '" harian, juga "Barang" yang dapat rusak.'
+  WHEN 3 THEN 'Barang yang selanjutnya disebut "' || c_mktsegment || '".'
+  WHEN 4 THEN 'Jumlah harga ' || (o_orderkey % 9) || ' ini oleh ' || lower(c_mktsegment) || ' dicatat, HARGA ' || (o_custkey % 9) || ' tetap.'
+  WHEN 5 THEN '"Harga ' || (o_orderkey % 3) || '" atau "Biaya ' || (o_orderkey % 4) || '" tetap.'
+  ELSE 'Para biaya ' || (o_orderkey % 4) || ' dan BIAYA ' || (o_custkey % 4) || ' dibayar kepada ' || c_mktsegment || '.' END"""
+
+CLAUSE_LINES = f"""
+cl AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, {CLAUSE} AS line FROM orders JOIN customer ON c_custkey = o_custkey),
+lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS off FROM cl),
+tx AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM cl GROUP BY 1),
+m AS (SELECT doc_id, off, line, regexp_extract(line, '"([^"\\n]{{2,100}})"\\s+berarti ([^.]+)', ['a', 'b']) AS e, regexp_extract(line, 'selanjutnya disebut "([^"\\n]{{2,100}})"', 1) AS c, regexp_extract(line, '"([^"]{{2,100}})" atau "([^"]{{2,100}})"', ['a', 'b']) AS al FROM lo),
+allq AS (SELECT doc_id, 0 AS rank, off AS seat, 0 AS part, e.a AS term, off + instr(line, '"') AS start, NULL AS alias_of FROM m WHERE e.a <> ''
+  UNION ALL SELECT doc_id, 1, off, 0, c, off + instr(line, '"'), NULL FROM m WHERE c <> ''
+  UNION ALL SELECT doc_id, 2, off, 0, al.a, off, NULL FROM m WHERE al.a <> '' UNION ALL SELECT doc_id, 2, off, 1, al.b, off + instr(line, '"' || al.b || '"'), al.a FROM m WHERE al.a <> ''),
+first_alias AS (SELECT * FROM allq WHERE alias_of IS NULL OR true QUALIFY alias_of IS NULL OR row_number() OVER (PARTITION BY doc_id, lower(term), alias_of IS NULL ORDER BY rank, seat, part) = 1),
+dec AS (SELECT * FROM first_alias QUALIFY rank <> 2 OR alias_of IS NOT NULL OR row_number() OVER (PARTITION BY doc_id, lower(term), alias_of IS NULL ORDER BY rank, seat, part) = 1),
+dp AS (SELECT doc_id, term, start + CASE WHEN rank = 2 AND alias_of IS NULL THEN 1 ELSE 0 END AS start FROM dec),
+known AS (SELECT doc_id, lower(term) AS key FROM dec UNION SELECT doc_id, lower(alias_of) FROM dec WHERE alias_of IS NOT NULL)"""
+
+
+def clause_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer with orders."""
+    customer = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    rows = table(spark, sf_dir, "orders").join(customer, "o_custkey").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.expr(CLAUSE).alias("line"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"""
+WITH {CLAUSE_LINES}, q AS (SELECT doc_id, off, line, unnest(regexp_extract_all(line, '"([^"\\n]{{2,100}})"', 1)) AS term FROM lo),
+p AS (SELECT DISTINCT q.doc_id, term, off + instr(line, '"' || term || '"') AS start FROM q WHERE lower(term) NOT IN (SELECT key FROM known WHERE known.doc_id = q.doc_id)),
+n AS (SELECT p.*, text[greatest(start - 50, 0) + 1:start] AS before, text[start + length(term) + 1:start + length(term) + 50] AS after FROM p JOIN tx USING (doc_id))
+SELECT doc_id, 'defined-term-undeclared-quoted-term' AS rule_id, start::INT AS start, (start + length(term))::INT AS "end", term AS original FROM n
+WHERE (regexp_matches(term, '^[A-Z]') OR regexp_matches(term, '(?i)\\b(Pihak|Perjanjian|Informasi|Data)\\b'))
+  AND (contains(term, ' ') OR regexp_matches(before, '(?i)(disebut|istilah|sebagaimana|yang dimaksud|didefinisikan)') OR regexp_matches(after, '(?i)(tersebut|berikut|ini|dimaksud|wajib|dapat)'))
+""")
+def undeclared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted names that a document uses like declared terms but declares nowhere."""
+    docs = Scratch(spark, "terms").cut(clause_documents(spark, sf_dir), "docs")
+    said = s.sayings(docs)
+    return s.undeclared_terms(docs, s.declarations(docs, said=said), said)
+
+
+@query(f"""
+WITH {CLAUSE_LINES}, w AS (SELECT d.doc_id, d.term, off, line, off + i - 1 AS start, line[i:i + length(d.term) - 1] AS original, line[i - 1:i - 1] AS l, line[i + length(d.term):i + length(d.term)] AS r
+  FROM (SELECT DISTINCT doc_id, term FROM dec) d JOIN lo ON lo.doc_id = d.doc_id AND contains(lower(line), lower(d.term)), unnest(range(1, length(line) + 1)) AS u(i) WHERE lower(line[i:i + length(d.term) - 1]) = lower(d.term)),
+v AS (SELECT * FROM w WHERE original <> term AND (start = off OR NOT regexp_matches(l, '\\w')) AND NOT regexp_matches(r, '\\w') AND EXISTS (SELECT 1 FROM dp WHERE dp.doc_id = w.doc_id AND dp.term = w.term AND (w.start >= dp.start + length(dp.term) OR dp.start >= w.start + length(w.term)))),
+n AS (SELECT v.*, text[greatest(start - 40, 0) + 1:start] AS before, text[start + length(term) + 1:start + length(term) + 40] AS after FROM v JOIN tx USING (doc_id))
+SELECT DISTINCT doc_id, 'defined-term-case-inconsistency' AS rule_id, start::INT AS start, (start + length(term))::INT AS "end", original, term FROM n
+WHERE right(before, 1) = '"' OR after[1:1] = '"' OR regexp_matches(before, '(?i)(disebut|istilah|sebagaimana|yang dimaksud)') OR regexp_matches(after, '(?i)(tersebut|ini|dimaksud)') OR regexp_matches(original, '^[A-Z]') OR contains(term, ' ')
+""")
+def uneven_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that write a declared term in other letters than its declaration and clearly mean it."""
+    docs = Scratch(spark, "terms").cut(clause_documents(spark, sf_dir), "docs")
+    return s.uneven_usages(docs, s.declarations(docs))
