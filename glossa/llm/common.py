@@ -33,17 +33,20 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and holds at most about 2 * `most` entries.
+    """A dict that computes what it lacks and holds at most about 2 * `most` entries, all of keys of up to `longest` characters.
 
     When full, the current entries become the old generation; an old entry that is
-    asked for again moves back, the rest go with the next turn.
+    asked for again moves back, the rest go with the next turn. Longer keys (a text without spaces can be one)
+    are computed each time, so that memory is bounded by bytes too.
     """
 
-    def __init__(self, compute: Callable, most: int = 250_000):
+    def __init__(self, compute: Callable, most: int = 250_000, longest: int = 64):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.longest, self.old = compute, most, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

@@ -16,7 +16,8 @@ nodes, another one each round, with all others. It judges what the descent found
 while pairs over the threshold that any audit has met are apart, the descent goes on from new
 buckets, each of which may part a pair that others kept together. Only where a caller sets
 `most_rounds` it may end before: a warning then gives the recall of the last audit, and the pairs
-still apart, known to be links, are joined.
+still apart, known to be links, are joined. Audit, edges and counts take one function for the
+cosine (`vectors.cosines`), so a pair at the very threshold is a link to all of them or to none.
 
 Vectors that are null, zero, or hold null or non-finite components, and those whose
 length differs from the most frequent one, link with nothing and keep themselves. An
@@ -90,15 +91,14 @@ def _block_counts(length: int, threshold: float):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for group in vectors.groups(batches):
             x = vectors.matrix(group.column("x"), np.float64, length)
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
             node, copies, side = (group.column(c).to_numpy() for c in ("node", "copies", "side"))
             a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if (side == 2).all():
-                near = x @ x.T >= threshold
+                near = vectors.near(x, x, threshold)
                 np.fill_diagonal(near, False)
                 yield node, (near * copies).sum(1)
             elif len(a) and len(b):
-                near = x[a] @ x[b].T >= threshold
+                near = vectors.near(x[a], x[b], threshold)
                 yield node[a], (near * copies[b]).sum(1)
                 yield node[b], (near * copies[a][:, None]).sum(0)
 
@@ -186,8 +186,7 @@ def near_duplicates(
         def check(batches):
             for batch in batches:
                 a, b = (vectors.matrix(batch.column(i), np.float64, length) for i in (2, 3))
-                cosine = (a * b).sum(1) / np.sqrt((a * a).sum(1)) / np.sqrt((b * b).sum(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], ["a", "b", "cosine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors.cosines(a, b))], ["a", "b", "cosine"])
 
         return common.arrow_pass(both.select("a", "b", "xa", "xb"), check, "a long, b long, cosine double").where(F.col("cosine") >= threshold).select("a", "b")
 
@@ -232,14 +231,14 @@ def near_duplicates(
         if not len(some):
             return nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
         x = np.stack([np.frombuffer(v, np.float64) for v in some["full"]])
-        sent = spark.sparkContext.broadcast((some["node"].to_numpy(), x / np.sqrt((x * x).sum(1, keepdims=True))))
+        sent = spark.sparkContext.broadcast((some["node"].to_numpy(), x))
 
         def compare(batches):
             ids, q = sent.value
             for batch in batches:
                 y = vectors.matrix(batch.column(1), np.float64, length)
                 node = batch.column(0).to_numpy()
-                near = (y / np.sqrt((y * y).sum(1, keepdims=True))) @ q.T >= threshold
+                near = vectors.near(y, q, threshold)
                 near &= node[:, None] != ids[None, :]
                 i, j = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(ids[j])], ["a", "b"])

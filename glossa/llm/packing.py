@@ -119,6 +119,8 @@ class WordIds:
 
     #: Stands between words that are encoded in one call.
     MARK = "\x01"
+    #: Longer words (a text without white space is one) are forgotten with their batch, so that memory is bounded by bytes too.
+    LONGEST = 64
 
     def __init__(self, content: bytes, most_words: int = 250_000):
         from tokenizers import Tokenizer
@@ -165,9 +167,14 @@ class WordIds:
                     self.words[word] = known
         self._learn(lacking)
         get = self.words.__getitem__
-        for k, words in enumerate(split):
-            got = np.array(self._encode([texts[k]])[0], "<u4").tobytes() if k in odd else b"".join(map(get, words))
-            yield np.frombuffer(got, "<u4")
+        try:
+            for k, words in enumerate(split):
+                got = np.array(self._encode([texts[k]])[0], "<u4").tobytes() if k in odd else b"".join(map(get, words))
+                yield np.frombuffer(got, "<u4")
+        finally:
+            for word in lacking:
+                if len(word) > self.LONGEST:
+                    del self.words[word]
 
 
 def pack_documents(

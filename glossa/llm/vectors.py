@@ -33,6 +33,30 @@ def list_matrix(column: pa.Array, length: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
 
 
+#: Closer to a threshold than this, a product of unit vectors doesn't decide.
+DOUBT = 1e-9
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of `a` with the same row of `b`: one value a pair, whichever side is which and whatever else is compared."""
+    dot, aa, bb = (a * b).sum(1), (a * a).sum(1), (b * b).sum(1)
+    with np.errstate(over="ignore", under="ignore"):
+        both = aa * bb
+    plain = np.isfinite(both) & (both > 1e-200)
+    return dot / np.where(plain, np.sqrt(np.where(plain, both, 1.0)), np.sqrt(aa) * np.sqrt(bb))
+
+
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows have `cosines` of at least the threshold: by a product of unit vectors, pairs near the threshold one by one."""
+    found = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ (y / np.sqrt((y * y).sum(1, keepdims=True))).T
+    close = found >= threshold
+    i, j = np.nonzero(np.abs(found - threshold) < DOUBT)
+    for at in range(0, len(i), 10_000):
+        some = slice(at, at + 10_000)
+        close[i[some], j[some]] = cosines(x[i[some]], y[j[some]]) >= threshold
+    return close
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The rows of each value of the first column, which the rows are sorted by.
 

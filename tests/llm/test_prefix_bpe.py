@@ -59,3 +59,17 @@ def test_query_rows(spark, both):
         assert (r.doc_id, r.n_tokens, r.ids_sha256) == (key, len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert prefix_bpe.encode_documents(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_texts_without_spaces_are_not_kept(both):
+    """Whole documents as one word: neither encoder keeps them beyond their batch."""
+    from glossa.llm import packing
+
+    coder, _ = both
+    words = packing.WordIds(common.tokenizer_bytes(common.public_path("word_bpe_49k.json")))
+    texts = ["".join(chr(0x4E00 + (k * 31 + j * j) % 3000) for j in range(400)) for k in range(200)]
+    for at in range(0, 200, 50):
+        assert all(len(x) for _, x in zip(range(50), words.ids(texts[at : at + 50])))
+        assert all(coder.encode_bytes(x) for x in texts[at : at + 50])
+    kept = [*coder.chunks, *coder.chunks.old, *coder.known, *coder.known.old, *words.words, *words.old]
+    assert max(map(len, kept), default=0) <= 64

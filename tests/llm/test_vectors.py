@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from glossa.llm import nn_descent, posting_lists
+from glossa.llm import nn_descent, posting_lists, vectors
 
 
 def table(spark, x, ids=None, extra=()):
@@ -155,3 +155,20 @@ def test_centroids_in_two_levels():
     rng = np.random.default_rng(3)
     c = posting_lists.balanced_centroids(rng.normal(size=(4000, 8)).astype(np.float32), 700, together=64)
     assert 600 < len(c) < 800 and np.isfinite(c).all()
+
+
+def test_pairs_at_the_threshold_end_the_descent(spark):
+    """Cosines of exactly 0.9, which other orders of the same sums put below it: one answer everywhere, and an end."""
+    x = np.array([[-3.0, 5, 4], [0, 9, 9], [9, 0, 9], [5, -3, 4], [1e160, 0, 0], [9e160, 4.358898943540673e160, 0]])
+    told = {}
+    out = nn_descent.near_duplicates(table(spark, x, range(len(x))), threshold=0.9, most_rounds=3, report=told).collect()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out}
+    assert got[0] == (1, 0) and got[1] == (1, 0) and got[2] == (1, 2) and got[3] == (1, 2) and told["rounds"] <= 2
+
+
+def test_cosines_are_symmetric():
+    draw = np.random.default_rng(2)
+    a, b = draw.normal(size=(500, 33)), draw.normal(size=(500, 33))
+    assert (vectors.cosines(a, b) == vectors.cosines(b, a)).all()
+    wanted = float(vectors.cosines(a[:1], b[:1])[0])
+    assert vectors.near(a, b, wanted)[0, 0] and vectors.near(b, a, wanted)[0, 0] and not vectors.near(a, b, np.nextafter(wanted, 2))[0, 0]
