@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,37 @@ def content_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     return h.join(first, "h").where("doc_id <> first_id").select("doc_id", "first_id")
 
 
+def import_duplicates(docs: DataFrame, id_col: str, text_col: str, created: str) -> DataFrame:
+    """(id, action, of): keep the first document of each content, by `created` and id; later ones are duplicates of it, told by
+    their file if their bytes are equal, else by their content.
+
+    Equal bytes are equal content, so one grouping by content decides both. Only ids and digests are shuffled. A null text is the empty one.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(created).alias("created"), F.unhex(F.sha2(text, 256)).alias("file"), F.unhex(t.content_hash(text)).alias("content"))
+    rows = Scratch(docs.sparkSession, "import").cut(rows, "digests")
+    first = rows.groupBy("content").agg(F.min(F.struct("created", "id", "file")).alias("first"), F.count("*").alias("n"))
+    several = broadcast_if_small(first.where("n > 1").drop("n"), BROADCAST_ROWS)
+    met = rows.join(several, "content", "left")
+    later = F.col("first").isNotNull() & (F.struct("created", "id") != F.struct("first.created", "first.id"))
+    action = F.when(~later, "keep").when(F.col("file") == F.col("first.file"), "file-duplicate").otherwise("content-duplicate")
+    return met.select(F.col("id").alias(id_col), action.alias("action"), F.when(later, F.col("first.id")).alias("of"))
+
+
+def refresh(old: DataFrame, new: DataFrame, results: DataFrame, find: Callable[[DataFrame], DataFrame], keys: list[str], scratch: Scratch) -> DataFrame:
+    """(segment_id, start, end, original): a new version's findings, found again only in segments that no old one stands for.
+
+    `old` and `new` hold (segment_id, start, text) and `keys`; `results` the old findings (segment_id, start, end, original), places within
+    the segment, and `find` gives such findings for segments. Reused findings must still stand at their place. Places returned
+    are the document's. Segments without a change keep their findings wherever they moved to.
+    """
+    mapping = scratch.cut(map_segments(old, new, keys, "segment_id"), "mapping")
+    kept = rematerialise(results.withColumnRenamed("segment_id", "old_id"), mapping, new).withColumnRenamed("new_id", "segment_id")
+    again = mapping.where("new_id IS NOT NULL AND (old_id IS NULL OR ambiguous)").select(F.col("new_id").alias("segment_id"))
+    fresh = find(new.join(again, "segment_id", "left_semi")).join(new.select("segment_id", F.col("start").alias("base")), "segment_id")
+    return kept.unionByName(fresh.select("segment_id", (F.col("base") + F.col("start")).alias("start"), (F.col("base") + F.col("end")).alias("end"), "original"))
+
+
 def map_segments(old: DataFrame, new: DataFrame, keys: list[str], order: str, id_col: str = "segment_id") -> DataFrame:
     """(keys, old_id, new_id, ambiguous): equal groups are paired by order; groups of unequal size are ambiguous.
 
