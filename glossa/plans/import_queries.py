@@ -120,3 +120,21 @@ def gate_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.substring("category", 1, 1)
     recorded = now.where(lead != "5").withColumn("status", F.when(lead == "4", "pass!").when(lead == "2", "fail").otherwise(F.col("status")))
     return fixtures.exit_codes(recorded, now, "category")
+
+
+EVENT_KIND = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'result' WHEN 'click' THEN 'draft' WHEN 'error' THEN CASE WHEN value < 60 THEN 'cancel' ELSE 'failure' END ELSE CASE WHEN value < 60 THEN 'finish' ELSE 'result' END END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS key, event_id AS ord, {EVENT_KIND} AS kind FROM events), r AS (SELECT *, max(CASE WHEN kind = 'start' THEN ord END) OVER (PARTITION BY key ORDER BY ord) AS run FROM e),
+h AS (SELECT *, min(CASE WHEN kind IN ('cancel', 'finish') THEN ord END) OVER (PARTITION BY key, run) AS e_at FROM r WHERE run IS NOT NULL),
+g AS (SELECT key, run, any_value(CASE WHEN ord = e_at THEN kind END) AS e, count_if(kind = 'result' AND (e_at IS NULL OR ord < e_at)) AS done, count_if(kind = 'failure' AND (e_at IS NULL OR ord < e_at)) AS failed,
+  count_if(kind IN ('result', 'failure') AND ord > e_at) AS dropped, max(CASE WHEN kind = 'draft' THEN ord END) AS draft FROM h GROUP BY 1, 2)
+SELECT key, run, CASE WHEN e = 'cancel' THEN 'cancelled' WHEN e = 'finish' THEN 'finished' WHEN run = max(run) OVER (PARTITION BY key) THEN 'open' ELSE 'superseded' END AS status, done, failed, dropped, draft, e IS DISTINCT FROM 'finish' OR failed > 0 AS partial FROM g
+""")
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of events as review runs of users: what each run came to, what came too late, and its last draft."""
+    from glossa.streaming import runs
+
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("order"), F.expr(EVENT_KIND).alias("kind"))
+    return runs.replay(events)
