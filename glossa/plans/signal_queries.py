@@ -179,11 +179,13 @@ CLAUSE = """CASE o_orderkey % 7
   WHEN 5 THEN '"Harga ' || (o_orderkey % 3) || '" atau "Biaya ' || (o_orderkey % 4) || '" tetap.'
   ELSE 'Para biaya ' || (o_orderkey % 4) || ' dan BIAYA ' || (o_custkey % 4) || ' dibayar kepada ' || c_mktsegment || '.' END"""
 
-CLAUSE_LINES = f"""
-cl AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, {CLAUSE} AS line FROM orders JOIN customer ON c_custkey = o_custkey),
+def term_ctes(lines: str) -> str:
+    """Declared terms of the lines (doc_id, pos, line) of documents, with their places."""
+    return f"""
+cl AS ({lines}),
 lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS off FROM cl),
 tx AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM cl GROUP BY 1),
-m AS (SELECT doc_id, off, line, regexp_extract(line, '"([^"\\n]{{2,100}})"\\s+berarti ([^.]+)', ['a', 'b']) AS e, regexp_extract(line, 'selanjutnya disebut "([^"\\n]{{2,100}})"', 1) AS c, regexp_extract(line, '"([^"]{{2,100}})" atau "([^"]{{2,100}})"', ['a', 'b']) AS al FROM lo),
+m AS (SELECT doc_id, off, line, regexp_extract(line, '"([^"\\n]{{2,100}})"\\s+(?:adalah|berarti|merupakan) ([^.]+)', ['a', 'b']) AS e, regexp_extract(line, 'selanjutnya disebut "([^"\\n]{{2,100}})"', 1) AS c, regexp_extract(line, '"([^"]{{2,100}})" atau "([^"]{{2,100}})"', ['a', 'b']) AS al FROM lo),
 allq AS (SELECT doc_id, 0 AS rank, off AS seat, 0 AS part, e.a AS term, off + instr(line, '"') AS start, NULL AS alias_of FROM m WHERE e.a <> ''
   UNION ALL SELECT doc_id, 1, off, 0, c, off + instr(line, '"'), NULL FROM m WHERE c <> ''
   UNION ALL SELECT doc_id, 2, off, 0, al.a, off, NULL FROM m WHERE al.a <> '' UNION ALL SELECT doc_id, 2, off, 1, al.b, off + instr(line, '"' || al.b || '"'), al.a FROM m WHERE al.a <> ''),
@@ -193,6 +195,9 @@ dp AS (SELECT doc_id, term, start + CASE WHEN rank = 2 AND alias_of IS NULL THEN
 known AS (SELECT doc_id, lower(term) AS key FROM dec UNION SELECT doc_id, lower(alias_of) FROM dec WHERE alias_of IS NOT NULL)"""
 
 
+CLAUSE_LINES = term_ctes(f"SELECT o_custkey AS doc_id, o_orderkey AS pos, {CLAUSE} AS line FROM orders JOIN customer ON c_custkey = o_custkey")
+
+
 def clause_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each customer with orders."""
     customer = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
@@ -215,15 +220,48 @@ def undeclared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.undeclared_terms(docs, s.declarations(docs, said=said), said)
 
 
-@query(f"""
-WITH {CLAUSE_LINES}, w AS (SELECT d.doc_id, d.term, off, line, off + i - 1 AS start, line[i:i + length(d.term) - 1] AS original, line[i - 1:i - 1] AS l, line[i + length(d.term):i + length(d.term)] AS r
+UNEVEN = """w AS (SELECT d.doc_id, d.term, off, line, off + i - 1 AS start, line[i:i + length(d.term) - 1] AS original, line[i - 1:i - 1] AS l, line[i + length(d.term):i + length(d.term)] AS r
   FROM (SELECT DISTINCT doc_id, term FROM dec) d JOIN lo ON lo.doc_id = d.doc_id AND contains(lower(line), lower(d.term)), unnest(range(1, length(line) + 1)) AS u(i) WHERE lower(line[i:i + length(d.term) - 1]) = lower(d.term)),
 v AS (SELECT * FROM w WHERE original <> term AND (start = off OR NOT regexp_matches(l, '\\w')) AND NOT regexp_matches(r, '\\w') AND EXISTS (SELECT 1 FROM dp WHERE dp.doc_id = w.doc_id AND dp.term = w.term AND (w.start >= dp.start + length(dp.term) OR dp.start >= w.start + length(w.term)))),
-n AS (SELECT v.*, text[greatest(start - 40, 0) + 1:start] AS before, text[start + length(term) + 1:start + length(term) + 40] AS after FROM v JOIN tx USING (doc_id))
-SELECT DISTINCT doc_id, 'defined-term-case-inconsistency' AS rule_id, start::INT AS start, (start + length(term))::INT AS "end", original, term FROM n
-WHERE right(before, 1) = '"' OR after[1:1] = '"' OR regexp_matches(before, '(?i)(disebut|istilah|sebagaimana|yang dimaksud)') OR regexp_matches(after, '(?i)(tersebut|ini|dimaksud)') OR regexp_matches(original, '^[A-Z]') OR contains(term, ' ')
-""")
+n AS (SELECT v.*, text[greatest(start - 40, 0) + 1:start] AS before, text[start + length(term) + 1:start + length(term) + 40] AS after FROM v JOIN tx USING (doc_id))"""
+UNEVEN_ROWS = """SELECT DISTINCT doc_id, 'defined-term-case-inconsistency' AS rule_id, start::INT AS start, (start + length(term))::INT AS "end", original, term FROM n
+WHERE right(before, 1) = '"' OR after[1:1] = '"' OR regexp_matches(before, '(?i)(disebut|istilah|sebagaimana|yang dimaksud)') OR regexp_matches(after, '(?i)(tersebut|ini|dimaksud)') OR regexp_matches(original, '^[A-Z]') OR contains(term, ' ')"""
+
+
+@query(f"WITH {CLAUSE_LINES}, {UNEVEN} {UNEVEN_ROWS}")
 def uneven_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places that write a declared term in other letters than its declaration and clearly mean it."""
     docs = Scratch(spark, "terms").cut(clause_documents(spark, sf_dir), "docs")
     return s.uneven_usages(docs, s.declarations(docs))
+
+
+def _review_sql() -> str:
+    risks = RISKS.split("u AS (", 1)[1].split(" FROM part)", 1)[1]  # what follows the units
+    terms = term_ctes("SELECT doc_id, pos, text AS line FROM u")
+    return f"""
+WITH {UNITS}{risks}, {terms}, {UNEVEN},
+dn AS (SELECT d.doc_id, d.term, lower(d.term) AS key, d.start, e.b AS body, row_number() OVER (PARTITION BY d.doc_id, lower(d.term) ORDER BY d.rank, d.seat, d.part) AS n, first_value(d.term) OVER (PARTITION BY d.doc_id, lower(d.term) ORDER BY d.rank, d.seat, d.part) AS first_term
+  FROM dec d LEFT JOIN (SELECT doc_id, off, e FROM m WHERE e.a <> '') x ON x.doc_id = d.doc_id AND x.off = d.seat AND d.rank = 0),
+ft AS (SELECT doc_id, CASE WHEN count(DISTINCT nullif({plain("body")}, '')) > 1 THEN 'defined-term-conflicting-definition' ELSE 'defined-term-duplicate-definition' END AS rule_id, 'definedTerm' AS kind, arg_min(start, n) AS start, arg_min(start, n) + arg_min(length(term), n) AS "end", arg_min(term, n) AS original, NULL AS replacement FROM dn GROUP BY doc_id, key HAVING count(*) > 1
+  UNION SELECT doc_id, 'defined-term-case-inconsistency', 'definedTerm', start, start + length(term), term, NULL FROM dn WHERE n > 1 AND term <> first_term
+  UNION SELECT doc_id, rule_id, 'definedTerm', start, "end", original, NULL FROM ({UNEVEN_ROWS})),
+fr AS (SELECT DISTINCT r.doc_id, rule_id, 'legalRisk' AS kind, off AS start, off + length(line) AS "end", line AS original, NULL AS replacement FROM r JOIN lo ON lo.doc_id = r.doc_id AND lo.pos = r.pos),
+fl AS (SELECT doc_id, 'local-grammar' AS rule_id, 'local' AS kind, off + instr(line, 'harus harus') - 1 AS start, off + instr(line, 'harus harus') + 10 AS "end", 'harus harus' AS original, 'harus' AS replacement FROM lo WHERE contains(line, 'harus harus')
+  UNION ALL SELECT doc_id, 'local-missing', 'local', off + instr(line, '[') - 1, off + instr(line, ']'), regexp_extract(line, '\\[[A-Z][A-Z0-9_ /-]{{2,60}}\\]', 0), NULL FROM lo WHERE regexp_matches(line, '\\[[A-Z][A-Z0-9_ /-]{{2,60}}\\]')),
+al AS (SELECT * FROM ft UNION ALL SELECT * FROM fr UNION ALL SELECT * FROM fl),
+oo AS (SELECT *, coalesce(list_position(['defined-term-conflicting-definition', 'legal-risk-modal-negation-conflict', 'legal-risk-condition-exception-conflict', 'legal-risk-unilateral-termination-no-notice'], rule_id), 0) AS prio FROM al),
+ok AS (SELECT *, row_number() OVER (PARTITION BY doc_id, prio > 0 ORDER BY prio, start, "end") AS k FROM oo)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" - start, rule_id) AS number, rule_id, kind, start::INT AS start, "end"::INT AS "end", original, replacement,
+  CASE WHEN prio = 0 THEN 'flagged' WHEN k <= 8 THEN CASE WHEN length(original) % 2 = 0 THEN 'flagged' ELSE 'dismissed' END ELSE 'uncertain' END AS disposition, CASE WHEN prio > 0 AND k <= 8 THEN 'model' ELSE 'deterministic' END AS origin FROM ok
+"""
+
+
+@query(_review_sql())
+def document_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole review of every contract: terms, risks and local findings by place; a stand-in reviewer decides on the first eight risks."""
+    from glossa.operators import document_review as review
+
+    def stand_in(asked: DataFrame) -> DataFrame:
+        return asked.select("doc_id", "finding", F.when(F.length("original") % 2 == 0, "flag").otherwise("dismiss").alias("decision"))
+
+    return review.review(contracts(spark, sf_dir), Scratch(spark, "review"), stand_in)
