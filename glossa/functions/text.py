@@ -195,3 +195,13 @@ def heading_level(text: Column) -> Column:
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units, for editors that count so."""
     return F.length(text) + F.length(F.regexp_replace(text, "[^\U00010000-\U0010ffff]", ""))
+
+
+def word_context(text: Column, start: Column, end: Column, reach: int = 40) -> Column:
+    """(prefix, suffix): the last word within `reach` characters before a place, and the first within as many after it, with "..." behind it; null where there is none."""
+    before = F.substring(text, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))
+    after = F.substring(text, end + 1, F.lit(reach))
+    words = [F.filter(F.split(x, r"\s+"), lambda w: w != "") for x in (before, after)]
+    inside = (start >= 0) & (end <= F.length(text))
+    prefix, suffix = F.when(inside, F.try_element_at(words[0], F.lit(-1))), F.when(inside, F.concat(F.get(words[1], F.lit(0)), F.lit("...")))
+    return F.struct(prefix.alias("prefix"), suffix.alias("suffix"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
-from glossa.operators.spans import greedy
+from glossa.operators.spans import BLOCK, greedy, touched
 
 #: Clause signatures, as patterns of a normalised text.
 SIGNATURE = {
@@ -82,8 +82,10 @@ def compatible_key(text: Column) -> Column:
 
 def containing_block(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     """Segments (doc_id, segment_id, start, end) with the first block (doc_id, block_id, start, end) that holds them whole, null if none."""
-    b = blocks.select("doc_id", "block_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    held = segments.join(b, "doc_id").where((F.col("start") >= F.col("b_start")) & (F.col("end") <= F.col("b_end")))
+    # a block that holds a segment touches the stretch of text in which the segment begins; one that ends there too, for empty segments
+    b = touched(blocks.select("doc_id", "block_id", "start", (F.col("end") + 1).alias("end"))).select("doc_id", "_block", "block_id", F.col("start").alias("b_start"), (F.col("end") - 1).alias("b_end"))
+    at = segments.select("doc_id", "segment_id", "start", "end", F.floor(F.col("start") / BLOCK).alias("_block"))
+    held = at.join(b, ["doc_id", "_block"]).where((F.col("start") >= F.col("b_start")) & (F.col("end") <= F.col("b_end")))
     first = held.groupBy("doc_id", "segment_id").agg(F.min_by("block_id", F.struct("b_start", "block_id")).alias("block_id"))
     return segments.join(first, ["doc_id", "segment_id"], "left")
 
@@ -91,8 +93,11 @@ def containing_block(segments: DataFrame, blocks: DataFrame) -> DataFrame:
 def changed_blocks(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks that a changed range (doc_id, r_start, r_end) overlaps; an empty range touches blocks whose ends it stands at, too."""
     empty = F.col("r_start") == F.col("r_end")
-    touched = F.when(empty, (F.col("r_start") >= F.col("start")) & (F.col("r_start") <= F.col("end"))).otherwise((F.col("r_start") < F.col("end")) & (F.col("start") < F.col("r_end")))
-    hit = blocks.join(ranges, "doc_id").where(touched).select("doc_id", "block_id").distinct()
+    hits = F.when(empty, (F.col("r_start") >= F.col("start")) & (F.col("r_start") <= F.col("end"))).otherwise((F.col("r_start") < F.col("end")) & (F.col("start") < F.col("r_end")))
+    # both by the stretches of text that they touch, one place wider, so that ends that meet share one
+    wide = touched(blocks.select("doc_id", "block_id", "start", (F.col("end") + 1).alias("end"))).withColumn("end", F.col("end") - 1)
+    r = touched(ranges.select("doc_id", F.col("r_start").alias("start"), (F.col("r_end") + 1).alias("end"))).select("doc_id", "_block", F.col("start").alias("r_start"), (F.col("end") - 1).alias("r_end"))
+    hit = wide.join(r, ["doc_id", "_block"]).where(hits).select("doc_id", "block_id").distinct()
     return blocks.join(hit, ["doc_id", "block_id"], "left_semi")
 
 

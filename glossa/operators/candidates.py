@@ -237,3 +237,32 @@ def covered_definitions(texts: DataFrame, definitions: DataFrame, share: float =
     met = held.join(broadcast_if_small(asked, RULE_ROWS), "token").groupBy("text_id", "definition_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need")
     both = met.select("text_id", "definition_id").join(texts, "text_id").join(broadcast_if_small(named, RULE_ROWS), "definition_id")
     return both.withColumn("w", covering_window(F.col("ws"), F.col("wanted"), share=share)).where("w.size is not null").select("text_id", "definition_id", "w.*")
+
+
+#: Texts beyond this length, and texts with these cues, always get the full review.
+ROUTE_LENGTH = 8192
+ROUTE_CUES = (
+    ("quotationOrCode", r"[“”\"‘’«»`]|(?<![\p{L}\p{N}])'"),
+    ("definitionCue", r"(?i)\b(?:adalah|ialah|merupakan|berarti|didefinisikan|diartikan)\b|yang\s+dimaksud\s+dengan|selanjutnya\s+disebut"),
+    ("externalLegalSource", r"(?i)undang[ -]undang|peraturan\s+(?:pemerintah|presiden|menteri)|\bKUHP(?:erdata)?\b|\bUU\s*(?:No\b|Nomor\b|[0-9])"),
+    ("riskCue", r"(?i)tanggung\s+jawab|bertanggung\s+jawab|ganti\s+(?:rugi|kerugian)|tanpa\s+batas"),
+)
+ROUTE_EVIDENCE = ("nativeSpellingCandidate", "lexicalRetrievalEvidence", "nativeRiskCandidate")
+
+
+def fast_route(docs: DataFrame, *evidence: DataFrame | None) -> DataFrame:
+    """(doc_id, full, reason): whether a document (doc_id, text) needs the full review, by the first reason that holds.
+
+    Length and cues are read off the text; `evidence` are the documents (doc_id) with a spelling guess, a retrieval hit and a
+    risk, in this order of reasons. Each is met by its distinct ids. A null text has none of the cues.
+    """
+    out = docs.select("doc_id", "text")
+    for k, rows in enumerate(evidence):
+        if rows is not None:
+            out = out.join(rows.select("doc_id").distinct().withColumn(f"_e{k}", F.lit(True)), "doc_id", "left")
+    guards = [(t.utf16_length(F.col("text")) > ROUTE_LENGTH, "longDocument"), *((F.col("text").rlike(p), name) for name, p in ROUTE_CUES)]
+    guards += [(F.col(f"_e{k}"), ROUTE_EVIDENCE[k]) for k, rows in enumerate(evidence) if rows is not None]
+    reason = F.lit("localBaseWithSelectiveContextualReview")
+    for guard, name in reversed(guards):
+        reason = F.when(F.coalesce(guard, F.lit(False)), name).otherwise(reason)
+    return out.select("doc_id", reason.alias("reason")).withColumn("full", F.col("reason") != "localBaseWithSelectiveContextualReview")

@@ -22,4 +22,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from glossa.plans import candidate_queries, corpus_queries, decision_queries, document_queries, evaluation_queries, import_queries, language_queries, retrieval_queries, review_queries, serving_queries, signal_queries, source_queries, suggest_queries, text_queries  # noqa: E402, F401
+from glossa.plans import candidate_queries, corpus_queries, decision_queries, document_queries, evaluation_queries, import_queries, language_queries, pack_queries, retrieval_queries, review_queries, serving_queries, signal_queries, source_queries, suggest_queries, text_queries  # noqa: E402, F401
