@@ -266,7 +266,7 @@ def nearest(
 
     `shelf` and `part` are the vectors and queries of one task; neither changes the result.
 
-    `report`, if given, is told the number of lists, the ratio and the recall on the audit's queries.
+    `report`, if given, is told the number of lists, the ratio, the recall on the audit's queries, and how many copies of queries are dealt.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "lists")
@@ -362,6 +362,15 @@ def nearest(
     order = np.empty(lists, np.int64)
     order[first] = np.arange(lists)
     parts = max(2, -(-queries // part))
+    # lists that are near lie on one shelf; a shelf of more than `shelf` rows (one long list can be that) is split by
+    # row, and a query goes to the cells of those lists alone that it reads
+    shelves = min(lists, max(8, n // shelf))
+    shelf_of = order * shelves // lists
+    splits = np.maximum(1, -(-np.bincount(shelf_of, weights=sizes, minlength=shelves).astype(np.int64) // shelf))
+    base = np.cumsum(splits) - splits
+
+    def cells_of(read: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(base[s], base[s] + splits[s]) for s in np.unique(shelf_of[read])])
 
     def route(batches):
         g = sent.value
@@ -370,24 +379,28 @@ def nearest(
             at, read = lists_read(g, np.c_[x, np.zeros(len(x))].astype(np.float32), ratio)
             near = pa.array((order[at[:, 0]] * parts // lists).astype(np.int64))
             named = [np.sort(a[r]).astype(np.int32) for a, r in zip(at, read)]
-            yield pa.RecordBatch.from_arrays([near, batch.column(0), batch.column(1), batch.column(2), pa.array(named, pa.list_(pa.int32()))], ["near", "row", "id", "x", "lists"])
+            cells = pa.array([cells_of(a) for a in named], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([near, batch.column(0), batch.column(1), batch.column(2), pa.array(named, pa.list_(pa.int32())), cells], ["near", "row", "id", "x", "lists", "cells"])
 
-    routed = common.arrow_pass(asked.select("row", "id", "x"), route, "near long, row long, id long, x binary, lists array<int>")
+    routed = common.arrow_pass(asked.select("row", "id", "x"), route, "near long, row long, id long, x binary, lists array<int>, cells array<long>")
     routed = scratch.cut(routed, "routed")
     # a part that many queries are near to is split again
     crowds = routed.groupBy("near").agg(F.ceil(F.count("*") / part).alias("splits"))
     routed = routed.join(broadcast_if_small(crowds, BROADCAST_ROWS), "near").withColumn("p", F.xxhash64("near", F.expr("pmod(xxhash64(row), splits)")))
-    shelves = max(8, n // shelf)
+    if report is not None:
+        report["copies"] = routed.agg(F.sum(F.size("cells"))).first()[0]
     reads = scratch.cut(routed.select("p", F.explode("lists").alias("list")).distinct(), "reads")
-    shelved = postings.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(shelves)))
+    cells = spark.createDataFrame(list(zip(range(lists), base[shelf_of].tolist(), splits[shelf_of].tolist())), "list int, base long, splits long")  # a row for each list
+    shelved = postings.join(broadcast_if_small(cells, BROADCAST_ROWS), "list").withColumn("s", F.col("base") + F.expr("pmod(xxhash64(row), splits)"))
     met = shelved.join(broadcast_if_small(reads, BROADCAST_ROWS), "list").select(
         F.xxhash64("p", "s").alias("g"), F.lit(1).alias("kind"), "list", "row", "id", "x", F.lit(None).cast("array<int>").alias("lists")
     )
-    all_shelves = F.explode(F.sequence(F.lit(0), F.lit(shelves - 1)).cast("array<bigint>"))
-    asking = routed.withColumn("s", all_shelves).select(F.xxhash64("p", "s").alias("g"), F.lit(0).alias("kind"), F.lit(0).alias("list"), "row", "id", "x", "lists")
+    asking = routed.withColumn("s", F.explode("cells")).select(F.xxhash64("p", "s").alias("g"), F.lit(0).alias("kind"), F.lit(0).alias("list"), "row", "id", "x", "lists")
     dealt = asking.union(met).repartition("g").sortWithinPartitions("g", "kind", "list")
     run = _streamed(length, dtype, k)
     names, types = ["q", "query_id", "score", "vec_id", "row"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
     found = common.arrow_pass(dealt, lambda b: vectors.batched(run(b), names, types), "q long, query_id long, score double, vec_id long, row long")
-    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # a vector that several lists hold may come from several cells, with one score: it has one place
+    place = F.dense_rank().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row"))
+    best = found.withColumn("rank", place).where(F.col("rank") <= k).dropDuplicates(["q", "rank"])
+    return best.select("query_id", "rank", "vec_id", "score")

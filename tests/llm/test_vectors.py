@@ -172,3 +172,19 @@ def test_cosines_are_symmetric():
     assert (vectors.cosines(a, b) == vectors.cosines(b, a)).all()
     wanted = float(vectors.cosines(a[:1], b[:1])[0])
     assert vectors.near(a, b, wanted)[0, 0] and vectors.near(b, a, wanted)[0, 0] and not vectors.near(a, b, np.nextafter(wanted, 2))[0, 0]
+
+
+def test_copies_of_queries_follow_the_lists_that_they_read(spark):
+    """Ten times the shelves: a query goes to those of its lists, not to all; the answers stay."""
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(40, 12)) * 8
+    x = centres[draw.integers(0, 40, 6000)] + draw.normal(size=(6000, 12))
+    x[4000:] = x[4000] + draw.normal(size=(2000, 12)) * 1e-3  # one long list
+    rows, found, copies = table(spark, x, range(len(x))), {}, {}
+    for shelf in (1 << 17, 120):
+        told = {}
+        got = posting_lists.nearest(rows, every=50, k=5, shelf=shelf, report=told).collect()
+        found[shelf], copies[shelf] = sorted((r.query_id, r["rank"], r.vec_id) for r in got), told["copies"]
+    assert found[120] == found[1 << 17] and len(found[120]) == 120 * 5
+    shelves = 6000 // 120
+    assert copies[120] < 120 * shelves / 2
