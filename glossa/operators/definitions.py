@@ -104,3 +104,48 @@ def resolution_options(assessed: DataFrame) -> DataFrame:
     reject = able.select("id", F.lit("reject").alias("option"), F.lit(True).alias("eligible"), "strength")
     status = F.when(F.col("option") == "reject", "informational").when(F.col("eligible") & (F.col("strength") == "explicit"), "actionable").otherwise("needs-review")
     return use.union(other).union(reject).select("id", "option", status.alias("status"))
+
+
+#: Marks that an edit keeps at its end, the versions whose entries are no sources, and what is said of a source that may not be applied.
+END_MARKS = ".;:!?"
+LEGACY = ("legacyKamusV1", "legacyRAGExportV1")
+SOURCE_MESSAGES = {
+    "unverified": "Sumber ini belum ditandai sebagai sumber terverifikasi yang dapat diterapkan.",
+    "notInForce": "Sumber ini tercatat tidak berlaku.",
+    "unknown": "Status keberlakuan sumber belum diketahui.",
+    "other": "Sumber ini belum memenuhi syarat penerapan.",
+}
+LEAD = r"(?is)^\s*[,;:]?\s*(?:adalah|ialah|merupakan|berarti|didefinisikan\s+sebagai|diartikan\s+sebagai)\s+(.+)$"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def source_body(source: Column, term: Column) -> Column:
+    """A source's definition without a leading term (whatever its case and accents) and connector; as it is where they don't stand there."""
+    whole = stripped(source)
+    rest = F.substring(whole, F.length(term) + 1, F.length(whole))
+    found = F.regexp_extract(rest, LEAD, 1)
+    named = t.fold(F.substring(whole, F.lit(1), F.length(term))) == t.fold(term)
+    return F.when(named & (found != ""), stripped(found)).otherwise(whole)
+
+
+def mismatch_text(original: Column, source: Column, term: Column, alignment: Column, strength: Column) -> Column:
+    """What a mismatched definition would read by its source: only for a mismatch of an explicit or implicit definition, else null.
+
+    The original's mark at its end stays unless the source ends in one. An empty source gives none. Such a text is shown, never offered as an edit.
+    """
+    body, last = source_body(source, term), F.substring(stripped(original), -1, 1)
+    marked = F.lit(END_MARKS).contains(last) & (last != "")
+    closed = F.lit(END_MARKS).contains(F.substring(body, -1, 1))
+    text = F.when(body != "", F.when(marked & ~closed, F.concat(body, last)).otherwise(body))
+    return F.when((alignment == "mismatch") & strength.isin("explicit", "implicit"), text)
+
+
+def source_message(verified: Column, actionable: Column, applicability: Column, version: Column) -> Column:
+    """Why a source may not be applied; null for an eligible one: verified, actionable, in force and of no legacy version. Nulls are not."""
+    fine = F.coalesce(verified & actionable, F.lit(False))
+    state = F.coalesce(applicability, F.lit("unknown"))
+    why = F.when(~fine, SOURCE_MESSAGES["unverified"]).when(state == "notInForce", SOURCE_MESSAGES["notInForce"]).when(state != "inForce", SOURCE_MESSAGES["unknown"])
+    return why.when(F.coalesce(version.isin(*LEGACY), F.lit(False)), SOURCE_MESSAGES["other"])

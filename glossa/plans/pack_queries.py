@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossa.functions import text as t
-from glossa.operators import anchors, candidates, corpus, retrieval, review, signals, spellcheck
+from glossa.operators import anchors, candidates, corpus, definitions, retrieval, review, signals, spellcheck
 from glossa.plans.document_queries import PARAS, paras
 from glossa.plans.language_queries import lexicon_sql
 from glossa.plans.registry import query
@@ -156,3 +156,32 @@ def silent_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model.select("segment_id", (F.col("segment_id") * 2).alias("review_id"), F.when(F.col("silent"), "no-suggestion").otherwise("suggestion").alias("status"), F.lit("model").alias("origin"), F.lit("spelling").alias("category"), *place)
     rules = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("segment_id"), (F.col("o_orderkey") * 2 + 1).alias("review_id"), F.lit("suggestion").alias("status"), F.lit("deterministic").alias("origin"), F.lit("spelling").alias("category"), *place)
     return anchors.survive_silence(model, rules.join(model, "segment_id", "left_semi")).select("segment_id", "origin", "status")
+
+
+@query(f"""
+WITH {PARAS}, x AS (SELECT doc_id, pos, text, string_split(text, ' ')[1] AS term FROM paras),
+y AS (SELECT *, CASE pos % 4 WHEN 0 THEN term || ' adalah ' || text WHEN 1 THEN '  ' || lower(term) || ', berarti   ' || text || ' ' WHEN 2 THEN text ELSE term || ' Didefinisikan  sebagai ' || text || ';' END AS source, CASE WHEN pos % 5 = 4 THEN 'review' ELSE 'mismatch' END AS alignment, CASE WHEN pos % 3 = 2 THEN 'retrieved' ELSE 'explicit' END AS strength FROM x),
+z AS (SELECT *, trim(regexp_replace(source, '^\\s+|\\s+$', '', 'g'), ' ') AS whole FROM y),
+w AS (SELECT *, regexp_extract(whole[length(term) + 1:], '(?is)^\\s*[,;:]?\\s*(?:adalah|ialah|merupakan|berarti|didefinisikan\\s+sebagai|diartikan\\s+sebagai)\\s+(.+)$', 1) AS found FROM z),
+b AS (SELECT *, CASE WHEN lower(whole[1:length(term)]) = lower(term) AND found <> '' THEN regexp_replace(found, '^\\s+|\\s+$', '', 'g') ELSE whole END AS body, right(regexp_replace(text, '\\s+$', ''), 1) AS last FROM w)
+SELECT doc_id, pos, sha256(CASE WHEN alignment = 'mismatch' AND strength = 'explicit' THEN CASE WHEN contains('.;:!?', last) AND NOT contains('.;:!?', right(body, 1)) THEN body || last ELSE body END END) AS digest FROM b
+""")
+def mismatch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every paragraph would read by a source made from it: the term and its connector go, the end mark stays."""
+    p = paras(spark, sf_dir).withColumn("term", F.get(F.split("text", " "), F.lit(0)))
+    text, term, n = F.col("text"), F.col("term"), F.col("pos") % 4
+    source = F.when(n == 0, F.concat(term, F.lit(" adalah "), text)).when(n == 1, F.concat(F.lit("  "), F.lower(term), F.lit(", berarti   "), text, F.lit(" "))).when(n == 2, text)
+    source = source.otherwise(F.concat(term, F.lit(" Didefinisikan  sebagai "), text, F.lit(";")))
+    alignment, strength = F.when(F.col("pos") % 5 == 4, "review").otherwise("mismatch"), F.when(F.col("pos") % 3 == 2, "retrieved").otherwise("explicit")
+    return p.select("doc_id", "pos", F.sha2(definitions.mismatch_text(text, source, term, alignment, strength), 256).alias("digest"))
+
+
+@query(f"""
+SELECT o_orderkey, CASE WHEN NOT (o_orderstatus = 'F' AND o_totalprice > 60000) THEN '{definitions.SOURCE_MESSAGES["unverified"]}' WHEN o_custkey % 5 = 0 THEN '{definitions.SOURCE_MESSAGES["notInForce"]}' WHEN o_custkey % 5 = 1 THEN '{definitions.SOURCE_MESSAGES["unknown"]}'
+  WHEN left(o_orderpriority, 1) = '1' THEN '{definitions.SOURCE_MESSAGES["other"]}' END AS message FROM orders
+""")
+def source_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why an entry (an order) may not be applied as a source, in the order of the rules."""
+    n = F.col("o_custkey") % 5
+    state, version = F.when(n == 0, "notInForce").when(n == 1, F.lit(None)).otherwise("inForce"), F.when(F.col("o_orderpriority").startswith("1"), "legacyKamusV1").otherwise("current")
+    return table(spark, sf_dir, "orders").select("o_orderkey", definitions.source_message(F.col("o_orderstatus") == "F", F.col("o_totalprice") > 60000, state, version).alias("message"))
