@@ -39,7 +39,7 @@ def review(docs: DataFrame, scratch: Scratch, reviewer: RiskReviewer | None = No
 
     none = F.lit(None).cast("string")
     terms = s.term_findings(declared).select("doc_id", "rule_id", "start", "end", "original")
-    terms = terms.union(s.undeclared_terms(docs, declared, said)).union(s.uneven_usages(docs, declared).select("doc_id", "rule_id", "start", "end", "original"))
+    terms = terms.union(s.undeclared_terms(declared, said)).union(s.uneven_usages(docs, declared).select("doc_id", "rule_id", "start", "end", "original"))
     terms = terms.select("doc_id", "rule_id", F.lit("definedTerm").alias("kind"), "start", "end", "original", none.alias("replacement"))
     facts = s.clause_facts(units.select("doc_id", "pos", "text"))
     place = units.select("doc_id", "pos", "start", "end", F.col("text").alias("original"))

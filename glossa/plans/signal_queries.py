@@ -217,7 +217,7 @@ def undeclared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted names that a document uses like declared terms but declares nowhere."""
     docs = Scratch(spark, "terms").cut(clause_documents(spark, sf_dir), "docs")
     said = s.sayings(docs)
-    return s.undeclared_terms(docs, s.declarations(docs, said=said), said)
+    return s.undeclared_terms(s.declarations(docs, said=said), said)
 
 
 UNEVEN = """w AS (SELECT d.doc_id, d.term, off, line, off + i - 1 AS start, line[i:i + length(d.term) - 1] AS original, line[i - 1:i - 1] AS l, line[i + length(d.term):i + length(d.term)] AS r
