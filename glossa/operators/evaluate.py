@@ -28,6 +28,36 @@ def prf(rows: DataFrame, expected: Column, observed: Column, *by: str, total: bo
     return out.withColumns({"precision": p, "recall": r, "f1": ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
+def prf_each(rows: DataFrame, expected: Column, observed: Column, *keys: str) -> DataFrame:
+    """(key, value, tp, fp, fn, precision, recall, f1) for every value of every key, and over all (key null), in one pass of grouping sets."""
+    want, got = F.coalesce(expected, F.lit(False)), F.coalesce(observed, F.lit(False))
+    base = rows.select(*keys, want.alias("_e"), got.alias("_o"))
+    counts = [F.count_if(F.col("_e") & F.col("_o")).alias("tp"), F.count_if(~F.col("_e") & F.col("_o")).alias("fp"), F.count_if(F.col("_e") & ~F.col("_o")).alias("fn")]
+    grouped = base.groupingSets([*[[F.col(k)] for k in keys], []], *map(F.col, keys)).agg(*counts, *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+    key, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k in keys:  # grouping() is 0 for the key that a row is about, so that a null value of it is told from the total
+        key, value = F.when(F.col(f"_g_{k}") == 0, k).otherwise(key), F.when(F.col(f"_g_{k}") == 0, F.col(k).cast("string")).otherwise(value)
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    return grouped.select(key.alias("key"), value.alias("value"), "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
+
+
+def compare_modes(rows: DataFrame, mode: str, value: str, failed: Column, against: str) -> DataFrame:
+    """Runs by mode: n, failures, total, p50 and p95 by nearest rank, and how far total and p95 lie from the mode `against`, in percent (null without it)."""
+    v = F.col(value)
+    sums = rows.groupBy(mode).agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(failed, F.lit(False))).alias("failures"), F.sum(v.cast("double")).alias("total"),
+        *[F.expr(f"percentile_disc({p}) within group (order by {value})").cast("double").alias(f"p{int(p * 100)}") for p in (0.5, 0.95)],
+    )
+    base = sums.where(F.col(mode) == against).select(F.col("total").alias("_t"), F.col("p95").alias("_p"))
+    both = sums.join(F.broadcast(base), F.lit(True), "left")  # one row at most: modes are grouped
+
+    def off(x: str, y: str) -> Column:
+        return F.round(F.try_divide(100.0 * (F.col(x) - F.col(y)), F.col(y)), 4)
+
+    return both.select(mode, "n", "failures", F.round("total", 4).alias("total"), "p50", "p95", off("total", "_t").alias("total_percent"), off("p95", "_p").alias("p95_percent"))
+
+
 def match(expected: DataFrame, observed: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One-to-one matches of equal keys: the i-th expected with the i-th observed; the rest unmatched."""
     w = W.partitionBy(*keys).orderBy(order)

@@ -113,3 +113,8 @@ def repeated_ngrams(docs: DataFrame, id_col: str, text_col: str, n: int = 6) ->
     counted = base.select("doc_id", F.when(size >= n, grams).alias("g"))
     ratio = (F.size("g") - F.size(F.array_distinct("g"))) / F.size("g")
     return counted.select("doc_id", F.round(F.coalesce(ratio, F.lit(0.0)), 6).alias("ratio"))
+
+
+def document_order(docs: DataFrame, owner: str, created: str, id_col: str) -> DataFrame:
+    """Documents with their `place` among their owner's: by creation, then by id as text; without a time first."""
+    return docs.withColumn("place", F.row_number().over(W.partitionBy(owner).orderBy(F.col(created).asc_nulls_first(), F.col(id_col).cast("string"))))

@@ -92,3 +92,49 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_distinct("user_id").alias("users")
     )
+
+
+@query("""
+WITH r AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber::VARCHAR AS line, l_discount > 0.05 AS e, l_tax > 0.04 AS o FROM lineitem),
+u AS (SELECT 'flag' AS key, flag AS value, e, o FROM r UNION ALL SELECT 'status', status, e, o FROM r UNION ALL SELECT 'line', line, e, o FROM r UNION ALL SELECT NULL, NULL, e, o FROM r),
+c AS (SELECT key, value, count_if(e AND o) AS tp, count_if(NOT e AND o) AS fp, count_if(e AND NOT o) AS fn FROM u GROUP BY 1, 2)
+SELECT *, round(tp::DOUBLE / nullif(tp + fp, 0), 6) AS precision, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS recall, round(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c
+""")
+def occurrence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall by each of several groupings at once, and over all."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"), "l_discount", "l_tax")
+    return e.prf_each(rows, F.col("l_discount") > 0.05, F.col("l_tax") > 0.04, "flag", "status", "line")
+
+
+@query("""
+WITH s AS (SELECT event_type, count(*) AS n, count_if(value < 20) AS failures, sum(value::DOUBLE) AS t, quantile_disc(value, 0.5)::DOUBLE AS p50, quantile_disc(value, 0.95)::DOUBLE AS p95 FROM events GROUP BY 1), b AS (SELECT t AS bt, p95 AS bp FROM s WHERE event_type = 'view')
+SELECT event_type, n, failures, round(t, 4) AS total, p50, p95, round(100.0 * (t - bt) / bt, 4) AS total_percent, round(100.0 * (p95 - bp) / bp, 4) AS p95_percent FROM s, b
+""")
+def mode_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as modes: sums, percentiles and how far they lie from one of them."""
+    return e.compare_modes(table(spark, sf_dir, "events"), "event_type", "value", F.col("value") < 20, "view")
+
+
+STATUS = "CASE left(o_orderpriority, 1) WHEN '1' THEN 'in_force' WHEN '2' THEN 'in_force' WHEN '3' THEN 'not_in_force' ELSE 'unknown' END"
+
+
+@query(f"""
+WITH x AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'found' ELSE 'verified' END AS authority, CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_totalprice > 60000 END AS actionable, {STATUS} AS status FROM orders)
+SELECT o_orderkey, authority = 'verified' AND coalesce(actionable, false) AS usable, authority = 'verified' AND coalesce(actionable, false) AND status = 'in_force' AS verified_match FROM x
+""")
+def evidence_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which entries (orders) may be compared with, and which of them are in force."""
+    from glossa.operators import serving as v
+
+    authority = F.when(F.col("o_custkey") % 3 == 0, "found").otherwise("verified")
+    actionable = F.when(F.col("o_totalprice") <= 200000, F.col("o_totalprice") > 60000)
+    status = F.expr(STATUS)
+    return table(spark, sf_dir, "orders").select("o_orderkey", v.usable(authority, actionable).alias("usable"), v.verified_match(authority, actionable, status).alias("verified_match"))
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey::VARCHAR) AS place FROM orders")
+def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (orders) of an owner in their order: by creation, then by id as text."""
+    from glossa.operators import structure
+
+    return structure.document_order(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "place")

@@ -86,7 +86,7 @@ LINKS = "l_orderkey * 8 + l_linenumber AS link_id, l_partkey AS definition_id, l
 @query(f"""
 WITH l AS (SELECT * FROM (SELECT {LINKS} FROM lineitem) QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY position) = 1),
 e AS (SELECT l.*, doc_id % 5 > 0 AND s_acctbal > 0 AND lang <> 'de' AND length(trim(text, ' ')) > 0 AS ok FROM l JOIN documents ON doc_id = passage_id JOIN supplier ON s_suppkey = regulation_id)
-SELECT p_partkey AS definition_id, count(link_id) AS evidence, arg_min(link_id, position) AS first_link, coalesce(bool_or(ok), false) AS actionable FROM part LEFT JOIN e ON definition_id = p_partkey GROUP BY 1
+SELECT p_partkey AS definition_id, count(link_id) AS evidence, (list(link_id ORDER BY position, link_id))[1] AS first_link, coalesce(bool_or(ok), false) AS actionable FROM part LEFT JOIN e ON definition_id = p_partkey GROUP BY 1
 """)
 def pack_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts of the corpus pack with their evidence in order: a link keeps its first row, and needs its passage and regulation."""
