@@ -18,7 +18,9 @@ repeated rows are packed as often as they stand there.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -119,16 +121,19 @@ class WordIds:
 
     #: Stands between words that are encoded in one call.
     MARK = "\x01"
+    #: Texts without such characters are lower-cased before the split, as the library would do: fewer words differ.
+    WIDE = re.compile("[^\x00-\u024f]")
     #: Longer words (a text without white space is one) are forgotten with their batch, so that memory is bounded by bytes too.
     LONGEST = 64
 
-    def __init__(self, content: bytes, most_words: int = 250_000):
+    def __init__(self, content: bytes, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(content.decode())
         self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.mark = self._encode([self.MARK])[0]
+        self.lower = '"type":"Lowercase"' in json.dumps(json.loads(content).get("normalizer"), separators=(",", ":"))
         self.words, self.old, self.most = {}, {}, most_words
 
     def _spells_added(self, text: str) -> bool:
@@ -157,7 +162,8 @@ class WordIds:
         if len(self.words) > self.most:
             self.words, self.old = {}, self.words
         odd = {k for k, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f") or self._spells_added(t)}
-        split = [[] if k in odd else t.split() for k, t in enumerate(texts)]
+        folded = self.lower and [t if self.WIDE.search(t) else t.lower() for t in texts] or texts
+        split = [[] if k in odd else t.split() for k, t in enumerate(folded)]
         lacking = []
         for word in set().union(*split):
             if word not in self.words:
@@ -178,7 +184,7 @@ class WordIds:
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, *, end_id: int = 2, window: int = 4096, most_open: int = 512, most_words: int = 250_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, vocabulary: str, *, end_id: int = 2, window: int = 4096, most_open: int = 512, most_words: int = 400_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 

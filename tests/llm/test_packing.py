@@ -60,3 +60,20 @@ def test_empty_table(spark):
 def test_added_tokens_are_the_librarys():
     words = packing.WordIds(open(WORDS, "rb").read())
     assert next(words.ids(["<|endoftext|> z"])).tolist() == [49407, 345]
+
+
+def test_word_by_word_equals_whole_texts_of_any_case():
+    """Capitals, signs that lower-case to several letters, and texts beyond Latin: ids as the library gives them."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from glossa.llm import common, packing
+
+    path = common.public_path("word_bpe_49k.json")
+    whole, words = Tokenizer.from_file(path), packing.WordIds(common.tokenizer_bytes(path))
+    assert words.lower
+    draw = random.Random(9)
+    pool = ["The", "THE", "ÉCOLE", "Straße", "İstanbul", "ŉ", "ǅ", "ΟΔΟΣ", "Σ", "ÀÉÎ.", "don'T", "A1B2", "x́Y", "Ⅷ", "ÞORN", " ", "ẞ", "K", "ẞ"]
+    texts = [" ".join(draw.choices(pool, k=12)) for _ in range(200)] + pool
+    assert [x.tolist() for x in words.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
