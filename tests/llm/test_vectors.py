@@ -188,3 +188,25 @@ def test_copies_of_queries_follow_the_lists_that_they_read(spark):
     assert found[120] == found[1 << 17] and len(found[120]) == 120 * 5
     shelves = 6000 // 120
     assert copies[120] < 120 * shelves / 2
+
+
+@pytest.mark.parametrize("scale", [1, 1e-18, 1e17])
+def test_nearest_of_unlike_lists_at_any_scale(spark, scale):
+    """Tight and loose places, long vectors and short ones, at scales whose squares single precision can't hold."""
+    draw = np.random.default_rng(11)
+    n = 3000
+    x = draw.normal(size=(n, 32))
+    x[: n // 2] = draw.normal(size=(20, 32))[draw.integers(0, 20, n // 2)] + 0.02 * x[: n // 2]
+    x[n // 2 : n // 2 + 300] *= np.exp(draw.normal(size=(300, 1)))
+    x = (x[draw.permutation(n)] * scale).astype(np.float32).astype(float)
+    out = posting_lists.nearest(table(spark, x), every=10, k=20, list_size=32, audit=64).collect()
+    got = {}
+    for r in out:
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]), rel=1e-9, abs=1e-12 * scale * scale)
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for q in range(0, n, 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        shares.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.97 and np.mean(np.array(shares) < 0.9) <= 0.04
