@@ -73,3 +73,18 @@ def test_texts_without_spaces_are_not_kept(both):
         assert all(coder.encode_bytes(x) for x in texts[at : at + 50])
     kept = [*coder.chunks, *coder.chunks.old, *coder.known, *coder.known.old, *words.words, *words.old]
     assert max(map(len, kept), default=0) <= 64
+
+
+def test_table_needs_few_looks(both, monkeypatch):
+    """Places between tokens are judged once, and only where several tokens end; the ids stay tiktoken's."""
+    own, other = both
+    rng = random.Random(3)
+    words = [" " + "".join(rng.choice(["th", "on", "er", "ing", "at", "é", "日本", "st", "9"]) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    fresh = prefix_bpe.PrefixBPE(own.ranks, P.PATTERN)
+    looks, judge = [], fresh._may_follow
+    monkeypatch.setattr(fresh, "_may_follow", lambda left, right: looks.append((left, right)) or judge(left, right))
+    for word in words:
+        assert fresh.encode(word) == other.encode_ordinary(word), word
+        half = fresh.extend([], word.encode()[: len(word) // 2])
+        assert fresh.extend(half, word.encode()) == fresh.extend([], word.encode())
+    assert len(looks) == len(set(looks)) < sum(len(w.encode()) for w in words) / 4
