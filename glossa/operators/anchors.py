@@ -81,10 +81,15 @@ def compatible_key(text: Column) -> Column:
 
 
 def containing_block(segments: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Segments (doc_id, segment_id, start, end) with the first block (doc_id, block_id, start, end) that holds them whole, null if none."""
+    """Segments (doc_id, segment_id, start, end) with the first block (doc_id, block_id, start, end) that holds them whole, null if none.
+
+    A segment that ends before it begins is held where a block begins by its start and ends from its end on.
+    """
     # a block that holds a segment touches the stretch of text in which the segment begins; one that ends there too, for empty segments
     b = touched(blocks.select("doc_id", "block_id", "start", (F.col("end") + 1).alias("end"))).select("doc_id", "_block", "block_id", F.col("start").alias("b_start"), (F.col("end") - 1).alias("b_end"))
-    at = segments.select("doc_id", "segment_id", "start", "end", F.floor(F.col("start") / BLOCK).alias("_block"))
+    # where the end comes first, such a block may touch any stretch from there to the start
+    first_at, last_at = (F.floor(c / BLOCK) for c in (F.least("start", "end"), F.col("start")))
+    at = segments.select("doc_id", "segment_id", "start", "end", F.explode(F.sequence(first_at, last_at)).alias("_block"))
     held = at.join(b, ["doc_id", "_block"]).where((F.col("start") >= F.col("b_start")) & (F.col("end") <= F.col("b_end")))
     first = held.groupBy("doc_id", "segment_id").agg(F.min_by("block_id", F.struct("b_start", "block_id")).alias("block_id"))
     return segments.join(first, ["doc_id", "segment_id"], "left")
