@@ -169,7 +169,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank fusion of BM25 over documents and of the vectors of equal ids, for every hundredth document's whole text."""
     docs = table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    lexical = ranked(r.bm25(docs, asked, doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query"), 100)
+    lexical = ranked(r.bm25_best(docs, asked, 100, doc_id="doc_id", doc_text="text", query_id="query_id", query_text="query"), 100)
     return r.fuse(lexical, semantic(spark, sf_dir), 10).select("query_id", "rank", "doc_id", "fusion")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from glossa.operators import anchors
+from glossa.operators import anchors, retrieval
 
 
 def test_short_blocks_hold_segments_across_a_stretch(spark):
@@ -11,3 +11,22 @@ def test_short_blocks_hold_segments_across_a_stretch(spark):
     segments = blocks.select("doc_id", F.col("block_id").alias("segment_id"), (F.col("start") + 2).alias("start"), (F.col("end") - 1).alias("end"))
     got = {(r.doc_id, r.segment_id): r.block_id for r in anchors.containing_block(segments, blocks).collect()}
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (2, 0): 0, (3, 0): 0, (3, 1): 1}
+
+
+def test_best_scores_are_those_of_all_pairs(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id % 3 = 0").select(F.col("doc_id") + 1000, "text")).union(spark.createDataFrame([(5000, None), (5001, "")], "doc_id long, text string"))
+
+    def ranked(scores, k):
+        return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.col("doc_id")).select("query_id", "rank", "doc_id", "score")
+
+    asked = docs.where("doc_id % 7 = 0").select(F.col("doc_id").alias("q"), F.col("text").alias("query"))
+    names = {"doc_id": "doc_id", "doc_text": "text", "query_id": "q", "query_text": "query"}
+    for name, value in {"PASS_ROWS": 2000, "TILE_CELLS": 500, "DENSE_TOKENS": 20}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    for repeats in (False, True):
+        every = ranked(retrieval.bm25(docs, asked, **names, repeats=repeats), 5).collect()
+        found = retrieval.bm25_best(docs.repartition(3), asked, 5, **names, repeats=repeats)
+        assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 15  # a task's best, not all that share a token
+        assert sorted(map(tuple, ranked(found, 5).collect())) == sorted(map(tuple, every)) and every
+    assert retrieval.bm25_best(docs, asked.limit(0), 5, **names).count() == 0 == retrieval.bm25_best(docs.limit(0), asked, 5, **names).count()
