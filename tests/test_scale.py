@@ -30,3 +30,33 @@ def test_best_scores_are_those_of_all_pairs(spark, sf, monkeypatch):
         assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 15  # a task's best, not all that share a token
         assert sorted(map(tuple, ranked(found, 5).collect())) == sorted(map(tuple, every)) and every
     assert retrieval.bm25_best(docs, asked.limit(0), 5, **names).count() == 0 == retrieval.bm25_best(docs.limit(0), asked, 5, **names).count()
+
+
+def test_equal_entries_and_queries_are_searched_once(spark, monkeypatch):
+    rows = [(n, ("Red ring", "red ring", "blue ring", "RING")[n % 4], ("big", "big", None)[n % 3]) for n in range(60)]
+    entries = spark.createDataFrame(rows, "id int, term string, d string")
+    asked = spark.createDataFrame([(n, ("ring", "RING ", "red", "big  blue", " ")[n % 5]) for n in range(50)], "q int, text string")
+    names = {"entry_id": "id", "term": "term", "definition": "d", "query_id": "q", "query_text": "text", "verified": F.col("id") % 8 == 1}
+    sizes, bm25 = [], retrieval.bm25
+    monkeypatch.setattr(retrieval, "bm25", lambda docs, queries, **kw: sizes.append((docs.count(), queries.count())) or bm25(docs, queries, **kw))
+    for catalogue in (False, True):
+        found = retrieval.lexical_search(entries, asked, 7, **names, catalogue=catalogue).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+        # each row for itself
+        scores = bm25(entries.withColumn("whole", F.concat_ws(" ", "term", "d")), asked, doc_id="id", doc_text="whole", query_id="q", query_text="text").collect()
+        points = {(r.query_id, r.doc_id): r.score for r in scores}
+        assert {q for q in got} == {q for q in range(50) if q % 5 != 4}
+        for q, hits in got.items():
+            text = ("ring", "ring", "red", "big blue")[q % 5]
+            want = []
+            for n, term, d in rows:
+                nt, nd = term.lower(), d or ""
+                if (q, n) in points or text in nt:
+                    bonus = 1000 if nt == text else 300 if nt.startswith(text) else 150 if text in nt else 0
+                    bonus += (40 if f" {nt} " in f" {text} " else 0) if catalogue else (100 if text in nd else 0)
+                    score, ok = round(points.get((q, n), 0) + bonus, 6), n % 8 == 1
+                    want.append(((-score, nt, n) if catalogue else (nt != text, not (nt == text and ok), -score, not ok, nt, n), (n, score)))
+            assert [(n, round(s, 5)) for n, s in hits] == [(n, round(s, 5)) for _, (n, s) in sorted(want)[:7]], (q, catalogue)
+    assert all(docs < 20 and queries == 3 for docs, queries in sizes) and len(sizes) == 2
