@@ -1,5 +1,10 @@
 """What only larger or odder tables show."""
 
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from glossa.operators import anchors, retrieval
@@ -60,3 +65,19 @@ def test_equal_entries_and_queries_are_searched_once(spark, monkeypatch):
                     want.append(((-score, nt, n) if catalogue else (nt != text, not (nt == text and ok), -score, not ok, nt, n), (n, score)))
             assert [(n, round(s, 5)) for n, s in hits] == [(n, round(s, 5)) for _, (n, s) in sorted(want)[:7]], (q, catalogue)
     assert all(docs < 20 and queries == 3 for docs, queries in sizes) and len(sizes) == 2
+
+
+def test_products_are_made_in_tiles():
+    dice = np.random.default_rng(3)
+    v, ids = np.round(dice.normal(size=(8000, 4)), 1), np.arange(0, 8000, 2)  # many ties
+    rows = pd.DataFrame({"doc_id": np.arange(8000), "v": list(v)})
+    tracemalloc.start()
+    got = pd.concat(retrieval._best_products(SimpleNamespace(value=(ids, v[ids])), 3)([rows[:5000], rows[5000:]]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all products of the first batch take 160 MB
+    for q in (0, 1234, 7998):
+        s = np.round(v @ v[q], 6)
+        want = sorted((-s[n], n) for n in range(8000) if n != q)[:3]
+        mine = got[got["query_id"] == q]
+        assert sorted(zip(-mine["score"], mine["doc_id"])) == want
