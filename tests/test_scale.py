@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from glossa.operators import anchors, retrieval
+from glossa.operators import anchors, retrieval, suggest
 
 
 def test_short_blocks_hold_segments_across_a_stretch(spark):
@@ -81,3 +81,18 @@ def test_products_are_made_in_tiles():
         want = sorted((-s[n], n) for n in range(8000) if n != q)[:3]
         mine = got[got["query_id"] == q]
         assert sorted(zip(-mine["score"], mine["doc_id"])) == want
+
+
+def test_suggestions_leave_their_task_only_where_they_decide(spark, sf, monkeypatch):
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = F.split("text", " ")
+    entries = b.select(F.col("item_id").alias("doc_id"), F.concat_ws(" ", F.get(words, 1), F.get(words, 2)).alias("term"), F.col("text").alias("definition"), F.lit(True).alias("verified"), (F.col("item_id") % 7 != 0).alias("actionable"))
+    entries = entries.union(entries.select(F.col("doc_id") + 1000, F.concat("term", F.lit(" ")), "definition", "verified", "actionable"))  # equal terms
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("query_id"), "text").union(spark.createDataFrame([(9000, None)], "query_id long, text string"))
+    made = []
+    monkeypatch.setattr(suggest, "_candidates", lambda sent, limit, f=suggest._candidates: made.append(sent.value) or f(sent, limit))
+    once = sorted(map(tuple, suggest.lexical_suggestions(entries, texts, 3).collect()))
+    assert len(made) == 1 and once and {r[2] for r in once} < set(range(1000))  # of equal ones the smaller id
+    for name, value in {"PASS_ROWS": 300, "TILE_CELLS": 200, "DENSE_TOKENS": 5}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, suggest.lexical_suggestions(entries, texts, 3).collect())) == once and len(made) > 3
