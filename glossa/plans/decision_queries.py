@@ -126,9 +126,10 @@ def read_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
 
     def search(asked: DataFrame) -> DataFrame:
-        """The parts of a size, dearest first."""
-        met = asked.join(part.withColumn("query", F.col("p_size").cast("string")), "query")
-        ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("session", "seq").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("rank <= limit")
-        return ranked.select("session", "seq", "rank", F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("payload"), (F.col("p_size") > 5).alias("authoritative"))
+        """The parts of a size, dearest first; of each size only as many as a call may have meet the requests."""
+        dearest = F.row_number().over(W.partitionBy("query").orderBy(F.desc("p_retailprice"), "p_partkey"))
+        shown = part.withColumn("query", F.col("p_size").cast("string")).withColumn("rank", dearest).where(F.col("rank") <= d.MOST_RESULTS)
+        met = asked.join(shown, "query").where("rank <= limit")
+        return met.select("session", "seq", "rank", F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("payload"), (F.col("p_size") > 5).alias("authoritative"))
 
     return d.dispatch(requests, tools, search, "search")

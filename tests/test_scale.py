@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from glossa.operators import anchors, retrieval, suggest
+from glossa.operators import anchors, decisions, retrieval, suggest
+from glossa.plans.registry import QUERIES
 
 
 def test_short_blocks_hold_segments_across_a_stretch(spark):
@@ -96,3 +97,17 @@ def test_suggestions_leave_their_task_only_where_they_decide(spark, sf, monkeypa
     for name, value in {"PASS_ROWS": 300, "TILE_CELLS": 200, "DENSE_TOKENS": 5}.items():
         monkeypatch.setattr(retrieval, name, value)
     assert sorted(map(tuple, suggest.lexical_suggestions(entries, texts, 3).collect())) == once and len(made) > 3
+
+
+def test_parts_are_ranked_before_they_meet_requests(spark, sf, monkeypatch):
+    found = []
+    monkeypatch.setattr(decisions, "dispatch", lambda requests, tools, search, name: found.append(search) or requests)
+    QUERIES["read_tools"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    size, many = parts.groupBy("p_size").count().orderBy(F.desc("count")).first()
+    asked = spark.createDataFrame([(k, 1, str(size), 1 + k % 5) for k in range(10)], "session int, seq int, query string, limit int")
+    got = found[0](asked)
+    assert "windowspecdefinition(session" not in got._jdf.queryExecution().analyzed().toString()  # not once for every request
+    dearest = [f"part {r.p_partkey}" for r in parts.where(F.col("p_size") == size).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).collect()]
+    rows = got.collect()
+    assert many > 5 and {k: [r.payload for r in sorted(rows, key=lambda r: r.rank) if r.session == k] for k in range(10)} == {k: dearest[: 1 + k % 5] for k in range(10)}
