@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from glossa.operators import anchors, decisions, retrieval, suggest
+from glossa.operators import anchors, context, decisions, retrieval, suggest
 from glossa.plans.registry import QUERIES
 
 
@@ -111,3 +111,17 @@ def test_parts_are_ranked_before_they_meet_requests(spark, sf, monkeypatch):
     dearest = [f"part {r.p_partkey}" for r in parts.where(F.col("p_size") == size).orderBy(F.desc("p_retailprice"), "p_partkey").limit(5).collect()]
     rows = got.collect()
     assert many > 5 and {k: [r.payload for r in sorted(rows, key=lambda r: r.rank) if r.session == k] for k in range(10)} == {k: dearest[: 1 + k % 5] for k in range(10)}
+
+
+def test_facts_are_read_once_and_keep_their_row(spark):
+    text = 'Bab I\n"Harga" berarti nilai; "HARGA" berarti lain. Rp 5, rp 6, USD 7 dan USD 8\n' * 3
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    plan = context.literal_facts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    found = context.facts(docs, spark.createDataFrame([(1, 0, 5, "Bab I")], "doc_id int, start int, end int, text string"))
+    got = {(r.category, r.value): (r.start, r.end) for r in context.literal_facts(docs).collect()}
+    assert got == {("defined-term", "Harga"): (7, 12), ("currency", "Rp"): (text.index("Rp"), text.index("Rp") + 2), ("currency", "USD"): (text.index("USD"), text.index("USD") + 3)}
+    sections = spark.createDataFrame([(1, 0, 9), (1, 8, 5000)], "doc_id int, start int, end int")
+    held = {(r.category, r.value): r.section_start for r in context.in_sections(found, sections).collect()}
+    assert held == {("defined-term", "Harga"): 8, ("currency", "Rp"): 8, ("currency", "USD"): 8} and found.count() == 3
+    assert [r.section_start for r in context.in_sections(found, sections.limit(0)).collect()] == [None] * 3
