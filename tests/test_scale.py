@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from glossa.operators import anchors, context, decisions, retrieval, suggest
+from glossa.operators import anchors, context, decisions, retrieval, spellcheck, suggest
 from glossa.plans.registry import QUERIES
 
 
@@ -125,3 +125,13 @@ def test_facts_are_read_once_and_keep_their_row(spark):
     held = {(r.category, r.value): r.section_start for r in context.in_sections(found, sections).collect()}
     assert held == {("defined-term", "Harga"): 8, ("currency", "Rp"): 8, ("currency", "USD"): 8} and found.count() == 3
     assert [r.section_start for r in context.in_sections(found, sections.limit(0)).collect()] == [None] * 3
+
+
+def test_whole_lines_are_not_gathered_again(spark):
+    docs = spark.createDataFrame([(1, "the red Ring and\nthe rde ring. The red, rnig\n\nred Rinng"), (2, None), (3, "the rde ring")], "doc_id int, text string")
+    lines, phrases = spellcheck.line_words(docs, "doc_id", "text"), spark.createDataFrame([(1, "red ring")], "doc_id int, phrase string")
+    got = spellcheck.phrase_errors(lines, phrases, longest=2)
+    assert "collect_list" not in got._jdf.queryExecution().analyzed().toString()
+    want = spellcheck.phrase_errors(spellcheck.line_tokens(docs, "doc_id", "text"), phrases, longest=2)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) == [(1, 3, 1, "Rinng", "Ring", "red ring")]
